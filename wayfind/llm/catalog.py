@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, quality_model, quality_rules, shards, urls
+from wayfind.llm import chat, packing, quality_model, quality_rules, shards, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_bpe() -> tuple[str, str]:
+    """Where the 50k byte-level vocabulary lies, as ranks, and its pre-token pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,6 +51,10 @@ FROM judged j
 """
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), *byte_bpe(), room=2048)
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -98,7 +109,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_shards, op4_url_filter, op8_quality_model, op9_chat_format)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op8_quality_model, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
