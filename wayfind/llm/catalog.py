@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, packing, quality_model, quality_rules, shards, urls
+from wayfind.llm import chat, packing, quality_model, quality_rules, shards, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), bits=2)
+
+
 def _escaped(column: str) -> str:
     sql = f"replace({column}, '\\', '\\\\')"
     for c in chat.DEFAULT.controls:
@@ -109,7 +113,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op8_quality_model, op9_chat_format)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op8_quality_model, op9_chat_format, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
