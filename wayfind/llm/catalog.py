@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, packing, quality_model, quality_rules, shards, simhash, urls
+from wayfind.llm import chat, packing, quality_model, quality_rules, repeats, shards, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def byte_bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_bytes=50, keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -113,7 +118,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op8_quality_model, op9_chat_format, op10_simhash)}
+    return {f.__name__: f for f in (op1_repeats, op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op8_quality_model, op9_chat_format, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
