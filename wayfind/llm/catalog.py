@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, packing, quality_model, quality_rules, repeats, shards, simhash, urls
+from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,16 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), *byte_bpe(), room=2048)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -118,7 +128,10 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeats, op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op8_quality_model, op9_chat_format, op10_simhash)}
+    import corpus_pipeline
+
+    own = (op1_repeats, op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op6_decontaminate, op7_token_counts, op8_quality_model, op9_chat_format, op10_simhash)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
