@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from wayfind.plans import behaviour_queries  # noqa: F401
+from wayfind.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "covis_neighbors_basket"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
