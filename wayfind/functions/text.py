@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Field weights of the text index
 WEIGHTS = {"title": 1.0, "tags": 0.4, "channel": 0.4, "description": 0.2}
@@ -14,7 +15,7 @@ DESCRIPTION_CHARS = 2000
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize(s: pd.Series) -> pd.Series:
     """Compatibility form, full case folding, runs of white space to one space; null stays null. The library's only Python scalar function."""
     return s.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", v).casefold()).split()), na_action="ignore")
@@ -42,8 +43,11 @@ def postings(docs: DataFrame) -> DataFrame:
         "channel": terms(F.col("channel_name")),
         "description": terms(F.substring("description", 1, DESCRIPTION_CHARS)),
     }
-    weighed = [F.transform(words, lambda t, w=WEIGHTS[name]: F.struct(t.alias("term"), F.lit(w).alias("weight"))) for name, words in fields.items()]
-    return docs.select("video_id", F.posexplode(F.concat(*weighed)).alias("pos", "p")).select("video_id", "p.term", (F.col("pos") + 1).alias("pos"), "p.weight")
+
+    def weighed(words: Column, weight: float) -> Column:
+        return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+
+    return docs.select("video_id", F.posexplode(F.concat(*[weighed(words, WEIGHTS[name]) for name, words in fields.items()])).alias("pos", "p")).select("video_id", "p.term", (F.col("pos") + 1).alias("pos"), "p.weight")
 
 
 def trigrams(text: Column) -> Column:
@@ -86,7 +90,7 @@ def cover_density(positions: Column, n_terms: Column) -> Column:
         start = F.array_min(F.transform(held, lambda h: h["pos"]))
         full = (F.size(held) == n_terms) & (start > state["start"])
         inverse = F.aggregate(held, F.lit(0.0), lambda s, h: s + 1.0 / h["weight"])
-        gain = (n_terms / inverse) / (p["pos"] - start - (n_terms - 1) + 1)
+        gain = F.try_divide(n_terms / inverse, p["pos"] - start - n_terms + 2)
         return F.struct(last.alias("last"), F.when(full, start).otherwise(state["start"]).alias("start"), F.when(full, state["rank"] + gain).otherwise(state["rank"]).alias("rank"))
 
     empty = F.struct(F.lit(None).cast("map<int,struct<pos:int,weight:double>>").alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("rank"))

@@ -182,7 +182,7 @@ def compose_feed(candidates: DataFrame, requests: DataFrame, docs: DataFrame, as
         F.round(BASE_WEIGHT * F.col("base") + AFFINITY_WEIGHT * F.col("affinity") + CHANNEL_WEIGHT * F.col("channel_affinity") + FRESH_WEIGHT * fresh, 12).alias("relevance"),
         F.when(F.col("user_id").isNotNull() & (F.col("channel_affinity") >= SUBSCRIBED), "subscribed").otherwise(F.col("reason")).alias("reason"),
         mmr_tokens(F.col("tags"), F.col("category")).alias("tokens"),
-    )
+    ).persist()
     ordered = mmr(rows, "request_id", lam).join(rows.select("request_id", "video_id", "channel_id", "reason"), ["request_id", "video_id"])
     # exploration
     pool = fresh_pool(r, docs, 2 * limit)
