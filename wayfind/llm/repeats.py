@@ -23,6 +23,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,19 @@ class Texts:
         self.bytes = np.frombuffer(self.raw + bytes(PAD), dtype=np.uint8)
 
 
+def squeezed(data: bytes | np.ndarray) -> bytes:
+    """Messages travel compressed, numbers byte plane by byte plane."""
+    if isinstance(data, np.ndarray):
+        data = np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize).T.tobytes() if len(data) else b""
+    return zstandard.compress(data, 3)
+
+
+def numbers_of(data: bytes, kind: str) -> np.ndarray:
+    plain = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(plain.reshape(size, -1).T).view(kind).ravel() if len(plain) else np.zeros(0, dtype=kind)
+
+
 def seed_hashes(data: np.ndarray, start: int, n: int, seed: int) -> np.ndarray:
     """Of the n strings of `seed` bytes from `start` on."""
     found = np.zeros(n, dtype=np.uint64)
@@ -188,7 +202,7 @@ def send_runs(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int,
     rows = []
     for b, p in by_bucket(bucket_of(runs.string_key, buckets)):
         strings = [runs.strings[k] for k in p.tolist()]
-        rows.append((b, key[0].as_py(), b"".join(strings), runs.string_count[p].astype("<u2").tobytes(), runs.least[p].tobytes(), runs.string_key[p].tobytes()))
+        rows.append((b, key[0].as_py(), squeezed(b"".join(strings)), squeezed(runs.string_count[p].astype("u1")), squeezed(runs.least[p]), squeezed((runs.string_key[p] >> np.uint64(32)).astype("<u4"))))
     return _table(rows, RUNS_SENT)
 
 
@@ -223,7 +237,7 @@ def later_copies(data: np.ndarray, suffixes: np.ndarray, documents: np.ndarray,
 def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
     """To each chunk, bit by bit, which suffixes of its strings, as in their least document, are later copies."""
     blobs, counts, least, keys = (table.column(c).to_pylist() for c in ("strings", "counts", "least", "keys"))
-    counts = [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in counts]
+    blobs, counts = [zstandard.decompress(x) for x in blobs], [numbers_of(x, "u1").astype(np.int64) for x in counts]
     size = [len(x) for x in counts]
     numbers: dict[bytes, int] = {}
     number, at = np.zeros(sum(size), dtype=np.int64), []
@@ -237,12 +251,12 @@ def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
                 at.append(k)
             number[k] = n
             start, k = end, k + 1
-    count, least, keys = np.concatenate(counts), np.frombuffer(b"".join(least), dtype=np.int64), np.frombuffer(b"".join(keys), dtype=np.uint64)
+    count, least, keys = np.concatenate(counts), np.concatenate([numbers_of(x, "<i8") for x in least]), np.concatenate([numbers_of(x, "<u4") for x in keys])
     strings, at = list(numbers), np.array(at)
     first = np.full(len(strings), NO_ID)
     np.minimum.at(first, number, least)
     _, group, members = np.unique(keys[at], return_inverse=True, return_counts=True)
-    mixed = members[group] > 1  # else the key has one string alone, whose suffixes occur nowhere else
+    mixed = members[group] > 1  # else the key (half of it is sent) has one string alone, whose suffixes occur nowhere else
     own_count = count[at]
     own_start = np.cumsum(own_count) - own_count
     flags = np.zeros(own_count.sum(), dtype=bool)
@@ -341,7 +355,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True,
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.encode(text, "UTF-8").alias("data"), F.struct(*[docs[c] for c in names]).alias("rest"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = slices(total, chunk_bytes)
-    key_buckets, run_buckets = max(chunks // 8, 12), max(4 * chunks, 12)
+    key_buckets, run_buckets = max(chunks // 8, 12), max(2 * chunks, 12)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("data")), F.lit(chunks)).cast("int")).groupBy("chunk")
     told = (
         rows.applyInArrow(_alone(send_keys, min_bytes=min_bytes, seed=seed, buckets=key_buckets), _ddl(KEYS_SENT))
