@@ -32,6 +32,7 @@ from wayfind.llm.shared import slices, text_of, without
 
 SLAB = 1 << 19
 LONGEST_RUN = 64
+KEY_BITS = 48  # keys that clash cost work, not results
 PAD = 64
 NO_ID = np.iinfo(np.int64).max  # rows without an id come after all others
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -114,7 +115,7 @@ def runs_of(texts: Texts, min_bytes: int, seed: int) -> tuple[np.ndarray, np.nda
     if not keys:
         return (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
     first = np.concatenate(firsts)
-    return np.concatenate(keys), first, np.concatenate(counts), np.searchsorted(texts.starts, first, side="right") - 1
+    return np.concatenate(keys) >> np.uint64(64 - KEY_BITS), first, np.concatenate(counts), np.searchsorted(texts.starts, first, side="right") - 1
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -122,6 +123,12 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys * np.uint64(MULTIPLIERS[2])) >> np.uint64(24)) % np.uint64(n)
 
 
+def spread_out(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, … for each start, count numbers of each."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -139,39 +146,50 @@ def send_keys(key: tuple, table: pa.Table, *, min_bytes: int, seed: int, buckets
     twice = np.r_[False, (keys[1:] == keys[:-1]) & (ids[1:] != ids[:-1])][: len(keys)]
     first = np.flatnonzero(new)
     keys, twice = keys[first], np.logical_or.reduceat(twice, first) if len(first) else twice
-    rows = [(b, key[0].as_py(), keys[p].tobytes(), np.packbits(twice[p]).tobytes()) for b, p in by_bucket(bucket_of(keys, buckets))]
+    rows = [(b, key[0].as_py(), squeezed(keys[p]), squeezed(np.packbits(twice[p]))) for b, p in by_bucket(bucket_of(keys, buckets))]
     return _table(rows, KEYS_SENT)
 
 
 def answer_keys(key: tuple, table: pa.Table, *, spread: int) -> pa.Table:
-    """To each chunk, which of its keys two documents have, and which of those more than `spread` chunks have."""
-    sent = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("twice").to_pylist(), sent, strict=True)]
-    chunk = table.column("chunk").to_pylist()
+    """To each chunk, bit by bit, which of its keys two documents have, and which of those more than `spread` chunks have."""
+    sent = [numbers_of(x, "<u8") for x in table.column("keys").to_pylist()]
+    twice = [np.unpackbits(numbers_of(x, "u1"), count=len(k)).astype(bool) for x, k in zip(table.column("twice").to_pylist(), sent, strict=True)]
     found, at, n = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
     shared = n > 1
     shared[at[np.concatenate(twice)]] = True
     rows, start = [], 0
-    for c, keys in zip(chunk, sent, strict=True):
+    for chunk, keys in zip(table.column("chunk").to_pylist(), sent, strict=True):
         own = at[start : start + len(keys)]
         start += len(keys)
         keep = shared[own]
         if keep.any():
-            rows.append((c, -1, keys[keep].tobytes(), keys[keep & (n[own] > spread)].tobytes()))
+            hot = keep & (n[own] > spread)
+            rows.append((chunk, -1 - key[0].as_py(), squeezed(np.packbits(keep)), squeezed(np.packbits(hot)) if hot.any() else b""))
     return _table(rows, ANSWERS)
 
 
+def told_keys(keys: np.ndarray, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the chunk's distinct keys, in order, the buckets called shared, and hot."""
+    told = {-1 - b: (f, h) for b, f, h in zip(*[answers.column(c).to_pylist() for c in ("bucket", "flags", "hot")], strict=True) if b < 0}
+    shared, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    for b, p in by_bucket(bucket_of(keys, buckets)):
+        if b in told:
+            for out, bits in zip((shared, hot), told[b], strict=True):
+                if bits:
+                    out[p] = np.unpackbits(numbers_of(bits, "u1"), count=len(p)).astype(bool)
+    return shared, hot
+
+
 class Runs:
     """A chunk's runs of shared keys: the distinct strings in order of first occurrence, with their least id and key."""
 
-    def __init__(self, texts: Texts, answers: pa.Table, min_bytes: int, seed: int) -> None:
-        told = [(k, h) for b, k, h in zip(*[answers.column(c).to_pylist() for c in ("bucket", "keys", "flags")], strict=True) if b == -1]
-        shared, hot = (np.sort(np.frombuffer(b"".join(x), dtype=np.uint64)) for x in (zip(*told, strict=True) if told else ([], [])))
+    def __init__(self, texts: Texts, answers: pa.Table, min_bytes: int, seed: int, key_buckets: int) -> None:
         keys, first, count, row = runs_of(texts, min_bytes, seed)
-        within = lambda values, of: of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values if len(of) else np.zeros(len(values), dtype=bool)
-        kept = within(keys, shared)
+        own, at = np.unique(keys, return_inverse=True)
+        shared, hot = told_keys(own, answers, key_buckets)
+        kept = shared[at]
+        apart = hot[at[kept]]
         keys, first, count, row = keys[kept], first[kept], count[kept], row[kept]
-        apart = within(keys, hot)
         if apart.any():  # string by string
             n = np.where(apart, count, 1)
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -192,17 +210,17 @@ class Runs:
         self.string_count, self.least = count[at], self.ids[at]  # texts go by id, so the first occurrence has the least
         self.string_key = keys[at]
         for k in np.flatnonzero(apart[at]) if len(at) else []:
-            self.string_key[k] = xxhash.xxh64_intdigest(self.strings[k])
+            self.string_key[k] = xxhash.xxh64_intdigest(self.strings[k]) >> (64 - KEY_BITS)
 
 
-def send_runs(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, seed: int, buckets: int) -> pa.Table:
+def send_runs(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, seed: int, key_buckets: int, buckets: int) -> pa.Table:
     if not table.num_rows or not answers.num_rows:
         return _table([], RUNS_SENT)
-    runs = Runs(Texts(table), answers, min_bytes, seed)
+    runs = Runs(Texts(table), answers, min_bytes, seed, key_buckets)
     rows = []
     for b, p in by_bucket(bucket_of(runs.string_key, buckets)):
         strings = [runs.strings[k] for k in p.tolist()]
-        rows.append((b, key[0].as_py(), squeezed(b"".join(strings)), squeezed(runs.string_count[p].astype("u1")), squeezed(runs.least[p]), squeezed((runs.string_key[p] >> np.uint64(32)).astype("<u4"))))
+        rows.append((b, key[0].as_py(), squeezed(b"".join(strings)), squeezed(runs.string_count[p].astype("u1")), squeezed(runs.least[p]), squeezed((runs.string_key[p] & np.uint64(0xFFFFFFFF)).astype("<u4"))))
     return _table(rows, RUNS_SENT)
 
 
@@ -273,35 +291,30 @@ def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
     rows, start = [], 0
     for c, b, n in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), [int(x.sum()) for x in counts], strict=True):
         if bits[start : start + n].any():
-            rows.append((c, b, b"", np.packbits(bits[start : start + n]).tobytes()))
+            rows.append((c, b, squeezed(np.packbits(bits[start : start + n])), b""))
         start += n
     return _table(rows, ANSWERS)
 
 
-def cover(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, seed: int, buckets: int, keep_text: bool) -> pa.Table:
+def cover(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, seed: int, key_buckets: int, buckets: int, keep_text: bool) -> pa.Table:
     """The chunk's documents without what later copies cover."""
     texts = Texts(table)
     change = np.zeros(len(texts.raw) + 1, dtype=np.int32)
     if answers.num_rows:
-        runs = Runs(texts, answers, min_bytes, seed)
+        runs = Runs(texts, answers, min_bytes, seed, key_buckets)
         told = {b: f for b, f in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True) if b >= 0}
-        flags: dict[int, np.ndarray] = {}
+        starts = np.cumsum(runs.string_count) - runs.string_count
+        flags = np.zeros(int(runs.string_count.sum()), dtype=bool)  # of each distinct string's suffixes
         for b, p in by_bucket(bucket_of(runs.string_key, buckets)):
             if b in told:
-                n = runs.string_count[p]
-                bits = np.unpackbits(np.frombuffer(told[b], dtype=np.uint8), count=int(n.sum())).astype(bool)
-                any_ = np.logical_or.reduceat(bits, np.cumsum(n) - n)
-                ends = np.cumsum(n)
-                for k in np.flatnonzero(any_).tolist():
-                    flags[int(p[k])] = np.flatnonzero(bits[ends[k] - n[k] : ends[k]])
-        later = runs.ids > runs.least[runs.number] if len(runs.number) else np.zeros(0, dtype=bool)
-        np.add.at(change, runs.first[later], 1)
-        np.add.at(change, (runs.first + runs.count + min_bytes - 1)[later], -1)
-        if flags:
-            for k in np.flatnonzero(~later).tolist():
-                if (where := flags.get(int(runs.number[k]))) is not None:
-                    np.add.at(change, runs.first[k] + where, 1)
-                    np.add.at(change, runs.first[k] + where + min_bytes, -1)
+                at = spread_out(starts[p], runs.string_count[p])
+                flags[at] = np.unpackbits(numbers_of(told[b], "u1"), count=len(at)).astype(bool)
+        if len(runs.number):
+            later = np.repeat(runs.ids > runs.least[runs.number], runs.count)
+            gone = flags[spread_out(starts[runs.number], runs.count)] | later
+            where = spread_out(runs.first, runs.count)[gone]  # no suffix is in two runs
+            change[where] += 1
+            change[where + min_bytes] -= 1
     removed = np.cumsum(change[:-1]) > 0
     starts_span = removed & ~np.r_[False, removed[:-1]][: len(removed)]
     out = []
@@ -317,8 +330,8 @@ def cover(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, see
 
 
 KEYS_SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary())]
-#: bucket -1: keys, and hot ones as flags; else a bucket's flags of runs
-ANSWERS = [("chunk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("flags", pa.binary())]
+#: from -1 down: which keys are shared, and hot; from 0 up: which suffixes of runs are later copies
+ANSWERS = [("chunk", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary()), ("hot", pa.binary())]
 RUNS_SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("least", pa.binary()), ("keys", pa.binary())]
 
 
@@ -341,7 +354,7 @@ def _both(f: Callable, **options: object) -> Callable:
     return lambda key, left, right: run(key, left, right)
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True, chunk_bytes: int = 4 << 20, spread: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True, chunk_bytes: int = 4 << 20, spread: int = 1024) -> DataFrame:
     """All rows and columns of docs, plus n_bytes, n_removed, n_spans, kept_sha256; these replace columns of the same names.
 
     Texts are judged as UTF-8 bytes; min_bytes must be 24 or more. text becomes the remaining text (bytes of a character
@@ -349,7 +362,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True,
     counts as empty. Rows that share a doc_id aren't earlier than one another; rows with null doc_id come after all others.
     No rows: no result rows.
     """
-    seed = 2 * min_bytes // 5
+    seed = 3 * min_bytes // 5
     text = text_of(docs)
     names = without(docs, "text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.encode(text, "UTF-8").alias("data"), F.struct(*[docs[c] for c in names]).alias("rest"))
@@ -364,7 +377,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True,
     )
     found = (
         rows.cogroup(told.groupBy("chunk"))
-        .applyInArrow(_both(send_runs, min_bytes=min_bytes, seed=seed, buckets=run_buckets), _ddl(RUNS_SENT))
+        .applyInArrow(_both(send_runs, min_bytes=min_bytes, seed=seed, key_buckets=key_buckets, buckets=run_buckets), _ddl(RUNS_SENT))
         .groupBy("bucket")
         .applyInArrow(_alone(answer_runs, min_bytes=min_bytes), _ddl(ANSWERS))
     )
@@ -373,7 +386,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True,
         + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
         + [T.StructField(n, T.StringType()) for n in ("kept_sha256", "kept")]
     )
-    out = rows.cogroup(told.union(found).groupBy("chunk")).applyInArrow(_both(cover, min_bytes=min_bytes, seed=seed, buckets=run_buckets, keep_text=keep_text), schema)
+    out = rows.cogroup(told.union(found).groupBy("chunk")).applyInArrow(_both(cover, min_bytes=min_bytes, seed=seed, key_buckets=key_buckets, buckets=run_buckets, keep_text=keep_text), schema)
     return out.select("rest.*", *([F.col("kept").alias("text")] if keep_text else []), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
