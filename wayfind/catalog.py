@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfind.plans import behaviour_queries, catalogue_queries, search_queries  # noqa: F401
+from wayfind.plans import behaviour_queries, catalogue_queries, ingest_queries, search_queries  # noqa: F401
 from wayfind.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "covis_neighbors_basket"
