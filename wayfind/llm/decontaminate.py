@@ -10,7 +10,7 @@ Documents never move: test items go to them, in blocks of a bounded number of wo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.shared import slices, text_of, without
+from wayfind.llm.shared import slices, text_of
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
 STRETCH = 13
@@ -126,43 +126,57 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, bl
     whole; items of fewer than 5 words, null or empty ones are never found. Null texts hold nothing. Null doc_ids and
     repeated rows of docs and of benchmark are judged like others. Other columns are ignored. No rows: no result rows.
     """
-    spark = docs.sparkSession
-    texts = benchmark.select("item_id", F.encode(text_of(benchmark), "UTF-8").alias("data"))
-    size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    blocks = slices(size, 2 * block_words)  # a word and the gap after it have 2 bytes at least
-    block_of = F.pmod(F.xxhash64("item_id", "data"), F.lit(blocks))
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *[T.StructField(n, T.LongType()) for n in ("start_word", "equal_words", "item_words")]])
-    out = spark.createDataFrame([], schema)
+    out = docs.sparkSession.createDataFrame([], schema)
     rows = docs.select("doc_id", F.encode(text_of(docs), "UTF-8").alias("data"))
     item_type = pa.string() if isinstance(benchmark.schema["item_id"].dataType, T.StringType) else pa.int64()
-    for block in range(blocks):
-        items = [(r["item_id"], bytes(r["data"])) for r in texts.filter(block_of == block).collect()]
-        shared = spark.sparkContext.broadcast(index(items))
+    for shared in item_blocks(benchmark, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            number = known.numbers.get
             for batch in batches:
-                ids, starts, at = [], [], 0
-                for data in batch.column(1).to_pylist():
-                    words = words_of(data)
-                    ids.append(np.fromiter([number(w, 0) for w in words] + [0] * MASKS[-1][-1], dtype=np.int64, count=len(words) + MASKS[-1][-1]))
-                    starts.append(at)
-                    at += len(ids[-1])
                 best: dict[tuple[int, int], tuple] = {}
-                for text, item, first, equal, n in overlaps(np.concatenate(ids), np.array(starts), known, stretch) if ids else []:
+                for text, item, first, equal, n in batch_overlaps((x.as_py() for x in batch.column(1)), shared.value, stretch):
                     rank = (-equal, first, n)
                     best[text, item] = min(best.get((text, item), rank), rank)
                 found = sorted(best.items())
                 columns = [[first for _, (_, first, _) in found], [-less for _, (less, _, _) in found], [n for _, (_, _, n) in found]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([t for (t, _), _ in found], pa.int64())), pa.array([known.names[k] for (_, k), _ in found], item_type), *[pa.array(c, pa.int64()) for c in columns]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([t for (t, _), _ in found], pa.int64())), pa.array([shared.value.names[k] for (_, k), _ in found], item_type), *[pa.array(c, pa.int64()) for c in columns]], names=schema.names)
 
-        found = rows.mapInArrow(run, schema)
-        out = found if blocks == 1 else out.unionByName(found)
+        out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of docs, with their columns, that overlap no test item. Repeated doc_ids go together."""
-    leaks = find_leaks(docs, benchmark, **parameters).select("doc_id").distinct()
-    return docs.select(*without(docs)).join(leaks, "doc_id", "left_anti")
+def item_blocks(benchmark: DataFrame, block_words: int) -> list:
+    """The test items' indexes, broadcast: as many as it takes for none to hold more than about `block_words` words."""
+    texts = benchmark.select("item_id", F.encode(text_of(benchmark), "UTF-8").alias("data"))
+    size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    blocks = slices(size, 2 * block_words, least=1)  # a word and the gap after it have 2 bytes at least
+    block_of = F.pmod(F.xxhash64("item_id", "data"), F.lit(blocks))
+    spark = benchmark.sparkSession
+    return [spark.sparkContext.broadcast(index([(r["item_id"], bytes(r["data"])) for r in texts.filter(block_of == k).collect()])) for k in range(blocks)]
+
+
+def batch_overlaps(texts: Iterable[bytes], items: Items, stretch: int) -> list[tuple[int, int, int, int, int]]:
+    number = items.numbers.get
+    ids, starts, at, pad = [], [], 0, MASKS[-1][-1]
+    for data in texts:
+        words = words_of(data)
+        ids.append(np.fromiter([number(w, 0) for w in words] + [0] * pad, dtype=np.int64, count=len(words) + pad))
+        starts.append(at)
+        at += len(ids[-1])
+    return overlaps(np.concatenate(ids), np.array(starts), items, stretch) if ids else []
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of docs, with their columns, that overlap no test item; no row moves."""
+    at = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
+    for shared in item_blocks(benchmark, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[x[0] for x in batch_overlaps(((x.as_py() or "").encode() for x in batch.column(at)), shared.value, stretch)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

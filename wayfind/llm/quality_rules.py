@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.shared import without, written
-from wayfind.llm.stats import BASE, with_stats
+from wayfind.llm.shared import written
+from wayfind.llm.stats import BASE, base_of, with_stats
 
 BINS = 4096
 
@@ -96,13 +96,8 @@ def features(n_words: np.ndarray, word_chars: np.ndarray, n_symbols: np.ndarray,
     return np.column_stack([word_chars / words, np.sqrt(n_symbols / words), np.sqrt(n_dup_lines / words), n_repeat_words / words])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 128, sample: int = 256, good_loss: float = 0.002) -> DataFrame:
-    """doc_id, the base statistics, base_failed, anomaly (0 to 1) and kept, for every row of docs.
-
-    Takes doc_id and text of docs, doc_id and quality of labels; other columns are ignored. Null text has no words, so
-    it fails. Null doc_ids are judged, but match no label. Repeated rows are judged alike. With no labelled good row
-    the forest rejects nothing. No rows: no result rows.
-    """
+def fit_rules(docs: DataFrame, labels: DataFrame, trees: int = 128, sample: int = 256, good_loss: float = 0.002) -> tuple[DataFrame, Forest, float]:
+    """The scored statistics of every row of docs, the forest, and the anomaly above which a row is rejected."""
     spark = docs.sparkSession
     stats = written(with_stats(docs).withColumn("base_failed", base_failed()), "rule-stats")
     good = written(labels.filter("quality = 1").select("doc_id").distinct(), "good-labels")
@@ -110,7 +105,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 128, sample:
     drawn = lambda rows: rows.orderBy("draw", *BASE).limit(trees * sample).collect()
     grown_on = drawn(passing.join(good, "doc_id", "left_semi")) or drawn(passing)
     x = np.array([[r[c] for c in BASE] for r in grown_on], dtype=float).reshape(-1, len(BASE))
-    forest = spark.sparkContext.broadcast(grow(features(*x.T), trees, sample))
+    grown = grow(features(*x.T), trees, sample)
+    forest = spark.sparkContext.broadcast(grown)
     schema = T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +123,32 @@ def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 128, sample:
         lost += r["count"]
         if lost > allowed:
             break
+    return scored, grown, threshold
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, **parameters: float) -> DataFrame:
+    """doc_id, the base statistics, base_failed, anomaly (0 to 1) and kept, for every row of docs.
+
+    Takes doc_id and text of docs, doc_id and quality of labels; other columns are ignored. Null text has no words, so
+    it fails. Null doc_ids are judged, but match no label. Repeated rows are judged alike. With no labelled good row
+    the forest rejects nothing. No rows: no result rows.
+    """
+    scored, _, threshold = fit_rules(docs, labels, **parameters)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(threshold)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters: float) -> DataFrame:
-    """The rows of docs, with their columns, that quality_rules keeps. Rows that repeat a doc_id stay if one of them is kept."""
-    kept = quality_rules(docs, labels, **parameters).filter("kept").select("doc_id").distinct()
-    return docs.select(*without(docs)).join(kept, "doc_id", "left_semi")
+    """The rows of docs, with their columns, that quality_rules keeps. Texts are measured again rather than moved to meet their verdicts."""
+    _, forest, threshold = fit_rules(docs, labels, **parameters)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    at = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [base_of((x.as_py() or "").encode())[:5] for x in batch.column(at)]
+            x = np.array(rows, dtype=np.int64).reshape(-1, len(BASE))
+            failed = (x[:, 0] < 50) | (100 * x[:, 4] > 50 * x[:, 0])
+            odd = shared.value.score(features(*x.T.astype(float))) > threshold
+            yield batch.filter(pa.array(~failed & ~odd))
+
+    return docs.mapInArrow(run, docs.schema)
