@@ -81,29 +81,29 @@ def words(vocabulary: str, pattern: str) -> Words:
     return Words(encoder(vocabulary, pattern).encode)
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, closing_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every row: its text's ids, then the closing id.
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, closing_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, unless left out, ids (little-endian unsigned 32-bit) of every row: its text's ids, then the closing id.
 
     Only documents of more than `room` ids are cut, the odd part first.
     """
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.BinaryType()))]])
-    arrow = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), *([("ids", T.BinaryType())] if with_ids else []))]])
+    arrow = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
     close = np.array([closing_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words(vocabulary, pattern)
         for batch in batches:
             rows, of = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = table.document(text) + close
+            for k, cell in enumerate(batch.column(1)):
+                ids = table.document(cell.as_py()) + close
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n - start - 1) % room + 1 if piece == 0 else room
                     part = ids[4 * start : 4 * (start + length)]
-                    rows.append((piece, start, length, zlib.crc32(part), part))
+                    rows.append((piece, start, length, zlib.crc32(part), *([part] if with_ids else [])))
                     of.append(k)
                     start, piece = start + length, piece + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, arrow, strict=True)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)]], names=schema.names)
 
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
 
@@ -224,14 +224,14 @@ def slots(found: Plan) -> dict[int, np.ndarray]:
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, slice_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, slice_rows: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece, all rows of docs.
 
     Takes doc_id and text; other columns are ignored. Null and empty texts are the closing id alone. Null doc_ids and
     repeated rows are packed as rows of their own. No rows: no pieces.
     """
     spark = docs.sparkSession
-    found = pieces(docs, vocabulary, pattern, room).drop("ids")
+    found = pieces(docs, vocabulary, pattern, room, with_ids=False)
     found = written(found.withColumn("slice", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
     total = found.count()
     n = slices(total, slice_rows)

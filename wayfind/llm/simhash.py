@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], dtype=np.uint64)
+            found = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", F.encode(text_of(docs), "UTF-8").alias("data")).mapInArrow(run, schema)

@@ -66,7 +66,8 @@ def with_stats(docs: DataFrame, more: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data in batch.column(1).to_pylist():
+            for cell in batch.column(1):  # one text at a time
+                data = cell.as_py()
                 *base, words, distinct = base_of(data)
                 rows.append((*base, *(more_of(data, words, distinct) if more else ())))
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)

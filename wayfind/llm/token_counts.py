@@ -95,7 +95,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
         scores, longest, byte = unigrams(vocabulary)
         known = _kept(vocabulary)
         for batch in batches:
-            texts = [x.split() for x in batch.column(1).to_pylist()]
+            texts = [x.as_py().split() for x in batch.column(1)]
             seen = Counter(w for words in texts for w in words)
             counts = {w: known[w] for w in seen if w in known}
             fresh = Trie([SPACE + w for w in seen if w not in counts]).walk(scores, longest, byte)
