@@ -87,11 +87,16 @@ def cap_recall(candidates: DataFrame, k: int = 500) -> DataFrame:
 
 
 def prefix_join(prefixes: DataFrame, items: DataFrame, key: str = "key") -> DataFrame:
-    """Requests (query_id, query, …) with the items whose key starts with the query. Keys meet by their leading letters: an equi-join per prefix length at hand."""
-    p = prefixes.withColumn("_p", F.col("query"))
-    lengths = prefixes.select(F.length("query").alias("_len")).distinct()
-    cut = items.join(lengths, F.length(key) >= F.col("_len")).withColumn("_p", F.substring(F.col(key), F.lit(1), F.col("_len"))).drop("_len")
-    return p.join(cut, "_p").drop("_p")
+    """Requests (query_id, query, …) with the items whose key starts with the query: an equi-join on leading letters.
+
+    Each item is cut to the lengths that queries have; there are no more of those than the longest query has letters.
+    """
+    lengths = sorted(r[0] for r in prefixes.select(F.length("query")).distinct().collect() if r[0])
+    if not lengths:
+        lengths = [1]
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(F.col(key)))
+    cut = items.withColumn("_n", F.explode(fits)).withColumn("_p", F.substring(F.col(key), F.lit(1), F.col("_n"))).drop("_n")
+    return prefixes.withColumn("_p", F.col("query")).join(cut, "_p").drop("_p")
 
 
 def per_request_rank(df: DataFrame, by: list[str], order: list) -> DataFrame:
