@@ -148,12 +148,12 @@ def fresh_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.fresh_pool(_requests(spark, sf_dir), src.catalogue(spark, sf_dir), 10, 25).select("request_id", "video_id", "rank")
 
 
-TRENDING = "trending AS (SELECT video_id, row_number() OVER (ORDER BY likes DESC, video_id DESC) AS place FROM catalogue WHERE likes >= 15)"
+TRENDING = "trending AS (SELECT video_id, row_number() OVER (ORDER BY likes DESC, video_id DESC) AS place FROM catalogue WHERE likes >= 15 QUALIFY place <= 500)"
 
 
 def _trending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most liked videos as a gated list; few rows, so one window orders them."""
-    liked = src.catalogue(spark, sf_dir).filter("likes >= 15")
+    """The 500 most liked videos as a gated list."""
+    liked = src.catalogue(spark, sf_dir).filter("likes >= 15").orderBy(F.col("likes").desc(), F.col("video_id").desc()).limit(500)
     return liked.select("video_id", F.row_number().over(Window.orderBy(F.col("likes").desc(), F.col("video_id").desc())).alias("rank"))
 
 

@@ -1,4 +1,4 @@
-"""Reference-shaped views over the star-schema tables: a video catalogue, behaviour events, baskets, texts and queries.
+"""Views over the star-schema tables: a video catalogue, behaviour events, baskets, texts and queries.
 
 Timestamps come without a zone and are read as UTC, so sessions should run with spark.sql.session.timeZone UTC.
 """
