@@ -100,7 +100,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, trees: int = 128, sample: int
     """The scored statistics of every row of docs, the forest, and the anomaly above which a row is rejected."""
     spark = docs.sparkSession
     stats = written(with_stats(docs).withColumn("base_failed", base_failed()), "rule-stats")
-    good = written(labels.filter("quality = 1").select("doc_id").distinct(), "good-labels")
+    good = written(labels.filter("quality = 1").select("doc_id").distinct(), "good-labels").hint("merge")  # it grows with the corpus: never broadcast
     passing = stats.filter(~F.col("base_failed")).select("doc_id", F.xxhash64("doc_id", *BASE).alias("draw"), *BASE)
     drawn = lambda rows: rows.orderBy("draw", *BASE).limit(trees * sample).collect()
     grown_on = drawn(passing.join(good, "doc_id", "left_semi")) or drawn(passing)
