@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, stats, token_counts, urls
+from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, shingles, simhash, stats, token_counts, urls
 from wayfind.llm.catalog import byte_bpe
 from wayfind.llm.components import connected
 
@@ -392,6 +392,43 @@ def test_near_duplicates(odd_docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def plain_similarity(a, b):
+    """Of the sets of five-word runs."""
+    sets = []
+    for t in (a, b):
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_near_copies_are_found_and_others_kept(spark, odd_docs, empty):
+    """Recall of pairs of similarity 0.8 or more against brute force; no link without that similarity."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for k in range(400):
+        w = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        near = list(w)
+        for at in rng.sample(range(100), 1 + k % 5):
+            near[at] = f"x{rng.randrange(5000)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near))]
+        pairs.append(plain_similarity(rows[-2][1], rows[-1][1]) >= 0.8)
+    assert 100 < sum(pairs) < 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    found = [2 * k + 1 not in kept for k in range(400)]
+    assert not any(f and not p for f, p in zip(found, pairs, strict=True))
+    assert sum(f and p for f, p in zip(found, pairs, strict=True)) >= 0.98 * sum(pairs)
+    base = [f"w{n}" for n in range(200)]
+    chain = [" ".join(base[k : k + 120]) for k in range(0, 80, 4)]  # neighbours are similar, ends are not
+    more = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(chain, 1000)), "doc_id long, text string"))
+    own = sorted(docs_of(more), key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
+    root = roots(len(own), [(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if plain_similarity(own[i][1], own[j][1]) >= 0.8])
+    assert Counter(map(tuple, shingles.similar(more).collect())) == Counter((i, own[r][0]) for (i, _), r in zip(own, root, strict=True))
+    assert shingles.similar(empty).count() == 0
+
+
 def test_index_finds_all_links_in_a_large_group():
     rng = np.random.default_rng(6)
     codes = set()

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfind.llm import shingles
 from wayfind.llm.components import connected
 from wayfind.llm.shared import slices, text_of, without, written
 
@@ -204,8 +205,11 @@ def near_duplicates(docs: DataFrame, bits: int = 2, width: int = WIDTH, part_row
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of docs, with their columns, whose doc_id is the least of its component, and rows with null doc_id. Repeated doc_ids stay together."""
-    found = near_duplicates(docs, **parameters)
+def keep_first(docs: DataFrame, similarity: float | None = None, **parameters: int) -> DataFrame:
+    """The rows of docs, with their columns, whose doc_id is the least of its component, and rows with null doc_id. Repeated doc_ids stay together.
+
+    With a similarity, links are pairs whose shingle sets are at least that similar, not those of near fingerprints.
+    """
+    found = near_duplicates(docs, **parameters) if similarity is None else shingles.similar(docs, similarity, **parameters)
     later = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*without(docs)).join(later, "doc_id", "left_anti")
