@@ -224,6 +224,20 @@ def test_pieces_and_packing(spark, odd_docs, empty):
     assert packing.pack(empty, *byte_bpe()).count() == 0
 
 
+def test_packed_rows_hold_their_tokens(odd_docs):
+    rows = packing.pack(odd_docs, *byte_bpe(), room=256, slice_rows=10).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    of = defaultdict(list)
+    for r in rows:
+        if r.doc_id not in (None, 106):
+            of[r.doc_id].append(r)
+    encode = packing.encoder(*byte_bpe())
+    for i, t in docs_of(odd_docs):
+        if i in of:
+            ids = np.frombuffer(b"".join(r.ids for r in sorted(of[i], key=lambda r: r.piece)), dtype="<u4")
+            assert ids[-1] == 0 and encode.decode(ids[:-1].tolist()) == (t or "")
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(2)
     have = np.bincount(np.minimum(rng.lognormal(5.5, 1, 50_000).astype(int) + 1, 2048), minlength=2049)

@@ -57,7 +57,8 @@ FROM judged j
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), *byte_bpe(), room=2048)
+    found = packing.pack(_table(spark, sf_dir, "documents"), *byte_bpe(), room=2048)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

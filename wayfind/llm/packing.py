@@ -93,7 +93,11 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, clo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words(vocabulary, pattern)
         for batch in batches:
-            rows, of = [], []
+            rows, of, size = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)]], names=schema.names)  # noqa: B023
+
             for k, cell in enumerate(batch.column(1)):
                 ids = table.document(cell.as_py()) + close
                 n, start, piece = len(ids) // 4, 0, 0
@@ -103,7 +107,11 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, clo
                     rows.append((piece, start, length, zlib.crc32(part), *([part] if with_ids else [])))
                     of.append(k)
                     start, piece = start + length, piece + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)]], names=schema.names)
+                size += len(ids) if with_ids else 0
+                if size > 1 << 22:
+                    yield out()
+                    rows, of, size = [], [], 0
+            yield out()
 
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
 
@@ -225,13 +233,14 @@ def slots(found: Plan) -> dict[int, np.ndarray]:
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, slice_rows: int = 20_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece, all rows of docs.
+    """doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset: one row a piece, all rows of docs.
 
+    ids are the piece's tokens as little-endian unsigned 32-bit numbers: laid end to end by offset they are the sequence.
     Takes doc_id and text; other columns are ignored. Null and empty texts are the closing id alone. Null doc_ids and
     repeated rows are packed as rows of their own. No rows: no pieces.
     """
     spark = docs.sparkSession
-    found = pieces(docs, vocabulary, pattern, room, with_ids=False)
+    found = pieces(docs, vocabulary, pattern, room)
     found = written(found.withColumn("slice", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
     total = found.count()
     n = slices(total, slice_rows)
@@ -245,7 +254,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, slice
     base = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
     ranked = found.withColumn("nth", F.row_number().over(inside)).join(base, ["length", "slice"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth") - 1).alias("rank"))
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("base") + F.col("nth") - 1).alias("rank"))
     schema = T.StructType([*[f for f in ranked.schema.fields if f.name != "rank"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
