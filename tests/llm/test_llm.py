@@ -251,6 +251,19 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in found) <= 1.002 * -(-(have * np.arange(2049)).sum() // 2048)
 
 
+@pytest.mark.parametrize(("lengths", "slack"), [([100], 1.03), ([1], 1), ([256], 1), ([257], 1.16), (list(range(20, 300)), 1.005), ([16, 676, 680], 1.005)])
+def test_plan_of_short_lengths_only(lengths, slack):
+    have = np.bincount(lengths * 3000, minlength=2049)
+    found = packing.plan(have, 2048)
+    packed = np.zeros_like(have)
+    for own, n in found:
+        assert sum(own) <= 2048
+        for v in own:
+            packed[v] += n
+    assert (packed == have).all()
+    assert sum(n for _, n in found) <= slack * -(-(have * np.arange(2049)).sum() // 2048) + 1
+
+
 # 6
 
 

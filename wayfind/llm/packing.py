@@ -27,6 +27,7 @@ from wayfind.llm.shared import slices, text_of, written
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 KEPT_WORDS = 400_000
+WASTE = 16
 TAIL = ".,!?;:#*$%&|<>)\"'"
 BLANK_PAIRS = tuple(chr(c) + " " for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 GAP = re.compile(r"(?<=\S)(?= \S)")
@@ -120,7 +121,7 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 def patterns(have: np.ndarray, room: int, most: int = 60_000) -> np.ndarray:
-    """Patterns as rows of three lengths (0: none) that fill `room`, or come as near as the lengths at hand allow.
+    """Patterns as rows of three lengths (0: none) that fill `room` but for WASTE tokens; none where the lengths at hand are too short.
 
     For each pair of lengths the third is the longest that fits; pairs are thinned evenly where there are too many.
     """
@@ -140,7 +141,7 @@ def patterns(have: np.ndarray, room: int, most: int = 60_000) -> np.ndarray:
     three = np.column_stack([a, b, longest[room - a - b]])
     found = np.unique(np.sort(np.vstack([two, three]), axis=1)[:, ::-1], axis=0)
     waste = room - found.sum(axis=1)
-    return found[waste <= max(16, int(np.percentile(waste, 50)))]
+    return found[waste <= WASTE]
 
 
 def fit_counts(found: np.ndarray, have: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -163,11 +164,13 @@ def fit_counts(found: np.ndarray, have: np.ndarray, steps: int = 400) -> np.ndar
 
 
 def plan(have: np.ndarray, room: int) -> Plan:
-    """Sequences as (lengths, how many); every piece of the histogram is in one."""
+    """Sequences as (lengths, how many); every piece of the histogram is in one. The better of patterns topped up best-fit and best-fit alone."""
     left = have.astype(np.int64).copy()
     left[0] = 0
     out: Plan = [((room,), int(left[room]))] if left[room] else []
     left[room] = 0
+    alone = best_fit(left, room)
+    taken: Plan = []
     found = patterns(left, room)
     x = fit_counts(found, left)
     for k in np.argsort(-x, kind="stable"):
@@ -180,14 +183,16 @@ def plan(have: np.ndarray, room: int) -> Plan:
         if times > 0:
             for v in lengths:
                 left[v] -= times
-            out.append((lengths, times))
-    return out + best_fit(left, room)
+            taken.append((lengths, times))
+    return out + min(best_fit(left, room, taken), alone, key=lambda p: sum(n for _, n in p))
 
 
-def best_fit(left: np.ndarray, room: int) -> Plan:
-    """Largest first into the fullest sequence with room, over runs of equal lengths and of equal sequences."""
+def best_fit(left: np.ndarray, room: int, begun: Plan = ()) -> Plan:
+    """Largest first into the fullest sequence with room, those begun included, over runs of equal lengths and of equal sequences."""
     open_: dict[int, list[list]] = defaultdict(list)  # free tokens: [lengths, how many]
-    free: list[int] = []  # its keys, sorted
+    for lengths, times in begun:
+        open_[room - sum(lengths)].append([lengths, times])
+    free = sorted(open_)  # its keys
     for length in range(room, 0, -1):
         n = int(left[length])
         while n > 0:
