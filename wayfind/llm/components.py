@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.shared import written
+from wayfind.llm.shared import drop, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -28,12 +28,15 @@ def _mark(links: DataFrame) -> tuple:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """u and root (the least node of its component) for every linked node but the roots. Takes u and v, not null."""
+    """u and root (the least node of its component) for every linked node but the roots, as a written table. Takes u and v, not null."""
     links = written(links.select("u", "v").filter("u <> v").distinct(), "links")
     mark = _mark(links)
     while mark[0]:
-        links = written(_small_star(_large_star(links)), "links")
+        links, last = written(_small_star(_large_star(links)), "links"), links
+        drop(last)
         if (now := _mark(links)) == mark:
             break
         mark = now
-    return links.select("u", F.col("v").alias("root"))
+    roots = links.select("u", F.col("v").alias("root"))
+    roots.written_to = links.written_to
+    return roots
