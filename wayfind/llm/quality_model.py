@@ -87,7 +87,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge
     """
     spark = docs.sparkSession
     names = BASE + MORE
-    stats = with_stats(docs, more=True)
+    stats = with_stats(docs, MORE)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from wayfind.llm.shared import text_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+FOR_RULES = ("n_marks", "n_short")
 MORE = ("n_chars_all", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct", "n_short", "n_shout")
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -58,18 +59,24 @@ def more_of(data: bytes, words: list[bytes], distinct: int) -> tuple[int, ...]:
     return (len(data), data.count(b"\n") + 1, count(UPPER), count(DIGITS), count(MARKS), distinct, sum(len(w) < 4 for w in words), sum(w.isupper() for w in words))
 
 
-def with_stats(docs: DataFrame, more: bool = False) -> DataFrame:
-    """doc_id and the statistics of every row; null text counts as empty. Other columns are left out."""
-    names = BASE + (MORE if more else ())
+def rule_numbers(data: bytes, names: tuple[str, ...] = FOR_RULES) -> tuple[int, ...]:
+    """The base statistics and those of the names (all FOR_RULES, or all MORE, or none)."""
+    *base, words, distinct = base_of(data)
+    if names == FOR_RULES:
+        return (*base, len(data) - len(data.translate(None, MARKS)), sum(len(w) < 4 for w in words))
+    return (*base, *(more_of(data, words, distinct) if names else ()))
+
+
+def with_stats(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the base statistics and more (FOR_RULES or MORE) of every row; null text counts as empty. Other columns are left out."""
+    names = BASE + more
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for cell in batch.column(1):  # one text at a time
-                data = cell.as_py()
-                *base, words, distinct = base_of(data)
-                rows.append((*base, *(more_of(data, words, distinct) if more else ())))
+                rows.append(rule_numbers(cell.as_py(), more))
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", *names])
 
