@@ -2,29 +2,31 @@
 
 A seed mask picks some of a few neighbouring words and ignores the others; equal hashes of the picked words in a test
 item and a document are a hit, which lays the item along the document. A hit counts once some `stretch` words of the
-item, so laid, have no more than `stretch // 5` substitutions. MASKS hit every such stretch of 10 to 20 words,
-whichever words are substituted, so nothing is lost to them (a test counts through all patterns).
+item, so laid, that hold the seed have no more than `stretch // 5` substitutions. MASKS hit every such stretch of 10 to
+20 words, whichever words are substituted, so nothing is lost to them (a test counts through all patterns). Items of
+fewer words than a mask picks are hashed whole.
 
-Documents never move: test items go to them, in blocks of a bounded number of words, one pass over the documents each.
+Both sides' hashes meet in a join. A sieve of fixed size, one bit a hash, goes to the documents first, so that only hashes
+that some item may have leave them, each with the words around it that decide; texts never move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.shared import slices, text_of
+from wayfind.llm.shared import join_spread, text_of, written
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
 STRETCH = 13
-LEAST = 5
-SIEVE = 1 << 20
+SIEVE_BITS = 24
+KEPT_WORDS = 200_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 #: ASCII white space and marks part words
 SPLIT = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -41,142 +43,183 @@ def allowed(n_words: int, stretch: int = STRETCH) -> tuple[int, int]:
     return length, length // 5 if length >= 10 else 0
 
 
-def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """Hash of the picked words at each place, 0 where the mask does not fit or picks a word that no item has."""
-    n = len(ids) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    known = np.ones(n, dtype=bool)
-    for k in mask:
-        known &= ids[k : k + n] != 0
-    at = np.flatnonzero(known)
-    total = np.full(len(at), np.uint64(mask[-1] * 64 + len(mask)))
-    for k, m in zip(mask, MIX, strict=False):
-        total = (total ^ ids[at + k].astype(np.uint64)) * m
-        total ^= total >> np.uint64(31)
-    found = np.zeros(n, dtype=np.uint64)
-    found[at] = total | np.uint64(1)
-    return found
-
+class Hashes(dict):
+    """64-bit hashes of words; those met are kept up to KEPT_WORDS."""
 
-@dataclass(frozen=True)
-class Items:
-    """A block of test items: their word numbers (0 is for all other words) and, by mask, sorted seeds with where they are."""
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
+        if len(self) < KEPT_WORDS:
+            self[word] = found
+        return found
 
-    names: list
-    numbers: dict[bytes, int]
-    ids: list[np.ndarray]
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def index(items: list[tuple[object, bytes]]) -> Items:
-    numbers: dict[bytes, int] = {}
-    names, ids = [], []
-    for name, data in items:
-        words = words_of(data)
-        if len(words) >= LEAST:
-            names.append(name)
-            ids.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], dtype=np.int64))
-    tables = []
-    for mask in MASKS:
-        found = [seeds(x, mask) for x in ids]
-        seed = np.concatenate([*found, np.zeros(0, dtype=np.uint64)])
-        item = np.repeat(np.arange(len(ids)), [len(x) for x in found]) if ids else np.zeros(0, dtype=np.int64)
-        place = np.concatenate([*[np.arange(len(x)) for x in found], np.zeros(0, dtype=np.int64)])
-        order = np.argsort(seed, kind="stable")
-        sieve = np.zeros(SIEVE, dtype=bool)
-        sieve[(seed >> np.uint64(40)).astype(np.int64) % SIEVE] = True
-        tables.append((seed[order], item[order], place[order], sieve))
-    return Items(names, numbers, ids, tables)
-
-
-def overlaps(ids: np.ndarray, starts: np.ndarray, items: Items, stretch: int = STRETCH) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first word of the item in the text, equal words, words of the item) of each overlap; ids: texts end to end."""
-    found = set()
-    for mask, (seed, item, place, sieve) in zip(MASKS, items.tables, strict=True):
-        own = seeds(ids, mask)
-        at = np.flatnonzero(own)
-        at = at[sieve[(own[at] >> np.uint64(40)).astype(np.int64) % SIEVE]]
-        low, high = np.searchsorted(seed, own[at], "left"), np.searchsorted(seed, own[at], "right")
-        n = high - low
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        of = np.repeat(low, n) + nth
-        where = np.repeat(at, n)
-        text = np.searchsorted(starts, where, side="right") - 1
-        found.update(zip(text.tolist(), item[of].tolist(), (where - place[of]).tolist(), strict=True))
-    ends = np.r_[starts[1:], len(ids)]
-    out = []
-    for text, item, first in found:
-        want = items.ids[item]
-        a, b = max(first, int(starts[text])), min(first + len(want), int(ends[text]))
-        equal = np.zeros(len(want), dtype=np.int64)
-        equal[a - first : b - first] = ids[a:b] == want[a - first : b - first]
-        length, differ = allowed(len(want), stretch)
-        total = np.r_[0, np.cumsum(equal)]
-        if (total[length:] - total[:-length]).max() >= length - differ:
-            out.append((text, item, first - int(starts[text]), int(equal.sum()), len(want)))
-    return out
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, block_words: int = 2_000_000) -> DataFrame:
-    """doc_id, item_id, start_word, equal_words, item_words: one row for each row of docs and test item that overlap.
-
-    Of several overlaps of the two the one with most equal words, then the first, is given; start_word counts from the
-    document's first word and is negative where the item's beginning is cut off. Items of 5 to 9 words must occur
-    whole; items of fewer than 5 words, null or empty ones are never found. Null texts hold nothing. Null doc_ids and
-    repeated rows of docs and of benchmark are judged like others. Other columns are ignored. No rows: no result rows.
-    """
-    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *[T.StructField(n, T.LongType()) for n in ("start_word", "equal_words", "item_words")]])
-    out = docs.sparkSession.createDataFrame([], schema)
-    rows = docs.select("doc_id", F.encode(text_of(docs), "UTF-8").alias("data"))
-    item_type = pa.string() if isinstance(benchmark.schema["item_id"].dataType, T.StringType) else pa.int64()
-    for shared in item_blocks(benchmark, block_words):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                best: dict[tuple[int, int], tuple] = {}
-                for text, item, first, equal, n in batch_overlaps((x.as_py() for x in batch.column(1)), shared.value, stretch):
-                    rank = (-equal, first, n)
-                    best[text, item] = min(best.get((text, item), rank), rank)
-                found = sorted(best.items())
-                columns = [[first for _, (_, first, _) in found], [-less for _, (less, _, _) in found], [n for _, (_, _, n) in found]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([t for (t, _), _ in found], pa.int64())), pa.array([shared.value.names[k] for (_, k), _ in found], item_type), *[pa.array(c, pa.int64()) for c in columns]], names=schema.names)
-
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out
-
-
-def item_blocks(benchmark: DataFrame, block_words: int) -> list:
-    """The test items' indexes, broadcast: as many as it takes for none to hold more than about `block_words` words."""
-    texts = benchmark.select("item_id", F.encode(text_of(benchmark), "UTF-8").alias("data"))
-    size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    blocks = slices(size, 2 * block_words, least=1)  # a word and the gap after it have 2 bytes at least
-    block_of = F.pmod(F.xxhash64("item_id", "data"), F.lit(blocks))
-    spark = benchmark.sparkSession
-    return [spark.sparkContext.broadcast(index([(r["item_id"], bytes(r["data"])) for r in texts.filter(block_of == k).collect()])) for k in range(blocks)]
-
-
-def batch_overlaps(texts: Iterable[bytes], items: Items, stretch: int) -> list[tuple[int, int, int, int, int]]:
-    number = items.numbers.get
-    ids, starts, at, pad = [], [], 0, MASKS[-1][-1]
-    for data in texts:
+    def of(self, data: bytes) -> np.ndarray:
         words = words_of(data)
-        ids.append(np.fromiter([number(w, 0) for w in words] + [0] * pad, dtype=np.int64, count=len(words) + pad))
-        starts.append(at)
-        at += len(ids[-1])
-    return overlaps(np.concatenate(ids), np.array(starts), items, stretch) if ids else []
-
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, block_words: int = 2_000_000) -> DataFrame:
-    """The rows of docs, with their columns, that overlap no test item; no row moves."""
-    at = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
-    for shared in item_blocks(benchmark, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                clean[[x[0] for x in batch_overlaps(((x.as_py() or "").encode() for x in batch.column(at)), shared.value, stretch)]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """Hash of the picked words at each place where the mask fits."""
+    n = max(len(ids) - mask[-1], 0)
+    total = np.full(n, np.uint64(mask[-1] * 64 + len(mask)))
+    for k, m in zip(mask, MIX, strict=False):
+        total = (total ^ ids[k : k + n]) * m
+        total ^= total >> np.uint64(31)
+    return total
+
+
+def masks_for(n_words: int) -> list[tuple[int, ...]]:
+    """How an item of so many words is hashed: by the masks, or whole if it has fewer words than they pick."""
+    return list(MASKS) if n_words >= len(MASKS[0]) else [tuple(range(n_words))] if n_words else []
+
+
+#: all ways that documents are hashed; items of one to four words have a way each
+WAYS = (*MASKS, *(tuple(range(n)) for n in range(1, len(MASKS[0]))))
+
+
+def passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether an item may have the hash: the bits for its high and for its low end are set."""
+    size = 1 << SIEVE_BITS
+    return sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] & sieve[size + (hashes & np.uint64(size - 1)).astype(np.int64)]
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """way, hash, place, item (its key) of each seed of the items (item, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for item, cell in zip(batch.column(0), batch.column(1), strict=True):
+                ids = hashes.of(cell.as_py())
+                for mask in masks_for(len(ids)):
+                    found = seeds(ids, mask)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(found), WAYS.index(mask)), pa.int8()), pa.array(found.view(np.int64)), pa.array(np.arange(len(found)), pa.int32()), pa.array(np.full(len(found), item.as_py()), pa.int64())],
+                        names=["way", "hash", "place", "item"],
+                    )
+
+    return items.mapInArrow(run, "way tinyint, hash long, place int, item long")
+
+
+def sieve_of(found: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """A bit for each high end and each low end of a hash that some item has, and the ways in use; 2^(SIEVE_BITS - 5) rows at most reach the driver."""
+    size = 1 << SIEVE_BITS
+    ends = found.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - SIEVE_BITS), F.col("hash").bitwiseAND(F.lit(size - 1)) + F.lit(size))).alias("bit"))
+    word = F.shiftright("bit", 6).cast("int").alias("at")
+    rows = ends.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toPandas()
+    words = np.zeros(2 * size // 64, dtype=np.int64)
+    words[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    ways = sorted(r["way"] for r in found.select("way").distinct().collect())  # len(WAYS) at most
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool), ways
+
+
+def document_hits(docs: DataFrame, sieve: tuple[np.ndarray, list[int]], stretch: int) -> DataFrame:
+    """text_key, n_bytes, way, hash, at, words (hashes of the words around, as bytes), lead (how many of them come before `at`) of each seed that passes the sieve."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)  # 32 MB, whatever the items
+    fields = "text_key long, n_bytes int, way tinyint, hash long, at int, lead tinyint, words binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, ways = shared.value
+        hashes = Hashes()
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.int8(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
+
+        for batch in batches:
+            rows = []
+            for key, size, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = hashes.of(cell.as_py())
+                for way in ways:
+                    found = seeds(ids, WAYS[way])
+                    hit = np.flatnonzero(passes(sieve, found))
+                    reach = WAYS[way][-1] + 1
+                    side = max(stretch - reach, 0) if way < len(MASKS) else 0
+                    for at in hit.tolist():
+                        low = max(at - side, 0)
+                        rows.append((key, size, way, int(found[at].view(np.int64)), at, at - low, ids[low : at + reach + side].tobytes()))
+                if len(rows) > 20_000:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
+
+    return docs.mapInArrow(run, fields)
+
+
+def verify(hits: DataFrame, stretch: int) -> DataFrame:
+    """Of hits with their item (place, item_words) those that lie in a stretch with few substitutions, as text_key, n_bytes, item, start_word, equal_words, item_words."""
+    fields = "text_key long, n_bytes int, item long, start_word long, equal_words long, item_words long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            at, lead, place, way = (c[n].to_numpy() for n in ("at", "lead", "place", "way"))
+            kept, start, equal, size = [], [], [], []
+            for k in range(batch.num_rows):
+                want = np.frombuffer(c["item_words"][k].as_buffer(), dtype="<u8")
+                near = np.frombuffer(c["words"][k].as_buffer(), dtype="<u8")
+                length, differ = allowed(len(want), stretch)
+                first = int(lead[k]) - int(place[k])  # of the item's first word among the words around
+                a, b = max(first, 0), min(first + len(want), len(near))
+                same = np.zeros(len(want), dtype=np.int64)
+                same[a - first : b - first] = near[a:b] == want[a - first : b - first]
+                total = np.r_[0, np.cumsum(same)]
+                if (best := int((total[length:] - total[:-length]).max())) >= length - differ:
+                    kept.append(k)
+                    start.append(int(at[k]) - int(place[k]))
+                    equal.append(best)
+                    size.append(len(want))
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c[n].take(rows) for n in ("text_key", "n_bytes", "item")], *[pa.array(x, pa.int64()) for x in (start, equal, size)]], names=[f.split()[0] for f in fields.split(", ")])
+
+    return hits.mapInArrow(run, fields)
+
+
+def _key(data: Column) -> Column:
+    return F.xxhash64(data).alias("text_key")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
+    """(found, items). found: text_key, n_bytes, item, start_word, equal_words, item_words, one row a pair of texts that overlap; items: item, data."""
+    items = benchmark.select(F.encode(text_of(benchmark), "UTF-8").alias("data")).distinct().select(_key(F.col("data")).alias("item"), "data")
+    items = written(items, "items")
+    marks = written(item_seeds(items), "item-seeds")
+    texts = docs.select(_key(text_of(docs)), F.octet_length(text_of(docs)).alias("n_bytes"), F.encode(text_of(docs), "UTF-8").alias("data"))
+    hits = document_hits(texts, sieve_of(marks), stretch)
+    once = ["text_key", "n_bytes", "way", "hash", "at"]  # copies of a text hit alike
+    hits = written(hits.groupBy(*once).agg(F.max(F.struct("lead", "words")).alias("w")).select(*once, "w.lead", "w.words"), "hits")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes.of(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["item", "item_words"])
+
+    words = items.mapInArrow(numbered, "item long, item_words binary")
+    met = join_spread(written(hits.join(marks, ["way", "hash"]).drop("hash"), "met"), words, "item", F.col("text_key"))
+    found = verify(met.select("text_key", "n_bytes", "way", "at", "lead", "words", "place", "item", "item_words"), stretch)
+    best = F.max(F.struct("equal_words", -F.col("start_word"), "item_words")).alias("b")
+    found = found.groupBy("text_key", "n_bytes", "item").agg(best).select("text_key", "n_bytes", "item", (-F.col("b")["col2"]).alias("start_word"), "b.equal_words", "b.item_words")
+    return written(found, "overlaps"), items
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """doc_id, item_id, start_word, equal_words, item_words: one row for each row of docs and of benchmark that overlap.
+
+    start_word is the place in the document, from 0, of the item's first word (negative where the item's beginning is cut
+    off); equal_words counts equal words of the best stretch. Of several overlaps of the two the one with most equal words,
+    then the first, is given. Items of up to 9 words must occur whole; null and empty items are never found. Null texts hold
+    nothing. Null doc_ids and repeated rows of docs and of benchmark are judged, and given, like others; any type of id will
+    do. Other columns are ignored. Texts of any length are searched whole. No rows: no result rows.
+    """
+    found, _ = overlaps(docs, benchmark, stretch)
+    item = F.xxhash64(F.encode(text_of(benchmark), "UTF-8"))
+    names = benchmark.select("item_id", item.alias("item"))
+    rows = docs.select("doc_id", _key(text_of(docs)), F.octet_length(text_of(docs)).alias("n_bytes"))
+    return rows.join(found, ["text_key", "n_bytes"]).join(names, "item").select("doc_id", "item_id", "start_word", "equal_words", "item_words")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The rows of docs, with their columns, that overlap no test item. Rows of equal text share their verdict, whatever their ids."""
+    found, _ = overlaps(docs, benchmark, stretch)
+    key, size = F.xxhash64(text_of(docs)), F.octet_length(text_of(docs))
+    gone = found.select(F.col("text_key").alias("_k"), F.col("n_bytes").alias("_n")).distinct()
+    return docs.join(gone, (key == F.col("_k")) & (size == F.col("_n")), "left_anti")
