@@ -6,12 +6,14 @@ share theirs, so a run of neighbours with one key travels as one string, at abou
 
 Documents are dealt to chunks, which exchange three rounds of messages with buckets; a message is one row a chunk and
 bucket, and nothing in a bucket grows with how often a string occurs beyond once a chunk:
-1. chunks send keys, buckets answer which ones occur in two documents or more;
-2. chunks send the distinct runs of those keys, each with its least document. A bucket sorts the runs' suffixes and,
-   along the suffix order, looks up each one's previous and next smaller document: where one of the two shares
-   `min_bytes` bytes, the longest previous factor reaches that length, and the suffix is a later copy;
-3. chunks mark the bytes that later copies cover.
-Runs whose key occurs in more than `spread` chunks travel string by string, dealt by the string itself.
+1. chunks send keys, buckets answer which ones occur in two documents or more, and which are hot;
+2. chunks send the distinct runs of those keys, each with its least document. A bucket sorts the runs' suffixes and builds
+   their longest-previous-factor array: along the suffix order each one's previous and next smaller document, and of the
+   two common prefixes the longer one. A run that several chunks send is sorted once, as in its least document;
+3. chunks mark the bytes covered by suffixes whose longest previous factor has `min_bytes`, and by copies of a run that
+   lies in a smaller document.
+Keys that occur in more than `spread` chunks, or whose runs have more than `most_bytes` in all, are hot: their runs travel
+string by string, dealt by the string itself, so no bucket grows with one key.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SLAB = 1 << 19
 LONGEST_RUN = 64
 KEY_BITS = 48  # keys that clash cost work, not results
 PAD = 64
+HEAVY = 4096  # bytes of a key's runs in a chunk from which they are reported
 NO_ID = np.iinfo(np.int64).max  # rows without an id come after all others
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -136,35 +139,45 @@ def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def send_keys(key: tuple, table: pa.Table, *, min_bytes: int, seed: int, buckets: int) -> pa.Table:
-    """A chunk's distinct keys, and which of them two of its documents have."""
+    """A chunk's distinct keys, which of them two of its documents have, and how many bytes the runs of the larger ones take."""
     texts = Texts(table)
-    keys, _, _, row = runs_of(texts, min_bytes, seed)
+    keys, _, count, row = runs_of(texts, min_bytes, seed)
     ids = texts.ids[row] if len(row) else row
     order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+    keys, ids, size = keys[order], ids[order], count[order] + min_bytes - 1
     new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
     twice = np.r_[False, (keys[1:] == keys[:-1]) & (ids[1:] != ids[:-1])][: len(keys)]
     first = np.flatnonzero(new)
-    keys, twice = keys[first], np.logical_or.reduceat(twice, first) if len(first) else twice
-    rows = [(b, key[0].as_py(), squeezed(keys[p]), squeezed(np.packbits(twice[p]))) for b, p in by_bucket(bucket_of(keys, buckets))]
+    if len(first):
+        keys, twice, size = keys[first], np.logical_or.reduceat(twice, first), np.add.reduceat(size, first)
+    rows = []
+    for b, p in by_bucket(bucket_of(keys, buckets)):
+        heavy = np.flatnonzero(size[p] >= HEAVY)
+        rows.append((b, key[0].as_py(), squeezed(keys[p]), squeezed(np.packbits(twice[p])), squeezed(np.r_[heavy, size[p][heavy]].astype("<u4")) if len(heavy) else b""))
     return _table(rows, KEYS_SENT)
 
 
-def answer_keys(key: tuple, table: pa.Table, *, spread: int) -> pa.Table:
-    """To each chunk, bit by bit, which of its keys two documents have, and which of those more than `spread` chunks have."""
+def answer_keys(key: tuple, table: pa.Table, *, spread: int, most_bytes: int) -> pa.Table:
+    """To each chunk, bit by bit, which of its keys two documents have, and which of those are hot."""
     sent = [numbers_of(x, "<u8") for x in table.column("keys").to_pylist()]
     twice = [np.unpackbits(numbers_of(x, "u1"), count=len(k)).astype(bool) for x, k in zip(table.column("twice").to_pylist(), sent, strict=True)]
     found, at, n = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
     shared = n > 1
     shared[at[np.concatenate(twice)]] = True
-    rows, start = [], 0
-    for chunk, keys in zip(table.column("chunk").to_pylist(), sent, strict=True):
+    size = np.zeros(len(found), dtype=np.int64)
+    starts = np.cumsum([0, *map(len, sent)])
+    for start, blob in zip(starts[:-1].tolist(), table.column("heavy").to_pylist(), strict=True):
+        if blob:
+            heavy, many = numbers_of(blob, "<u4").astype(np.int64).reshape(2, -1)
+            size[at[start + heavy]] += many
+    hot = (n > spread) | (size > most_bytes)
+    rows = []
+    for start, chunk, keys in zip(starts[:-1].tolist(), table.column("chunk").to_pylist(), sent, strict=True):
         own = at[start : start + len(keys)]
-        start += len(keys)
         keep = shared[own]
         if keep.any():
-            hot = keep & (n[own] > spread)
-            rows.append((chunk, -1 - key[0].as_py(), squeezed(np.packbits(keep)), squeezed(np.packbits(hot)) if hot.any() else b""))
+            warm = keep & hot[own]
+            rows.append((chunk, -1 - key[0].as_py(), squeezed(np.packbits(keep)), squeezed(np.packbits(warm)) if warm.any() else b""))
     return _table(rows, ANSWERS)
 
 
@@ -220,41 +233,59 @@ def send_runs(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int,
     rows = []
     for b, p in by_bucket(bucket_of(runs.string_key, buckets)):
         strings = [runs.strings[k] for k in p.tolist()]
-        rows.append((b, key[0].as_py(), squeezed(b"".join(strings)), squeezed(runs.string_count[p].astype("u1")), squeezed(runs.least[p]), squeezed((runs.string_key[p] & np.uint64(0xFFFFFFFF)).astype("<u4"))))
+        rows.append((b, key[0].as_py(), squeezed(b"".join(strings)), squeezed(runs.string_count[p].astype("u1")), squeezed(runs.least[p])))
     return _table(rows, RUNS_SENT)
 
 
-def smaller_before(documents: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """For each place the nearest one before it of a smaller document, -1 if none; same: shares the prefix with the place before."""
+def common_prefixes(words: list[np.ndarray], offsets: list[int], most: int) -> np.ndarray:
+    """Of neighbours in suffix order, given as big-endian words at the offsets: how many first bytes they share, up to `most`; 0 for the first."""
+    found = np.zeros(len(words[0]), dtype=np.int64)
+    going = np.ones(max(len(found) - 1, 0), dtype=bool)
+    for word, offset in zip(words, offsets, strict=True):
+        apart = word[1:] ^ word[:-1]
+        ends = np.flatnonzero(going & (apart != 0))
+        zeros = sum((apart[ends] < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(1, 8))
+        found[1:][ends] = offset + zeros
+        going[ends] = False
+    found[1:][going] = most
+    return np.minimum(found, most)
+
+
+def reach_of_smaller(documents: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place in suffix order, how long a prefix it shares with the nearest place before it of a smaller document; 0 if there is none."""
     at = np.arange(len(documents)) - 1
-    at[~same] = -1
-    todo = np.flatnonzero(at >= 0)
+    low = common.copy()
+    todo = np.flatnonzero(low > 0)
     while len(todo := todo[documents[at[todo]] >= documents[todo]]):
+        low[todo] = np.minimum(low[todo], low[at[todo]])
         at[todo] = at[at[todo]]
-        todo = todo[at[todo] >= 0]
-    return at
-
-
-def later_copies(data: np.ndarray, suffixes: np.ndarray, documents: np.ndarray, min_bytes: int) -> np.ndarray:
-    """Which suffixes share their first min_bytes bytes with one of a smaller document: those whose longest previous factor is so long."""
-    parts = [np.lib.stride_tricks.as_strided(np.ndarray((len(data) - 7,), ">u8", data, 0, (1,)))[suffixes + k].astype(np.uint64) for k in [*range(0, min_bytes - 8, 8), min_bytes - 8]]
-    order = np.lexsort(parts[::-1])
-    same = np.ones(len(order), dtype=bool)
-    same[:1] = False
-    for p in parts:
-        p = p[order]
-        same[1:] &= p[1:] == p[:-1]
+        ended = (low[todo] == 0) | (at[todo] < 0)
+        low[todo[ended]] = 0
+        todo = todo[~ended]
+    return low
+
+
+def longest_previous(data: np.ndarray, suffixes: np.ndarray, documents: np.ndarray, most: int) -> np.ndarray:
+    """The longest-previous-factor array, up to `most` bytes: for each suffix, how long a prefix of it also starts in a smaller document.
+
+    The longest match lies with the nearest smaller document before or after it in suffix order.
+    """
+    offsets = [*range(0, most - 8, 8), most - 8]
+    starts = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+    words = [starts[suffixes + k].astype(np.uint64) for k in offsets]
+    order = np.lexsort(words[::-1])
+    common = common_prefixes([w[order] for w in words], offsets, most)
     of = documents[order]
-    earlier = smaller_before(of, same) >= 0
-    earlier |= (smaller_before(of[::-1], np.r_[False, same[1:][::-1]][: len(same)]) >= 0)[::-1]
-    found = np.zeros(len(order), dtype=bool)
-    found[order] = earlier
+    before = reach_of_smaller(of, common)
+    after = reach_of_smaller(of[::-1], np.r_[common[:1], common[1:][::-1]])[::-1]
+    found = np.zeros(len(order), dtype=np.int64)
+    found[order] = np.maximum(before, after)
     return found
 
 
 def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
     """To each chunk, bit by bit, which suffixes of its strings, as in their least document, are later copies."""
-    blobs, counts, least, keys = (table.column(c).to_pylist() for c in ("strings", "counts", "least", "keys"))
+    blobs, counts, least = (table.column(c).to_pylist() for c in ("strings", "counts", "least"))
     blobs, counts = [zstandard.decompress(x) for x in blobs], [numbers_of(x, "u1").astype(np.int64) for x in counts]
     size = [len(x) for x in counts]
     numbers: dict[bytes, int] = {}
@@ -269,23 +300,15 @@ def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
                 at.append(k)
             number[k] = n
             start, k = end, k + 1
-    count, least, keys = np.concatenate(counts), np.concatenate([numbers_of(x, "<i8") for x in least]), np.concatenate([numbers_of(x, "<u4") for x in keys])
+    count, least = np.concatenate(counts), np.concatenate([numbers_of(x, "<i8") for x in least])
     strings, at = list(numbers), np.array(at)
     first = np.full(len(strings), NO_ID)
     np.minimum.at(first, number, least)
-    _, group, members = np.unique(keys[at], return_inverse=True, return_counts=True)
-    mixed = members[group] > 1  # else the key (half of it is sent) has one string alone, whose suffixes occur nowhere else
     own_count = count[at]
     own_start = np.cumsum(own_count) - own_count
-    flags = np.zeros(own_count.sum(), dtype=bool)
-    if mixed.any():
-        which = np.flatnonzero(mixed)
-        data = np.frombuffer(b"".join([strings[w] for w in which.tolist()]) + bytes(8), dtype=np.uint8)
-        n = own_count[which]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        long = n + min_bytes - 1
-        found = later_copies(data, np.repeat(np.cumsum(long) - long, n) + nth, np.repeat(first[which], n), min_bytes)
-        flags[np.repeat(own_start[which], n) + nth] = found
+    long = own_count + min_bytes - 1
+    data = np.frombuffer(b"".join(strings) + bytes(8), dtype=np.uint8)
+    flags = longest_previous(data, spread_out(np.cumsum(long) - long, own_count), np.repeat(first, own_count), min_bytes) >= min_bytes
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     bits = flags[np.repeat(own_start[number], count) + nth] | np.repeat(least > first[number], count)
     rows, start = [], 0
@@ -329,10 +352,10 @@ def cover(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, see
     return pa.Table.from_arrays([rows.column("id"), rows.column("rest"), *found.columns], names=["id", "rest", *found.column_names])
 
 
-KEYS_SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary())]
+KEYS_SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary()), ("heavy", pa.binary())]
 #: from -1 down: which keys are shared, and hot; from 0 up: which suffixes of runs are later copies
 ANSWERS = [("chunk", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary()), ("hot", pa.binary())]
-RUNS_SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("least", pa.binary()), ("keys", pa.binary())]
+RUNS_SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("least", pa.binary())]
 
 
 def _table(rows: list[tuple], schema: list[tuple]) -> pa.Table:
@@ -354,12 +377,12 @@ def _both(f: Callable, **options: object) -> Callable:
     return lambda key, left, right: run(key, left, right)
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True, chunk_bytes: int = 4 << 20, spread: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True, chunk_bytes: int = 4 << 20, spread: int = 1024, most_bytes: int = 32 << 20) -> DataFrame:
     """All rows and columns of docs, plus n_bytes, n_removed, n_spans, kept_sha256; these replace columns of the same names.
 
     Texts are judged as UTF-8 bytes; min_bytes must be 24 or more. text becomes the remaining text (bytes of a character
     that was cut in part are left out; kept_sha256 is of all remaining bytes), or goes unless keep_text. Null text
-    counts as empty. Rows that share a doc_id aren't earlier than one another; rows with null doc_id come after all others.
+    counts as empty; a text of any length is one chunk's. Rows that share a doc_id aren't earlier than one another; rows with null doc_id come after all others.
     No rows: no result rows.
     """
     seed = 3 * min_bytes // 5
@@ -369,11 +392,12 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep_text: bool = True,
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = slices(total, chunk_bytes)
     key_buckets, run_buckets = max(chunks // 8, 12), max(2 * chunks, 12)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("data")), F.lit(chunks)).cast("int")).groupBy("chunk")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "data"), F.lit(chunks)).cast("int"))
+    rows = rows.repartition(slices(chunks, 4), "chunk").groupBy("chunk")  # tasks of four chunks, however many there are
     told = (
         rows.applyInArrow(_alone(send_keys, min_bytes=min_bytes, seed=seed, buckets=key_buckets), _ddl(KEYS_SENT))
         .groupBy("bucket")
-        .applyInArrow(_alone(answer_keys, spread=spread), _ddl(ANSWERS))
+        .applyInArrow(_alone(answer_keys, spread=spread, most_bytes=most_bytes), _ddl(ANSWERS))
     )
     found = (
         rows.cogroup(told.groupBy("chunk"))
