@@ -38,7 +38,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP4_SQL = r"""
+OP4_SQL = rf"""
 WITH parts AS (
   SELECT page_id,
          coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -51,7 +51,7 @@ judged AS (
   FROM parts p)
 SELECT j.page_id, j.host, j.path, j.rule,
        coalesce((SELECT r.verdict FROM rules r WHERE r.host || r.path = j.rule),
-                CASE WHEN regexp_matches(j.host || j.path, '^(?:[^/]*\.)?spam-[a-z0-9-]+\.') OR regexp_matches(j.host || j.path, '(?:^|[./_-])(?:casino|viagra|porn)(?:[./_-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+                CASE WHEN regexp_matches(j.host || j.path, '^(?:[^/]*\.)?spam-[a-z0-9-]+\.') OR regexp_matches(j.host || j.path, '(?:^|[./_-])(?:{'|'.join(urls.WORDS)})(?:[./_-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j
 """
 
