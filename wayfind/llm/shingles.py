@@ -1,9 +1,4 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles: min-hash candidates, each verified on the whole sets.
-
-Texts share a key with probability 1 - (1 - s^ROWS)^BANDS at similarity s: 0.998 at 0.8. Keys only propose pairs. In each
-bucket all texts are first held against its least one; then only pairs that are still in different components are, so a large
-cluster of copies costs its size, and its square only where its texts are not similar to each other.
-"""
+"""Word shingles: their hashes, min-hash keys of their sets, and the similarity of two texts' sets."""
 
 from __future__ import annotations
 
@@ -12,12 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.components import connected
-from wayfind.llm.shared import text_of, written
+from wayfind.llm.shared import join_spread, text_of, written
 
 BANDS = 16
 ROWS = 5
@@ -28,11 +22,11 @@ TURNS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 WEIGHTS = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(data: bytes, width: int) -> np.ndarray:
-    """Hashes of the distinct runs of `width` words, in order; fewer words are one run, none are none."""
+def shingle_hashes(data: bytes, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the runs of `width` words, in order, block by block; fewer words are one run, none are none."""
     words = data.lower().split()
     if not words:
-        return np.zeros(0, dtype=np.uint64)
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     if len(words) < width:
@@ -41,7 +35,29 @@ def shingles(data: bytes, width: int) -> np.ndarray:
         starts = [0, *ends[: len(words) - width].tolist()]
         stops = (ends[width - 1 :] - 1).tolist()
     of = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=len(starts)))
+    for at in range(0, len(starts), 1 << 15):
+        yield np.array([of(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)], strict=True)], dtype="<u8")
+
+
+def fold(blocks: Iterator[np.ndarray]) -> int:
+    """Bit by bit, what more than half of the hashes have."""
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+
+
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """Place of each code in the Gray sequence, where neighbours differ in one bit."""
+    rank = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    return rank
+
+
+def distinct_hashes(data: bytes, width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingle_hashes(data, width)]))
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
@@ -53,29 +69,32 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return ((least.reshape(BANDS, ROWS) * WEIGHTS).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def _node(docs: DataFrame) -> Column:
+def node_of(docs: DataFrame) -> Column:
+    """Rows of equal text are one node."""
     return F.xxhash64(text_of(docs))
 
 
-def _keyed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node (the text's hash), n (distinct shingles) and keys of every row."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+def keyed(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, node, n (distinct shingles), fp (the SimHash of those), rank (its Gray rank) and keys of every row."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("node", "n", "fp", "rank")], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, codes, keys = [], [], []
             for cell in batch.column(2):
-                found = shingles(cell.as_py(), width)
+                found = distinct_hashes(cell.as_py(), width)
+                codes.append(fold(found[at : at + BLOCK] for at in range(0, len(found), BLOCK)))
                 sizes.append(len(found))
                 keys.append(band_keys(found))
+            fp = np.array(codes, dtype=np.uint64)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fp.view(np.int64)), pa.array(gray_rank(fp).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(flat))], names=schema.names)
 
-    return docs.select("doc_id", _node(docs).alias("node"), F.encode(text_of(docs), "UTF-8").alias("data")).mapInArrow(run, schema)
+    return docs.select("doc_id", node_of(docs).alias("node"), F.encode(text_of(docs), "UTF-8").alias("data")).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node and its shingles, for the given nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +102,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             own, held, size = [], [], 0
             for node, cell in zip(batch.column(0), batch.column(1), strict=True):
                 own.append(node.as_py())
-                held.append(shingles(cell.as_py(), width).view(np.int64))
+                held.append(distinct_hashes(cell.as_py(), width).view(np.int64))
                 size += len(held[-1])
                 if size > 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -91,43 +110,28 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    texts = docs.select(_node(docs).alias("node"), F.encode(text_of(docs), "UTF-8").alias("data")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(node_of(docs).alias("node"), F.encode(text_of(docs), "UTF-8").alias("data")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of pairs u, v those whose sets are at least that similar; two empty sets are."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = written(_sets(docs, nodes, width), "shingle-sets")
-    a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("common"))
-    return both.filter(F.col("common") >= similarity * (F.col("n") + F.col("m") - F.col("common")) - 1e-9).select("u", "v")
+def far_bits(similarity: float, bits: int = 64) -> int:
+    """Differing fingerprint bits that sets of that similarity exceed with a probability under 0.0005.
+
+    A bit differs with probability arccos(cosine) / pi; the cosine of sets of one size is 2 s / (1 + s).
+    """
+    p = np.arccos(min(2 * similarity / (1 + similarity), 1.0)) / np.pi
+    return int(np.ceil(bits * p + 3.5 * np.sqrt(bits * p * (1 - p))))
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id and component_id (least doc_id reachable over verified links) for every row.
+def close_sizes(n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m can be that similar."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
-    Null and empty texts are similar to each other and to nothing else. Null doc_ids are never a component's least; a component of null doc_ids
-    only has component_id null. Repeated rows share a component. No rows: no result rows.
-    """
-    rows = written(_keyed(docs, width), "band-keys")
-    texts = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    own = Window.partitionBy("key")
-    dealt = texts.select("node", "n", F.explode("keys").alias("key"))
-    dealt = dealt.select("key", "node", "n", F.min(F.struct("node", "n")).over(own).alias("first"), F.count(F.lit(1)).over(own).alias("many"))
-    members = written(dealt.filter("many > 1").select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "buckets")
-    close = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9  # noqa: E731 - sizes that allow the similarity
-    stars = members.filter(F.col("node") != F.col("first")).filter(close(F.col("n"), F.col("first_n"))).select(F.col("node").alias("u"), F.col("first").alias("v"))
-    links = written(_verified(docs, written(stars.distinct(), "pairs"), width, similarity), "verified")
-    roots = connected(links).withColumnRenamed("u", "node")
-    placed = members.filter(F.col("node") != F.col("first")).join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "placed")
-    kinds = placed.select("key", "root").distinct()
-    apart = kinds.withColumnRenamed("root", "r1").join(kinds.withColumnRenamed("root", "r2"), "key").filter("r1 < r2")
-    side = lambda k: placed.select("key", F.col("root").alias(f"r{k}"), F.col("node").alias(f"x{k}"), F.col("n").alias(f"n{k}"))
-    rest = apart.join(side(1), ["key", "r1"]).join(side(2), ["key", "r2"]).filter(close(F.col("n1"), F.col("n2")))
-    rest = written(rest.select(F.greatest("x1", "x2").alias("u"), F.least("x1", "x2").alias("v")).distinct(), "pairs")
-    links = links.unionByName(_verified(docs, rest, width, similarity))
-    member = rows.select("doc_id", "node").join(connected(links).withColumnRenamed("u", "node"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    member = written(member, "roots")
-    return member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of the distinct pairs u, v those whose sets are at least that similar; two empty sets are. A node may be in many pairs as v."""
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = written(sets_of(docs, nodes, width), "shingle-sets")
+    a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = join_spread(pairs, b, "v", F.col("u")).join(a, "u").select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("common"))
+    return both.filter(F.col("common") >= similarity * (F.col("n") + F.col("m") - F.col("common")) - 1e-9).select("u", "v")

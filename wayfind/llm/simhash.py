@@ -1,54 +1,38 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
-Two 64-bit fingerprints at most `bits` apart agree on all but `bits` of BLOCKS blocks, so each distinct fingerprint
-goes to one group for every choice of the agreeing blocks: 15 groups at 2 bits and 6 blocks, each of at most 2^22
-fingerprints, however the corpus is made. In a group fingerprints are sorted by Gray rank; runs of them are leaves of an
-index whose nodes hold the bits all below share and no node above holds. A search adds up differing bits on the way
-down and leaves out whole nodes once they exceed `bits`. A group emits a spanning forest of its links, never its pairs.
+Distinct fingerprints are sorted by Gray rank, where neighbours differ in few bits, and cut to parts of about `part_codes`.
+One tree lies over them all: its upper levels have a node a part and are sent to every task (16 bytes a part), the levels
+below are built where a part is searched. A node holds the bits that all fingerprints below it share and no node above it
+holds; a search adds up differing bits on the way down and leaves out a whole node once they exceed `bits`. So the upper
+levels say which parts a fingerprint must visit (C(b, 0) + … + C(b, bits) of them at most, on fingerprints without order, b
+bits telling parts apart), and it visits only its own part and later ones, since links go both ways. A part emits a
+spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm import shingles
 from wayfind.llm.components import connected
-from wayfind.llm.shared import slices, text_of, without, written
+from wayfind.llm.shared import drop, join_spread, slices, text_of, without, written
+from wayfind.llm.shingles import close_sizes, far_bits, fold, gray_rank, keyed, shingle_hashes, verified
 
-BLOCKS = 6
 WIDTH = 3
-SEED = 42
-LEAF = 8
+LEAF = 32
 FAN = 8
+BLOCK = 1 << 17
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(data: bytes, width: int = WIDTH) -> int:
-    """Bit by bit, what more than half of the shingles' hashes have; shingles count as often as they occur."""
-    words = data.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    if len(words) < width:
-        starts, stops = [0], [len(joined)]
-    else:
-        starts = [0, *ends[: len(words) - width].tolist()]
-        stops = (ends[width - 1 :] - 1).tolist()
-    of = xxhash.xxh64_intdigest
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(starts), 1 << 15):
-        h = np.array([of(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)], strict=True)], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
+    """Of the text's shingles, each as often as it occurs; 0 without words."""
+    return fold(shingle_hashes(data, width))
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -63,12 +47,11 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", F.encode(text_of(docs), "UTF-8").alias("data")).mapInArrow(run, schema)
 
 
-def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Place of each code in the Gray sequence, where neighbours differ in one bit."""
-    rank = codes.copy()
+def gray_order(fp: Column) -> Column:
+    """gray_rank of a long of 64 bits, as a long that sorts like it."""
     for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 class Union:
@@ -92,32 +75,31 @@ class Union:
             a, b = self.find(a), self.find(b)
 
 
-class Index:
-    """Over codes in Gray order; levels[0] are the leaves."""
+class Tree:
+    """Levels of nodes over a row of bottom nodes in Gray order; levels[0] is the bottom, each node (bits it holds, their values)."""
 
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        same, value = self._factor(np.full(len(codes), FULL), codes, LEAF)
+    def __init__(self, same: np.ndarray, value: np.ndarray) -> None:
         self.levels = [(same, value)]
         while len(same) > 1:
-            same, value = self._factor(same, value, FAN)
+            same, value = self.factor(same, value, FAN)
             self.levels.append((same, value))
-        # each node keeps only the bits that its parent does not hold
+        # each node keeps only the bits that no node above holds
         for k in range(len(self.levels) - 1):
             same, value = self.levels[k]
             above = np.repeat(self.levels[k + 1][0], FAN)[: len(same)]
             self.levels[k] = (same & ~above, value)
-        self.leaf_bits = ~np.repeat(same_all(self.levels), LEAF)[: len(codes)]
 
     @staticmethod
-    def _factor(same: np.ndarray, value: np.ndarray, fan: int) -> tuple[np.ndarray, np.ndarray]:
+    def factor(same: np.ndarray, value: np.ndarray, fan: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each run of `fan` nodes, the bits that all share."""
         at = np.arange(0, len(value), fan)
         high, low = np.bitwise_or.reduceat(value, at), np.bitwise_and.reduceat(value, at)
         return np.bitwise_and.reduceat(same, at) & ~(high ^ low), low
 
-    def search(self, queries: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (number of the query, number of the code) at most `bits` apart, leaf by leaf."""
+    def search(self, queries: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each bottom node that some queries reach: its number, the queries' numbers, their differing bits so far."""
+        if not len(self.levels[0][0]):
+            return
         stack = [(len(self.levels) - 1, 0, np.arange(len(queries)), np.zeros(len(queries), dtype=np.uint8))]
         while stack:
             level, node, who, apart = stack.pop()
@@ -129,87 +111,184 @@ class Index:
             who, apart = who[near], apart[near]
             if level:
                 stack += [(level - 1, k, who, apart) for k in range(node * FAN, min(node * FAN + FAN, len(self.levels[level - 1][0])))]
-                continue
-            first = node * LEAF
-            codes = self.codes[first : first + LEAF]
-            rest = self.leaf_bits[first]
-            hit, code = np.nonzero(apart[:, None] + np.bitwise_count((queries[who][:, None] ^ codes[None, :]) & rest) <= bits)
+            else:
+                yield node, who, apart
+
+
+class Index:
+    """Over distinct codes: the tree over runs of LEAF codes in Gray order, and the codes' bits that no node holds."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        same, value = Tree.factor(np.full(len(codes), FULL), self.codes, LEAF) if len(codes) else (codes, codes)
+        self.rest = ~same
+        self.tree = Tree(same, value)
+
+    def search(self, queries: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (number of the query, number of the code in Gray order) at most `bits` apart, leaf by leaf."""
+        for leaf, who, apart in self.tree.search(queries, bits):
+            codes = self.codes[leaf * LEAF : leaf * LEAF + LEAF]
+            hit, code = np.nonzero(apart[:, None] + np.bitwise_count((queries[who][:, None] ^ codes[None, :]) & self.rest[leaf]) <= bits)
             if len(hit):
-                yield who[hit], first + code
-
-
-def same_all(levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Bits that a leaf or a node above it holds."""
-    held = levels[-1][0]
-    for same, _ in levels[-2::-1]:
-        held = np.repeat(held, FAN)[: len(same)] | same
-    return held
-
-
-def links_in(keys: np.ndarray, codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among codes of equal key: code, root. Codes of a key are distinct."""
-    order = np.lexsort((gray_rank(codes), keys))
-    keys, codes = keys[order], codes[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=int)
-    sizes = np.diff(np.r_[starts, len(keys)])
-    sets = Union(len(codes))
-    group = np.repeat(np.arange(len(starts)), sizes)
-    small = np.repeat(sizes <= 2 * LEAF, sizes)
-    for step in range(1, 2 * LEAF):  # groups no larger than a leaf or two: each code against the next ones
-        at = np.flatnonzero(small[: len(codes) - step] & (group[: len(codes) - step] == group[step:])) if len(codes) > step else np.zeros(0, dtype=int)
-        if not len(at):
-            break
-        near = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= bits]
-        sets.join(near, near + step)
-    for start, size in zip(starts[sizes > 2 * LEAF], sizes[sizes > 2 * LEAF], strict=True):
-        own = codes[start : start + size]
-        index = Index(own)
-        for block in range(0, size, 1 << 16):
-            for a, b in index.search(own[block : block + (1 << 16)], bits):
-                sets.join(start + block + a, start + b)
-    root = sets.find(np.arange(len(codes)))
-    linked = root != np.arange(len(codes))
-    return codes[linked], codes[root[linked]]
-
-
-def near_duplicates(docs: DataFrame, bits: int = 2, width: int = WIDTH, part_rows: int = 500_000) -> DataFrame:
+                yield who[hit], leaf * LEAF + code
+
+
+class Part:
+    """One part while its visitors pass: its own codes first, then others', block by block."""
+
+    def __init__(self, codes: np.ndarray, bits: int) -> None:
+        self.bits, self.index = bits, Index(codes)
+        self.sets = Union(len(codes))
+        own = self.index.codes
+        for at in range(0, len(own), BLOCK):
+            for a, b in self.index.search(own[at : at + BLOCK], bits):
+                self.sets.join(at + a, b)
+        self.root = self.sets.find(np.arange(len(own)))
+
+    def own_links(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the links between its codes: code, root."""
+        linked = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.index.codes[linked], self.index.codes[self.root[linked]]
+
+    def links_of(self, visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each visitor with one code of every component it links to."""
+        found = [(who, self.root[code]) for who, code in self.index.search(visitors, self.bits)]
+        if not found:
+            return visitors[:0], visitors[:0]
+        who, root = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair = np.unique(who * np.int64(len(self.root)) + root)
+        return visitors[pair // len(self.root)], self.index.codes[pair % len(self.root)]
+
+
+def upper_levels(parts: list[tuple[int, int, int]]) -> Tree:
+    """The tree over parts, given as (number, and of its codes, or of its codes)."""
+    both, any_ = (np.array([r[k] for r in sorted(parts)], dtype=np.int64).view(np.uint64) for k in (1, 2))
+    return Tree(~(both ^ any_), both)
+
+
+def links(distinct: DataFrame, bits: int, part_codes: int) -> DataFrame:
+    """u, v: links that connect all fingerprints (column fp, distinct) at most `bits` apart, not all pairs."""
+    n = slices(distinct.count(), part_codes, least=8)
+    placed = distinct.select("fp", gray_order(F.col("fp")).alias("rank")).repartitionByRange(n, "rank").select("fp", F.spark_partition_id().alias("part"))
+    placed = written(placed, "gray-order")
+    nodes = [tuple(r) for r in placed.groupBy("part").agg(F.bit_and("fp"), F.bit_or("fp")).collect()]  # a row a part
+    numbers = np.array(sorted(r[0] for r in nodes), dtype=np.int64)
+    shared = distinct.sparkSession.sparkContext.broadcast((upper_levels(nodes), numbers))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper, number = shared.value
+        for batch in batches:
+            fp, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = [(who, np.full(len(who), number[node])) for node, who, _ in upper.search(fp.view(np.uint64), bits)]
+            who, to = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=int),) * 2
+            own = part[who]
+            keep = to >= own
+            yield pa.RecordBatch.from_arrays([pa.array(to[keep], pa.int32()), pa.array((to > own)[keep].astype(np.int8)), pa.array(fp[who[keep]])], names=["to", "visitor", "fp"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, own, visitors in passing(batches):
+            if own is not None:
+                part = Part(own, bits)
+                found = part.own_links()
+            else:
+                found = part.links_of(visitors)
+            for at in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in found], names=["u", "v"])
+
+    sent = placed.mapInArrow(visit, "to int, visitor tinyint, fp long")
+    return sent.repartition(n, "to").sortWithinPartitions("to", "visitor").mapInArrow(search, "u long, v long")
+
+
+def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray | None, np.ndarray | None]]:
+    """Of rows (to, visitor, fp) in order: for each part its own codes, whole, then its visitors in blocks of about BLOCK."""
+    at, held, size = None, [], 0
+
+    def full() -> tuple:
+        codes = np.concatenate(held)
+        return (at[0], codes, None) if not at[1] else (at[0], None, codes)
+
+    for batch in batches:
+        to, visitor, fp = (batch.column(k).to_numpy() for k in range(3))
+        cuts = np.flatnonzero((to[1:] != to[:-1]) | (visitor[1:] != visitor[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True):
+            if a == b:
+                continue
+            key = (int(to[a]), int(visitor[a]))
+            if key != at or (key[1] and size >= BLOCK):
+                if held:
+                    yield full()
+                at, held, size = key, [], 0
+            held.append(fp[a:b].view(np.uint64))
+            size += b - a
+    if held:
+        yield full()
+
+
+def near_duplicates(docs: DataFrame, bits: int = 2, width: int = WIDTH, part_codes: int = 1 << 18) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links) for every row.
 
     Takes doc_id and text; other columns are ignored. Null and empty texts have fingerprint zero, which links like any
     other. Null doc_ids are never a component's least; a component of null doc_ids only has component_id null. Repeated
-    rows share a fingerprint and so a component. No rows: no result rows.
+    rows share a fingerprint and so a component. A text of any length is hashed whole, in blocks. No rows: no result rows.
     """
     rows = written(fingerprints(docs, width), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    edge = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    masks = []
-    for kept in combinations(range(BLOCKS), BLOCKS - bits):
-        mask = sum(((1 << (edge[k + 1] - edge[k])) - 1) << edge[k] for k in kept)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for k, m in enumerate(masks)])).alias("g"))
-    keyed = keyed.select("fp", F.xxhash64("g.choice", "g.shared").alias("key"))
-    n = slices(distinct.count() * len(masks), part_rows, least=8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if parts:
-            codes, roots = links_in(np.concatenate([k for _, k in parts]), np.concatenate([c for c, _ in parts]).view(np.uint64), bits)
-            for at in range(0, len(codes), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in (codes, roots)], names=["u", "v"])
-
-    links = keyed.repartition(n, "key").mapInArrow(run, "u long, v long")
-    member = distinct.join(connected(links).withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = written(member, "fingerprint-roots")
+    found = connected(links(distinct, bits, part_codes))
+    member = written(distinct.join(found.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+    drop(distinct, found)
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = member.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = written(join_spread(member.select("fp", "root"), least, "root", F.col("fp")).select("fp", "component_id"), "fingerprint-components")
+    drop(member)
+    return join_spread(rows, by_fp, "fp", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 2, part_codes: int = 1 << 18) -> DataFrame:
+    """doc_id and component_id (least doc_id reachable over pairs of texts whose shingle sets are at least that similar) for every row.
+
+    Two ways propose pairs: fingerprints at most `bits` apart by the Gray-order index, and min-hash keys, since at a
+    similarity of 0.8 fingerprints mostly lie 10 bits apart, where no index prunes; a pair at 0.8 shares a key with probability
+    1 - (1 - 0.8^5)^16 = 0.998. In a bucket of texts with one key each is held against the least of them and against its two
+    neighbours before it in Gray order, so a bucket costs its size. Pairs whose fingerprints differ in more than far_bits are
+    left out, and the whole shingle sets decide all others.
+
+    Null and empty texts are similar to each other and to nothing else. Null doc_ids are never a component's least; a component of
+    null doc_ids only has component_id null. Repeated rows share a component. No rows: no result rows.
+    """
+    rows = written(keyed(docs, width), "shingle-keys")
+    texts = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("rank").alias("rank"), F.first("keys").alias("keys")), "texts")
+    one = F.struct("node", "n", "fp", "rank")
+    apart = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= far_bits(similarity)
+    likely = (F.col("a.node") != F.col("b.node")) & close_sizes(F.col("a.n"), F.col("b.n"), similarity) & apart
+    pairs = lambda d: d.filter(likely).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+    # near fingerprints: texts of one fingerprint meet the least of them, and the least ones of linked fingerprints each other
+    hubs = written(texts.groupBy("fp").agg(F.min(one).alias("b")), "fingerprint-hubs")
+    alike = pairs(join_spread(texts.select("fp", one.alias("a"), "node"), hubs, "fp", F.col("node")))
+    side = lambda c, k: hubs.select(F.col("fp").alias(c), F.col("b").alias(k))
+    near = pairs(links(hubs, bits, part_codes).join(side("u", "a"), "u").join(side("v", "b"), "v").select("a", "b"))
+    # min-hash keys
+    dealt = texts.select(one.alias("a"), "node", F.explode("keys").alias("key"))
+    first = dealt.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    members = written(join_spread(dealt, first, "key", F.col("node")).drop("node"), "buckets")
+    piece = F.call_function("shiftrightunsigned", F.col("a.rank"), 63 - F.greatest(F.ceil(F.log2(F.col("many") / 4096.0)), F.lit(0)).cast("int"))  # a hot bucket's Gray order, cut
+    order = Window.partitionBy("key", "_piece").orderBy("a.rank", "a.node")
+    beside = members.withColumn("_piece", piece).select("a", F.array_compact(F.array(F.lag("a", 1).over(order), F.lag("a", 2).over(order))).alias("bs"))
+    beside = beside.select("a", F.explode("bs").alias("b"))
+    proposed = written(alike.unionByName(near).unionByName(pairs(members)).unionByName(pairs(beside)).distinct(), "pairs")
+    roots = connected(verified(docs, proposed, width, similarity))
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    member = written(least.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "roots")
+    drop(texts, hubs, members, proposed, roots)
+    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = written(join_spread(member.select("node", "root"), of_root, "root", F.col("node")).select("node", "component_id"), "components")
+    drop(member)
+    return join_spread(rows.select("doc_id", "node"), of_node, "node", F.col("doc_id")).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float | None = None, **parameters: int) -> DataFrame:
     """The rows of docs, with their columns, whose doc_id is the least of its component, and rows with null doc_id. Repeated doc_ids stay together.
 
-    With a similarity, links are pairs whose shingle sets are at least that similar, not those of near fingerprints.
+    With a similarity, components are those of near_copies, else of near_duplicates.
     """
-    found = near_duplicates(docs, **parameters) if similarity is None else shingles.similar(docs, similarity, **parameters)
+    found = near_duplicates(docs, **parameters) if similarity is None else near_copies(docs, similarity, **parameters)
     later = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*without(docs)).join(later, "doc_id", "left_anti")
