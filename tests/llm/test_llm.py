@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, shingles, simhash, stats, token_counts, urls
+from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, stats, token_counts, urls
 from wayfind.llm.catalog import byte_bpe
 from wayfind.llm.components import connected
 
@@ -122,10 +122,43 @@ def test_forest_paths_isolate_outliers():
     assert quality_rules.grow(x[:0], 4, 8).score(x).shape == (501,)
 
 
-def test_rules_leave_good_documents_alone(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    r = quality_rules.quality_rules(docs, labels).join(labels, "doc_id").filter("quality = 1 AND NOT base_failed").agg(F.avg(F.col("kept").cast("int")).alias("share")).first()
-    assert r.share > 0.98
+def test_rules_part_good_from_bad(spark):
+    """On rows whose labels the threshold has not seen: nearly all good ones stay, most bad ones that pass the base rules go; a plain forest gives the scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.crc32(F.col("doc_id").cast("string")) % 3 != 0
+    scored, forest, threshold = quality_rules.fit_rules(docs, labels.filter(seen))
+    held = scored.filter(~seen & ~F.col("base_failed")).join(labels, "doc_id").toPandas()
+    good, bad = (held[held.quality == q].anomaly > threshold for q in (1, 0))
+    assert len(good) > 900 and len(bad) > 60 and good.mean() < 0.02 and bad.mean() > 0.8
+    kept = quality_rules.keep_good(docs, labels, min_words=1).join(labels.filter("quality = 1"), "doc_id", "left_semi").count()
+    assert kept > 0.98 * labels.filter("quality = 1").count()
+    rows = docs.join(labels, "doc_id").limit(40).collect()
+    numbers = quality_rules._numbers([stats.rule_numbers((r.text or "").encode()) for r in rows])
+    x = quality_rules.features(numbers, forest.typical)
+
+    def path(row, node, level=0):
+        return forest.depth[node] if forest.feature[node] < 0 else path(row, forest.left[node] + (row[forest.feature[node]] >= forest.cut[node]), level + 1)
+
+    want = {r.doc_id: 2 ** (-np.mean([path(v, root) for root in forest.roots]) / forest.norm) for r, v in zip(rows, x, strict=True)}
+    got = {r.doc_id: r.anomaly for r in scored.filter(F.col("doc_id").isin(list(want))).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_drawn_rows_are_bounded_and_repeated_rows_count_once(spark):
+    rows = spark.range(50_000).select(F.xxhash64(F.col("id") % 30_000).alias("draw"), "id")
+    found = quality_rules.drawn(rows, 500)
+    every = sorted(r.draw for r in rows.select("draw").distinct().collect())
+    assert [r.draw for r in found] == every[:500]
+
+
+def test_threshold_parts_bad_from_good():
+    good, bad = np.zeros(quality_rules.BINS + 1), np.zeros(quality_rules.BINS + 1)
+    good[[100, 200, 300]] = 970, 28, 2
+    bad[[150, 250, 400]] = 10, 80, 10
+    best = lambda loss: quality_rules.best_threshold(good, bad, loss) * quality_rules.BINS
+    assert 200 <= best(0.005) < 250 and 250 <= best(0.001) < 400 or best(0.001) >= 300
+    assert quality_rules.best_threshold(good * 0, bad * 0, 0.01) == 2.0
+    assert quality_rules.best_threshold(good, bad * 0, 0.005) == 200 / quality_rules.BINS
 
 
 # 3
@@ -179,11 +212,16 @@ def test_urls(spark):
         "http://spam-farm.example.org/xx": ("block", None), "http://a.org/casino/": ("block", None), "http://a.org/casinos/": ("allow", None), "no scheme": ("allow", None), "": ("allow", None), None: ("allow", None), "x://com/en/": ("block", "com/en/"),
     }
     pages = spark.createDataFrame([(n, u, "h", "v") for n, u in enumerate(cases)], "page_id long, url string, host string, verdict string")
-    for block in (2, 100_000):
-        rows = urls.filter_urls(pages, block_rules=block).collect()
+    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, r.weight) for r in urls.RULES + urls.PATTERNS], "name string, verdict string, pattern string, weight int")
+    for rules, block in ((urls.RULES + urls.PATTERNS, 20), (table, 20), (table, 100_000)):
+        rows = urls.filter_urls(pages, rules, block_rules=block).collect()
         assert {r.url: (r.verdict, r.rule) for r in rows} == cases
     assert {r.host for r in rows if r.url == "http://EXAMPLE.com/en/78?q"} == {"example.com"}
     assert urls.filter_urls(pages.filter("page_id < 0")).count() == 0
+    clash = urls.filter_urls(pages.select("page_id", "url", F.lit(3).alias("_weight")).union(pages.limit(1).select("page_id", "url", F.lit(4))))
+    assert clash.columns == ["page_id", "url", "_weight", "host", "path", "rule", "verdict"] and clash.count() == len(cases) + 1
+    long = spark.createDataFrame([(1, "http://a.com/" + "q/" * 100_000 + "casino/")], "page_id long, url string")
+    assert urls.filter_urls(long).first().verdict == "block"
 
 
 def test_rules_hang_on_their_rarest_token():
@@ -191,6 +229,21 @@ def test_rules_hang_on_their_rarest_token():
     assert [t for t, _ in urls.rare_token(rules, {"com": 9, "en": 3, "shop": 1})] == ["en", "shop"]
 
 
+@pytest.mark.parametrize(
+    ("pattern", "tokens"),
+    [(r"^ads\.", ("ads",)), (r"(?:^|[./])bet365/", ("bet365",)), (r"[-/](?:win)-(?:big)[-/]", ("win", "big")), (r"/a+b/c/", ("c",)), (r"/x(?:\.y)?/zz$", ("zz",)), (r"^(?:[^/]*\.)?q\.net/k", ("q", "net"))],
+)
+def test_literals_come_from_patterns(pattern, tokens):
+    """Whatever matches holds them whole; patterns that have none are refused."""
+    assert urls.literals(pattern) == tokens
+
+
+@pytest.mark.parametrize("pattern", ["casino", r"\d+", r"/[a-z]+x/", r"(?:/a/|/b/)", "/ab*/"])
+def test_patterns_without_a_whole_literal_are_refused(pattern):
+    with pytest.raises(ValueError, match="no token"):
+        urls.Rule("", "block", pattern, 1).literals  # noqa: B018
+
+
 # 5
 
 
@@ -293,21 +346,34 @@ def test_leaks(spark, odd_docs, empty):
         d = decontaminate.words_of(t.encode())
         for k, item in enumerate(items):
             size, off = decontaminate.allowed(len(item))
-            if len(item) < 5:
-                continue
             for a in range(len(item) - size + 1):
                 part = [w.encode() for w in item[a : a + size]]
                 if any(sum(x != y for x, y in zip(d[b : b + size], part, strict=True)) <= off for b in range(len(d) - size + 1)):
                     want.add((i, k))
     got = decontaminate.find_leaks(docs, bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 20 < len(want) < 120
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, block_words=20).collect()} == want
+    assert all(r.item_words == len(items[r.item_id]) and r.equal_words <= r.item_words for r in got.collect())
+    named = decontaminate.find_leaks(docs, bench.withColumn("item_id", F.col("item_id").cast("int")))
+    assert named.schema["item_id"].dataType.simpleString() == "int" and {(r.doc_id, r.item_id) for r in named.collect()} == want
     clean = decontaminate.without_leaks(odd_docs.unionByName(docs, allowMissingColumns=True), bench)
     assert clean.columns == odd_docs.columns and clean.count() == odd_docs.count() + docs.count() - len({i for i, _ in want})
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.filter("item_id < 0")).count() == 0
 
 
+def test_short_items_and_common_phrases(spark):
+    """Items of one to four words stand whole; a phrase of a thousand items is no leak by itself; repeated and null ids are answered like others."""
+    phrase = "which of the following best describes"
+    bench = spark.createDataFrame([*[(n, f"{phrase} x{n} y{n} z{n} a{n} b{n} c{n} d{n} e{n}") for n in range(1000)], (2000, "only four words here"), (2001, "solo"), (2002, "  Solo! "), (2003, "!!")], "item_id int, text string")
+    docs = spark.createDataFrame(
+        [(1, f"say {phrase} nothing at all of that kind"), (2, f"{phrase} x7 y7 z7 a7 zz c7 d7 e7"), (3, "not only four words, but here"), (4, "ONLY four, words here."), (None, "a solo b"), (4, "only four words here"), (5, "soloist")],
+        "doc_id long, text string",
+    )
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert got == Counter({(2, 7): 1, (4, 2000): 2, (None, 2001): 1, (None, 2002): 1})
+    assert sorted(str(r.doc_id) for r in decontaminate.without_leaks(docs, bench).collect()) == ["1", "3", "5"]
+
+
 # 7
 
 
@@ -452,8 +518,23 @@ def test_near_copies_are_found_and_others_kept(spark, odd_docs, empty):
     more = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(chain, 1000)), "doc_id long, text string"))
     own = sorted(docs_of(more), key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
     root = roots(len(own), [(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if plain_similarity(own[i][1], own[j][1]) >= 0.8])
-    assert Counter(map(tuple, shingles.similar(more).collect())) == Counter((i, own[r][0]) for (i, _), r in zip(own, root, strict=True))
-    assert shingles.similar(empty).count() == 0
+    assert Counter(map(tuple, simhash.near_copies(more).collect())) == Counter((i, own[r][0]) for (i, _), r in zip(own, root, strict=True))
+    assert simhash.near_copies(empty).count() == 0
+
+
+def test_near_copies_in_a_crowd(spark):
+    """Many texts share half of their words with all others but are no near copies of them; pairs of near copies among them are found all the same."""
+    rng = random.Random(12)
+    shared = " ".join(f"s{n}" for n in range(100))
+    rows = []
+    for k in range(150):
+        own = [f"c{rng.randrange(10**6)}" for _ in range(100)]
+        near = list(own)
+        near[rng.randrange(100)] = "other"
+        rows += [(2 * k, f"{shared} {' '.join(own)}"), (2 * k + 1, f"{shared} {' '.join(near)}")]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c // 2 == i // 2 for i, c in found.items())
+    assert sum(found[2 * k + 1] == 2 * k for k in range(150)) >= 147
 
 
 def test_index_finds_all_links_in_a_large_group():
@@ -469,10 +550,33 @@ def test_index_finds_all_links_in_a_large_group():
     number = {int(c): n for n, c in enumerate(codes)}
     near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
     want = roots(len(codes), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
-    a, b = simhash.links_in(np.zeros(len(codes), dtype=np.int64), codes, 2)
+    a, b = simhash.Part(codes, 2).own_links()
     assert roots(len(codes), [(number[int(x)], number[int(y)]) for x, y in zip(a, b, strict=True)]) == want and len(a) < len(codes)
 
 
+def test_index_prunes_and_links_across_parts(spark):
+    """On the fingerprints of the documents: few nodes are visited, parts included, and the links are those of brute force."""
+    rows = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("fp").distinct().collect()
+    codes = np.sort(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64))
+    codes = np.unique(np.r_[codes, codes[::7] ^ np.uint64(1 << 63), codes[::11] ^ np.uint64(5)])  # also links over far ends of the order
+    number = {int(c): n for n, c in enumerate(codes)}
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
+    want = roots(len(codes), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    index = simhash.Index(codes)
+    pairs = {(int(codes[q]), int(index.codes[c])) for a, b in index.search(codes, 2) for q, c in zip(a, b, strict=True)}
+    assert len(pairs) == near.sum()
+    many = np.unique(np.random.default_rng(9).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    index = simhash.Index(many)
+    assert sum(len(a) for a, _ in index.search(many, 2)) >= len(many)
+    leaves = len(index.tree.levels[0][0])
+    assert leaves > 600 and sum(len(who) for _, who, _ in index.tree.search(many, 2)) < 0.15 * len(many) * leaves  # leaves reached, of all
+    upper = simhash.upper_levels([(n, int(np.bitwise_and.reduce(c.view(np.int64))), int(np.bitwise_or.reduce(c.view(np.int64)))) for n, c in enumerate(np.array_split(index.codes, 256))])
+    assert sum(len(who) for _, who, _ in upper.search(many, 2)) < 0.3 * len(many) * 256  # parts to visit    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    for part_codes in (100, 10**6):
+        found = [(number[int(np.int64(r.u).view(np.uint64))], number[int(np.int64(r.v).view(np.uint64))]) for r in simhash.links(df, 2, part_codes).collect()]
+        assert roots(len(codes), found) == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(n, n + 1) for n in range(40)] + [(100, n) for n in range(101, 130)] + [(200, 200), (130, 129)]
     got = {r.u: r.root for r in connected(spark.createDataFrame(links, "u long, v long")).collect()}
