@@ -25,8 +25,8 @@ from wayfind.llm.shared import join_spread, text_of, written
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
 STRETCH = 13
-SIEVE_BITS = 24
-KEPT_WORDS = 200_000
+SIEVE_BITS = 22
+KEPT_WORDS = 100_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 #: ASCII white space and marks part words
 SPLIT = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -114,7 +114,7 @@ def sieve_of(found: DataFrame) -> tuple[np.ndarray, list[int]]:
 
 def document_hits(docs: DataFrame, sieve: tuple[np.ndarray, list[int]], stretch: int) -> DataFrame:
     """text_key, n_bytes, way, hash, at, words (hashes of the words around, as bytes), lead (how many of them come before `at`) of each seed that passes the sieve."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)  # 32 MB, whatever the items
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)  # 8 MB, whatever the items
     fields = "text_key long, n_bytes int, way tinyint, hash long, at int, lead tinyint, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

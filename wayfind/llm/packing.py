@@ -26,7 +26,7 @@ from wayfind.llm.shared import slices, text_of, written
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 WASTE = 16
 TAIL = ".,!?;:#*$%&|<>)\"'"
 BLANK_PAIRS = tuple(chr(c) + " " for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
@@ -242,11 +242,12 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, slice
 
     ids are the piece's tokens as little-endian unsigned 32-bit numbers: laid end to end by offset they are the sequence.
     Takes doc_id and text; other columns are ignored. Null and empty texts are the closing id alone. Null doc_ids and
-    repeated rows are packed as rows of their own. No rows: no pieces.
+    repeated rows are packed as rows of their own; pieces of one length go by slice and doc_id. Texts of any length are
+    packed whole. No rows: no pieces.
     """
     spark = docs.sparkSession
     found = pieces(docs, vocabulary, pattern, room)
-    found = written(found.withColumn("slice", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
+    found = written(found.withColumn("slice", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
     total = found.count()
     n = slices(total, slice_rows)
     found = found.withColumn("slice", F.pmod("slice", F.lit(n)).cast("int"))
