@@ -19,7 +19,7 @@ string by string, dealt by the string itself, so no bucket grows with one key.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 import numpy as np
@@ -237,10 +237,10 @@ def send_runs(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int,
     return _table(rows, RUNS_SENT)
 
 
-def common_prefixes(words: list[np.ndarray], offsets: list[int], most: int) -> np.ndarray:
-    """Of neighbours in suffix order, given as big-endian words at the offsets: how many first bytes they share, up to `most`; 0 for the first."""
-    found = np.zeros(len(words[0]), dtype=np.int64)
-    going = np.ones(max(len(found) - 1, 0), dtype=bool)
+def common_prefixes(words: Iterable[np.ndarray], n: int, offsets: list[int], most: int) -> np.ndarray:
+    """Of n neighbours in suffix order, given as big-endian words at the offsets: how many first bytes they share, up to `most`; 0 for the first."""
+    found = np.zeros(n, dtype=np.int64)
+    going = np.ones(max(n - 1, 0), dtype=bool)
     for word, offset in zip(words, offsets, strict=True):
         apart = word[1:] ^ word[:-1]
         ends = np.flatnonzero(going & (apart != 0))
@@ -274,7 +274,8 @@ def longest_previous(data: np.ndarray, suffixes: np.ndarray, documents: np.ndarr
     starts = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
     words = [starts[suffixes + k].astype(np.uint64) for k in offsets]
     order = np.lexsort(words[::-1])
-    common = common_prefixes([w[order] for w in words], offsets, most)
+    common = common_prefixes((w[order] for w in words), len(order), offsets, most)
+    del words
     of = documents[order]
     before = reach_of_smaller(of, common)
     after = reach_of_smaller(of[::-1], np.r_[common[:1], common[1:][::-1]])[::-1]
