@@ -131,6 +131,7 @@ def close_sizes(n: Column, m: Column, similarity: float) -> Column:
 def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of the distinct pairs u, v those whose sets are at least that similar; two empty sets are. A node may be in many pairs as v."""
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    nodes = written(nodes, "pair-nodes")  # of known size, so that Spark chooses whether to move them or the texts
     sets = written(sets_of(docs, nodes, width), "shingle-sets")
     a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = join_spread(pairs, b, "v", F.col("u")).join(a, "u").select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("common"))

@@ -290,5 +290,5 @@ def keep_first(docs: DataFrame, similarity: float | None = None, **parameters: i
     With a similarity, components are those of near_copies, else of near_duplicates.
     """
     found = near_duplicates(docs, **parameters) if similarity is None else near_copies(docs, similarity, **parameters)
-    later = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    later = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "later-copies")  # of known size, so that Spark chooses whether to move them or the texts
     return docs.select(*without(docs)).join(later, "doc_id", "left_anti")
