@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, token_counts, urls
+from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, stats, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics of op2_quality_rules and its base rules alone."""
+    found = stats.with_stats(_table(spark, sf_dir, "documents"))
+    return found.withColumn("base_failed", quality_rules.base_failed())
+
+
+WORD = r"[^\x20\x09-\x0D]"
+RULES_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
+tokens AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+grams AS (SELECT doc_id, pos, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p AS g FROM tokens WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE g IS NOT NULL) WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY 1),
+numbers AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN again a ON a.doc_id = w.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM numbers
+"""
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -131,9 +153,9 @@ FROM sized GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_repeats, op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op6_decontaminate, op7_token_counts, op8_quality_model, op9_chat_format, op10_simhash)
+    own = (op1_repeats, op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op6_decontaminate, op7_token_counts, op8_quality_model, op9_chat_format, op10_simhash, rule_statistics)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op9_chat_format": OP9_SQL}
+    return {"op4_url_filter": OP4_SQL, "op9_chat_format": OP9_SQL, "rule_statistics": RULES_SQL}

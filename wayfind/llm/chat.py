@@ -71,17 +71,18 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """conv_id, valid, n_turns, formatted, loss_spans (array of start and length, in characters of `formatted`).
 
     Takes conv_id, turn, role, text; other columns are ignored. Null text and null role: empty. Turns go by turn (null
-    first), ties by role, then text; repeated rows are turns of their own. Null conv_id is one conversation. No rows: no
-    conversations. A conversation whose roles break the order is formatted all the same, with valid false.
+    first), ties by role, then text; repeated rows are turns of their own. A row without conv_id is a conversation by itself.
+    No rows: no conversations. Texts of any length are formatted whole, as long as their conversation fits a row. A conversation whose roles break the order is formatted all the same, with valid false.
     """
     role, text = (F.coalesce(turns[c].cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = turns.select("conv_id", turns["turn"].alias("turn"), role.alias("role"), text.alias("text"))
+    alone = F.when(turns["conv_id"].isNull(), F.monotonically_increasing_id()).alias("alone")
+    rows = turns.select("conv_id", alone, turns["turn"].alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumn("body", escape(F.col("text"), template))
     before = _pick(F.col("role"), {r: F.lit(m[0]) for r, m in template.marks.items()}, F.concat(F.lit(template.other_marks[0]), escape(F.col("role"), template), F.lit(template.other_marks[1])))
     after = _pick(F.col("role"), {r: F.lit(m[1]) for r, m in template.marks.items()}, F.lit(template.other_marks[2]))
     rows = rows.withColumns({"before": before, "after": after})
     rows = rows.withColumn("size", F.length("before") + F.length("body") + F.length("after"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    order = Window.partitionBy("conv_id", "alone").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"place": F.row_number().over(order), "start": F.sum(F.col("size").cast("long")).over(so_far) - F.col("size")})
     segment = F.struct(
@@ -92,7 +93,7 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
         (F.col("start") + F.length("before")).alias("start"),
         F.length("body").cast("long").alias("length"),
     )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
+    chats = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
     return chats.select(
         "conv_id",
         final_state(F.col("segments.role"), template).isin(*template.accepting).alias("valid"),

@@ -83,7 +83,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge
     Learns labels only from rows whose crc32 of the doc_id as text, mod 5, is not 0 (held_out false); scores never see
     labels, lang, source or doc_id. Null texts count as empty and are scored. Null doc_ids are scored, never learned
     from, and not held out. Repeated labels of a document count once, as their greatest. With a class missing from the
-    labels, every score is the share of good labels, or 0.5 without labels. Other columns are ignored.
+    labels, every score is the share of good labels, or 0.5 without labels. Repeated rows of docs are scored alike, and each
+    is learned from. Other columns are ignored. Texts of any length are measured whole, one at a time. No rows: no result rows.
     """
     spark = docs.sparkSession
     names = BASE + MORE

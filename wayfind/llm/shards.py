@@ -44,7 +44,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, fine: int = 512, overhe
 
     Takes doc_id and text; other columns are ignored. A row's size is its text's UTF-8 bytes plus `overhead`; null text
     counts as empty and groups with empty texts. Rows of equal text share a shard. Slots number a shard's rows from 0
-    without gaps, by slice and doc_id. Null doc_ids and repeated rows are rows like others. No rows: no result rows.
+    without gaps, by slice and doc_id. Null doc_ids and repeated rows are rows like others; texts of any length count whole. Groups of
+    equal size go by their hash. No rows: no result rows.
     """
     text = text_of(docs)
     rows = docs.select(
@@ -52,6 +53,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, fine: int = 512, overhe
         (F.octet_length(text) + overhead).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.sha2(text, 256).alias("same"),
+        F.monotonically_increasing_id().alias("row"),  # so that repeated rows are dealt too; fixed once written
     )
     rows = written(rows, "shard-rows")
     groups = written(rows.groupBy("same").agg(F.sum("size").alias("bytes"), F.sum(F.lit(1)).alias("n")), "shard-groups")
@@ -69,7 +71,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, fine: int = 512, overhe
     rows = rows.withColumn("item", _bundle(F.col("same"), per_level)).join(F.broadcast(bundles), "item", "left")
     rows = rows.withColumn("shard", F.coalesce("own", "shard"))
     n = slices(total[1] or 0, slice_rows)
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)).cast("int"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(n)).cast("int"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "slice").agg(F.sum(F.lit(1)).alias("n"))
     base = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
