@@ -202,6 +202,26 @@ def test_bundles_when_groups_are_many(spark):
     assert loads.max() - loads.min() < 0.02 * loads.sum()
 
 
+def test_bundles_are_as_even_as_single_groups(spark):
+    """Groups just under the share from which they are scheduled one by one: the loads against those of the plain schedule."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(n, f"{n} " + "x" * rng.randrange(1, 400)) for n in range(6000)], "doc_id long, text string")
+    loads = sorted(shards.shard_documents(docs, 4, fine=256).groupBy("shard").agg(F.sum("size").alias("s")).toPandas().s)
+    plain = [0] * 4
+    for _, size in sorted(((r.doc_id, len(r.text) + 8) for r in docs.collect()), key=lambda x: -x[1]):
+        plain[plain.index(min(plain))] += size
+    assert max(loads) - min(loads) < max(plain) - min(plain) + 0.002 * sum(plain)
+
+
+def test_equal_sizes_and_repeated_rows_are_dealt(spark):
+    docs = spark.createDataFrame([(n % 50, f"t{n % 10}") for n in range(1000)] + [(None, None)] * 5, "doc_id long, text string")
+    rows = shards.shard_documents(docs, 3, slice_rows=50).toPandas()
+    assert len(rows) == 1005 and rows.groupby("text_crc32").shard.nunique().max() == 1
+    assert all(sorted(own) == list(range(len(own))) for _, own in rows.groupby("shard").slot)
+    packed = packing.pack(docs, *byte_bpe(), room=16, slice_rows=50).toPandas()
+    assert len(packed) == 1005 and not packed.duplicated(["sequence_id", "offset"]).any()
+
+
 # 4
 
 
@@ -304,6 +324,20 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in found) <= 1.002 * -(-(have * np.arange(2049)).sum() // 2048)
 
 
+def test_ids_of_every_character():
+    """The fast path gives the ids of the JSON vocabulary for each code point, inside a word, after a blank and between blanks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    k = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = packing.words(*byte_bpe())
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 8192):
+        texts = [f"ab{c}cd {c}x {c} y.{c}" for c in chars[at : at + 8192]]
+        for text, want in zip(texts, k.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(table.document(text), dtype="<u4").tolist() == want.ids, ascii(text)
+
+
 @pytest.mark.parametrize(("lengths", "slack"), [([100], 1.03), ([1], 1), ([256], 1), ([257], 1.16), (list(range(20, 300)), 1.005), ([16, 676, 680], 1.005)])
 def test_plan_of_short_lengths_only(lengths, slack):
     have = np.bincount(lengths * 3000, minlength=2049)
@@ -398,9 +432,46 @@ def test_token_counts(odd_docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_shared_prefixes_and_long_pretokens(spark):
+    """The trie's counts are those of each word by itself; a text without blanks is one pre-token, however long."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores, longest, byte = token_counts.unigrams(path)
+    rng = random.Random(2)
+    words = sorted({token_counts.SPACE + "".join(rng.choice("abetionrs\u00e9\u6f22\U0001f600x") for _ in range(rng.randrange(0, 14))) for _ in range(3000)})
+    assert token_counts.count_shared(words, token_counts.pieces_of(path), byte).tolist() == [token_counts.count_alone(w, scores, longest, byte) for w in words]
+    assert token_counts.count_shared([], token_counts.pieces_of(path), byte).tolist() == []
+    long = "".join(rng.choice("thequickbrown") for _ in range(200_000))
+    got = token_counts.count_tokens(spark.createDataFrame([(1, long), (2, long[:63]), (3, long[:64])], "doc_id long, text string"), path).collect()
+    assert [r.n_tokens for r in sorted(got)] == [token_counts.count_alone(token_counts.SPACE + t, scores, longest, byte) for t in (long, long[:63], long[:64])]
+
+
 # 8
 
 
+def test_scores_are_those_of_a_plain_discriminant(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    numbers = stats.with_stats(docs, stats.MORE).toPandas().merge(labels.toPandas(), on="doc_id", how="left")
+    x = quality_model.transform({c: numbers[c].to_numpy(float) for c in stats.BASE + stats.MORE})
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in numbers.doc_id]) & numbers.quality.notna().to_numpy()
+    parts = [x[train & (numbers.quality == k).to_numpy()] for k in (0, 1)]
+    pooled = sum((p - p.mean(axis=0)).T @ (p - p.mean(axis=0)) for p in parts) / (len(parts[0]) + len(parts[1]) - 2)
+    density = []
+    for p in parts:
+        own = 0.9 * np.cov(p.T) + 0.1 * pooled
+        own = 0.98 * own + 0.02 * np.diag(np.diag(pooled) + 1e-6)
+        d = x - p.mean(axis=0)
+        density.append(np.log(len(p)) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(own), d))
+    ratio = density[1] - density[0]
+    got = quality_model.score_quality(docs, labels).toPandas().set_index("doc_id").score[numbers.doc_id].to_numpy()
+    model = quality_model.fit([len(p) for p in parts], [p.sum(axis=0) for p in parts], [p.T @ p for p in parts], 0.1, 0.02)
+    ratio = np.clip(ratio, -quality_model.REACH, quality_model.REACH)
+    assert np.abs(model.log_ratio(x) - ratio).max() < 1e-6
+    order = np.argsort(ratio, kind="stable")
+    assert (np.diff(got[order]) >= -1e-9).all() and got[ratio > 30].min() > 0.5 > got[ratio < -30].max()
+
+
 def test_quality_model(spark, odd_docs, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality_model.score_quality(docs, labels)
@@ -428,16 +499,16 @@ def test_chats_read_back(spark):
     for c in range(60):
         roles = ["system", "user", "assistant", "user", "assistant"] if c % 3 else [rng.choice(("user", "assistant", "tool[/ROLE]", None, "\\")) for _ in range(5)]
         rows += [(c, n, r, rng.choice(nasty) if c else n * "x", "own") for n, r in enumerate(roles)]
-    rows += [(None, None, "user", "x", "own"), (70, 1, "user", "b", ""), (70, 1, "user", "a", ""), (70, 1, "user", "a", "")]
+    rows += [(None, None, "user", "x", "own"), (None, None, "assistant", "y", "own"), (80, 0, "user", "</s>long " * 50_000, "own"), (80, 1, "assistant", "<s>\\" * 50_000, "own"), (70, 1, "user", "b", ""), (70, 1, "user", "a", ""), (70, 1, "user", "a", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start string")
     out = chat.format_chats(turns)
     read = out.withColumns({"read": chat.read_turns(F.col("formatted")), "under": chat.read_loss(F.col("formatted"), F.col("loss_spans"))}).collect()
     want = defaultdict(list)
-    for c, n, r, t, _ in rows:
-        want[c].append((n if n is not None else -1, r or "", t or ""))
+    for k, (c, n, r, t, _) in enumerate(rows):
+        want[c if c is not None else f"alone {k}"].append((n if n is not None else -1, r or "", t or ""))
     assert len(read) == len(want)
     for r in read:
-        told = [x[1:] for x in sorted(want[r.conv_id])]
+        told = [x[1:] for x in (sorted(want[r.conv_id]) if r.conv_id is not None else next(w for k, w in want.items() if str(k).startswith("alone") and w[0][1] == r.read[0]["role"]))]
         assert [tuple(t) for t in r.read] == told and r.n_turns == len(told)
         assert r.under == "".join(t for role, t in told if role == "assistant")
         if r.conv_id and r.conv_id < 60 and r.conv_id % 3:
@@ -571,7 +642,8 @@ def test_index_prunes_and_links_across_parts(spark):
     leaves = len(index.tree.levels[0][0])
     assert leaves > 600 and sum(len(who) for _, who, _ in index.tree.search(many, 2)) < 0.15 * len(many) * leaves  # leaves reached, of all
     upper = simhash.upper_levels([(n, int(np.bitwise_and.reduce(c.view(np.int64))), int(np.bitwise_or.reduce(c.view(np.int64)))) for n, c in enumerate(np.array_split(index.codes, 256))])
-    assert sum(len(who) for _, who, _ in upper.search(many, 2)) < 0.3 * len(many) * 256  # parts to visit    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    assert sum(len(who) for _, who, _ in upper.search(many, 2)) < 0.3 * len(many) * 256  # parts to visit
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
     for part_codes in (100, 10**6):
         found = [(number[int(np.int64(r.u).view(np.uint64))], number[int(np.int64(r.v).view(np.uint64))]) for r in simhash.links(df, 2, part_codes).collect()]
         assert roots(len(codes), found) == want
@@ -587,13 +659,51 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_pipeline(spark):
+    """Each stage, on what the one before it kept, against a brute-force version of it."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, stages = whole.columns, [f for _, f in corpus_pipeline.STAGES]
+    docs = whole
+    seen = []
+    for stage in stages[:-1]:
         docs = stage(spark, docs, SF).cache()
-        assert docs.columns == columns and 0.4 * n < docs.count() <= n
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect()))
+        assert docs.columns == columns and docs.count() > 0.4 * whole.count()
+        seen.append(sorted(docs_of(docs)))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scored, _, threshold = quality_rules.fit_rules(whole, labels, min_words=1)
+    fine = {r.doc_id for r in scored.collect() if not r.base_failed and r.anomaly <= threshold}
+    assert seen[0] == sorted((i, t) for i, t in docs_of(whole) if i in fine and plain_stats(t)[0] and 2 * plain_stats(t)[4] <= plain_stats(t)[0])
+    root = roots(len(seen[0]), [(i, j) for i in range(len(seen[0])) for j in range(i) if plain_similarity(seen[0][i][1], seen[0][j][1]) >= 0.8])
+    assert seen[1] == [r for k, r in enumerate(seen[0]) if root[k] == k]
+    kept = {i: sha for i, _, _, _, sha in plain_repeats(seen[1], 50)}
+    assert [i for i, _ in seen[2]] == [i for i, _ in seen[1]]
+    assert sum(hashlib.sha256(t.encode()).hexdigest() == kept[i] for i, t in seen[2]) > 0.95 * len(kept)  # a cut inside a character leaves bytes that are no text
+    items = [decontaminate.words_of(r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def leaks(text):
+        d = decontaminate.words_of((text or "").encode())
+        for item in items:
+            size, off = decontaminate.allowed(len(item))
+            for a in range(len(item) - size + 1):
+                part = item[a : a + size]
+                for b in range(len(d) - size + 1):
+                    if sum(x != y for x, y in zip(d[b : b + size], part, strict=True)) <= off:
+                        return True
+        return False
+
+    own = set(map(tuple, seen[3]))
+    rng = random.Random(1)
+    for r in [x for x in seen[2] if tuple(x) not in own] + rng.sample(seen[3], min(len(seen[3]), 12)):
+        assert leaks(r[1]) == (tuple(r) not in own)
+    packed = stages[-1](spark, docs, SF)
+    want = Counter()
+    encode = packing.encoder(*byte_bpe())
+    for i, t in seen[3]:
+        ids = [*encode.encode(t or "", allowed_special={packing.SPECIAL}, disallowed_special=()), 0]
+        cut = len(ids) % 2048
+        starts = [0, *range(cut, len(ids), 2048)] if len(ids) > 2048 and cut else list(range(0, len(ids), 2048))
+        for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            want[i, n, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())] += 1
+    assert Counter(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect())) == want
+    assert Counter(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == want
