@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Field weights of the text index
-WEIGHTS = {"title": 1.0, "tags": 0.4, "channel": 0.4, "description": 0.2}
+WEIGHTS = {"title": 1.0, "tags": 0.4, "channel": 0.4, "description": 0.2, "body": 0.2}
 DESCRIPTION_CHARS = 2000
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -36,18 +36,19 @@ def terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """video_id, term, pos, weight: positions go on from title to tags, channel and description."""
+    """video_id, term, pos, weight: positions go on from title to tags, channel, description (its first DESCRIPTION_CHARS) and body (whole); fields that docs lack are empty."""
     fields = {
         "title": terms(F.col("title")),
         "tags": terms(tags_to_text(F.col("tags"))),
         "channel": terms(F.col("channel_name")),
-        "description": terms(F.substring("description", 1, DESCRIPTION_CHARS)),
+        "description": terms(F.substring("description", 1, DESCRIPTION_CHARS)) if "description" in docs.columns else None,
+        "body": terms(F.col("body")) if "body" in docs.columns else None,
     }
 
     def weighed(words: Column, weight: float) -> Column:
         return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
 
-    return docs.select("video_id", F.posexplode(F.concat(*[weighed(words, WEIGHTS[name]) for name, words in fields.items()])).alias("pos", "p")).select("video_id", "p.term", (F.col("pos") + 1).alias("pos"), "p.weight")
+    return docs.select("video_id", F.posexplode(F.concat(*[weighed(words, WEIGHTS[name]) for name, words in fields.items() if words is not None])).alias("pos", "p")).select("video_id", "p.term", (F.col("pos") + 1).alias("pos"), "p.weight")
 
 
 def trigrams(text: Column) -> Column:

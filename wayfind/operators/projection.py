@@ -1,7 +1,8 @@
 """Catalogue projection: domain events, in order of arrival, folded onto documents.
 
 Channel and owner events name no videos. They meet the videos whose channel (owner) it was at that point of the
-order: intervals from the video's own events, an equi-join on channel (owner), and a comparison of order numbers. Then
+order: intervals from the video's own events, an equi-join on channel (owner), and a comparison of order numbers. Ends of reconcile runs concern all videos, but
+between two events of a video at most two of them can tell: the first one, and the first of another run. Then
 each video's events are folded in order, in one expression. A video's events must fit a row.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfind.operators.predicates import eligibility
 
@@ -33,6 +35,39 @@ def _mark(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.select("video_id", "seq", value.alias(name))
 
 
+def next_ends(marks: DataFrame, ends: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """video_id, seq, run_id: after each mark (video_id, seq) the first of the ends (seq, run_id), and the first end of another run than that one's.
+
+    Order numbers are cut to buckets of `width`, which are looked through by themselves; what a bucket lacks comes from a
+    summary of one row a bucket.
+    """
+    bucket = F.floor(F.col("seq") / width)
+    end = F.struct("seq", "run_id")
+    ends = ends.select("seq", "run_id").withColumn("_b", bucket)
+    inside = Window.partitionBy("_b").orderBy("seq")
+    after = inside.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumn("_turn", F.lag(F.lit(1)).over(inside).isNotNull() & ~F.lag(end).over(inside)["run_id"].eqNullSafe(F.col("run_id")))
+    ends = ends.withColumn("_other", F.first(F.when(F.col("_turn"), end), ignorenulls=True).over(after))
+    # a row a bucket: its first and last end, its first turn, and whether its first end is one
+    rows = ends.groupBy("_b").agg(F.min_by(F.struct("seq", "run_id", "_other"), "seq").alias("f"), F.max_by("run_id", "seq").alias("last"), F.min(F.when(F.col("_turn"), end)).alias("turn"))
+    every = Window.orderBy("_b")
+    later = every.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("turn", F.when(F.lag(F.lit(1)).over(every).isNotNull() & ~F.lag("last").over(every).eqNullSafe(F.col("f.run_id")), F.struct("f.seq", "f.run_id")).otherwise(F.col("turn")))
+    rows = rows.withColumns({"next_turn": F.first("turn", ignorenulls=True).over(later), "beyond": F.coalesce(F.col("f._other"), F.first("turn", ignorenulls=True).over(later))})
+    rows = rows.select("_b", "f", "beyond", "next_turn")
+    both = marks.select("video_id", "seq").withColumns({"_b": bucket, "_e": F.lit(None).cast(T.StructType([*[ends.schema[c] for c in ("seq", "run_id", "_other")]]))})
+    both = both.unionByName(ends.select(F.lit(None).cast(marks.schema["video_id"].dataType).alias("video_id"), "seq", "_b", F.struct("seq", "run_id", "_other").alias("_e")))
+    found = both.withColumn("_a", F.first("_e", ignorenulls=True).over(after)).filter("_e IS NULL")
+    # marks with no end left in their bucket take the next bucket that has some
+    every_bucket = both.select("_b").distinct().join(rows, "_b", "left")
+    follows = every_bucket.select("_b", F.first(F.when(F.col("f").isNotNull(), F.struct("f", "beyond")), ignorenulls=True).over(later).alias("n"))
+    own = found.filter("_a IS NOT NULL").join(rows.select("_b", "next_turn"), "_b", "left")
+    own = own.select("video_id", F.explode(F.array_compact(F.array(F.struct("_a.seq", "_a.run_id"), F.coalesce("_a._other", "next_turn")))).alias("e"))
+    rest = found.filter("_a IS NULL").join(follows.filter("n IS NOT NULL"), "_b")
+    rest = rest.select("video_id", F.explode(F.array_compact(F.array(F.struct("n.f.seq", "n.f.run_id"), F.col("n.beyond")))).alias("e"))
+    return own.unionByName(rest).select("video_id", "e.seq", "e.run_id").distinct()
+
+
 def project_catalogue(docs: DataFrame, events: DataFrame, reconciled: bool = True) -> DataFrame:
     """Documents after the events.
 
@@ -54,13 +89,10 @@ def project_catalogue(docs: DataFrame, events: DataFrame, reconciled: bool = Tru
     by_owner = _reach(events.filter("type = 'user.suppress'"), _intervals(owners, "o"), "user_id", "o")
     rows = own.unionByName(by_channel).unionByName(by_owner)
     if reconciled:
-        # ends of runs concern all videos: a few control rows, as one array in every fold
-        ends = [(r["seq"], r["run_id"]) for r in events.filter("type = 'reconcile.end'").select("seq", "run_id").collect()]
-        videos = rows.select("video_id").unionByName(docs.select("video_id")).distinct()
-        if ends:
-            each = F.explode(F.array(*[F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(run).alias("run_id")) for seq, run in ends])).alias("end")
-            given = blank | {"seq": F.col("end.seq"), "type": F.lit("reconcile.end"), "run_id": F.col("end.run_id")}
-            rows = rows.unionByName(videos.select("video_id", each).select("video_id", *[given[c].alias(c) for c in EVENT if c != "video_id"]))
+        marks = rows.select("video_id", "seq").unionByName(docs.select("video_id", F.lit(-1).cast(rows.schema["seq"].dataType).alias("seq"))).distinct()
+        given = blank | {"seq": F.col("seq"), "type": F.lit("reconcile.end"), "run_id": F.col("run_id")}
+        ends = next_ends(marks, events.filter("type = 'reconcile.end'"))
+        rows = rows.unionByName(ends.select("video_id", *[given[c].alias(c) for c in EVENT if c != "video_id"]))
     history = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in EVENT if c not in ("video_id", "seq")]))).alias("events"))
     state = F.struct(
         F.lit(True).alias("exists"), *[F.col(c) for c in DOC_FIELDS], F.col("views"), F.col("likes"), F.col("eligible"), F.col("suppressed_reason").alias("reason"), F.col("reconcile_run_id").alias("run_id")

@@ -38,9 +38,13 @@ def fts_candidates(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return met.select("query_id", "video_id").join(banned, ["query_id", "video_id"], "left_anti")
 
 
-def text_rank(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, video_id, text_rank: summed weights for one term, cover density for several. Documents that lack a term rank 0 and are left out."""
-    hits = query_terms(queries).join(postings, "term")
+def text_rank(queries: DataFrame, postings: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """query_id, video_id, text_rank: summed weights for one term, cover density for several. Documents that lack a term rank 0 and are left out.
+
+    With candidates (query_id, video_id) only their postings are read, else those of every document that holds a term.
+    """
+    terms_ = query_terms(queries)
+    hits = terms_.join(postings, "term") if candidates is None else candidates.select("query_id", "video_id").join(terms_, "query_id").join(postings, ["video_id", "term"])
     spots = F.array_sort(F.collect_list(F.struct("pos", F.col("number").alias("term"), "weight")))
     found = hits.groupBy("query_id", "video_id", "n_terms").agg(F.sum("weight").alias("total"), spots.alias("spots"))
     return found.select("query_id", "video_id", F.when(F.col("n_terms") == 1, F.col("total")).otherwise(cover_density(F.col("spots"), F.col("n_terms"))).alias("text_rank"))

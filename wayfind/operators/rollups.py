@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfind.functions.hashing import subject, utc_day_stamp, uuid_v5
 from wayfind.functions.scoring import COMPLETED_WEIGHT, MEANINGFUL_WEIGHT, PLAY_WEIGHT, decay_factor, seconds_between
 from wayfind.operators.predicates import collects_history, is_meaningful
-from wayfind.operators.windows import first_per_key
+from wayfind.operators.windows import clamp_limit, first_per_key, page
 
 DERIVED_NAMESPACE = "6ba7b814-9dad-11d1-80b4-00c04fd430c8"  # fixed value
 
@@ -101,32 +101,50 @@ def fold_engagement(existing: DataFrame, events: DataFrame) -> DataFrame:
 def attribute_query(watches: DataFrame, events: DataFrame) -> DataFrame:
     """Each watch (id, session_id, video_id, occurred_at) with query: that of the latest click or play on the video in its session no later than the watch; ties to the highest id."""
     sources = events.filter("type IN ('search.result_clicked', 'video.play_started') AND normalized_query IS NOT NULL")
-    sources = sources.select(F.col("session_id").alias("s"), F.col("video_id").alias("v"), F.col("occurred_at").alias("at"), F.col("id").alias("sid"), F.col("normalized_query").alias("query"))
-    met = watches.join(sources, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("video_id") == F.col("v")) & (F.col("at") <= F.col("occurred_at")), "left")
-    best = met.groupBy("id").agg(F.max_by("query", F.struct("at", "sid")).alias("query"))
-    return watches.join(best, "id")
+    sources = sources.select("session_id", "video_id", "occurred_at", F.col("id").alias("_n"), F.lit(0).alias("_watch"), F.col("normalized_query").alias("_query"))
+    rows = watches.withColumns({"_n": F.col("id"), "_watch": F.lit(1)}).unionByName(sources, allowMissingColumns=True)
+    # a watch comes after the sources of its instant; null sessions are one
+    before = Window.partitionBy("session_id", "video_id").orderBy("occurred_at", "_watch", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("query", F.last("_query", ignorenulls=True).over(before))
+    return rows.filter("_watch = 1").select(*watches.columns, "query")
 
 
-def derive_meaningful_watch(events: DataFrame, existing: DataFrame | None = None, seconds: float = 30, percent: float = 30) -> DataFrame:
-    """Meaningful watches of the progress events: one a subject, video and UTC day, under an id made from the three; those in `existing` are left out."""
+def derive_meaningful_watch(events: DataFrame, existing: DataFrame | None = None, seconds: float = 30, percent: float = 30, sources: DataFrame | None = None) -> DataFrame:
+    """Meaningful watches of the progress events: one a subject, video and UTC day, under an id made from the three; those in `existing` are left out.
+
+    The query comes from clicks and plays among `sources`, the events themselves if not given.
+    """
     watch = events.filter("type = 'video.watch_progress' AND video_id IS NOT NULL").filter(is_meaningful(F.col("position_seconds"), F.col("duration_seconds"), seconds, percent))
     name = F.concat_ws("|", F.lit("mw"), subject(F.col("user_id"), F.col("session_id"), "anon"), F.col("video_id").cast("string"), utc_day_stamp(F.col("occurred_at")))
     once = first_per_key(watch.withColumn("event_uuid", uuid_v5(DERIVED_NAMESPACE, name)), ["event_uuid"], [F.col("id")])
     if existing is not None:
         once = once.join(existing.select("event_uuid"), "event_uuid", "left_anti")
-    found = attribute_query(once, events)
+    found = attribute_query(once, events if sources is None else sources)
     return found.select("event_uuid", "id", F.lit("video.meaningful_watch").alias("type"), "user_id", "session_id", F.col("query").alias("normalized_query"), "video_id", "occurred_at", F.coalesce("allow_history", F.lit(False)).alias("allow_history"))
 
 
-def watch_projection(events: DataFrame, as_of: Column, half_life_h: float = 720.0) -> DataFrame:
-    """user_id, video_id, weight, last_watched_at: plays, meaningful watches and completions, decayed from their own time; gated by consent."""
+def consented_watches(events: DataFrame) -> DataFrame:
+    """Plays, meaningful watches and completions of consenting signed-in users, with their weight."""
     weights = {"video.play_started": PLAY_WEIGHT, "video.meaningful_watch": MEANINGFUL_WEIGHT, "video.completed": COMPLETED_WEIGHT}
     weight = F.lit(None).cast("double")
     for t, w in weights.items():
         weight = F.when(F.col("type") == t, w).otherwise(weight)
     gate = collects_history(F.col("type"), F.col("allow_history"), F.col("user_id")) | ((F.col("type") == "video.meaningful_watch") & F.col("allow_history") & F.col("user_id").isNotNull())
-    rows = events.filter(gate & weight.isNotNull() & F.col("video_id").isNotNull())
-    return rows.groupBy("user_id", "video_id").agg(F.sum(weight * decay_factor(seconds_between(as_of, "occurred_at"), half_life_h * 3600)).alias("weight"), F.max("occurred_at").alias("last_watched_at"))
+    return events.filter(gate & weight.isNotNull() & F.col("video_id").isNotNull()).withColumn("weight", weight)
+
+
+def watch_projection(events: DataFrame, as_of: Column, half_life_h: float = 720.0) -> DataFrame:
+    """user_id, video_id, weight, last_watched_at: consented watches, decayed from their own time."""
+    rows = consented_watches(events)
+    return rows.groupBy("user_id", "video_id").agg(F.sum(F.col("weight") * decay_factor(seconds_between(as_of, "occurred_at"), half_life_h * 3600)).alias("weight"), F.max("occurred_at").alias("last_watched_at"))
+
+
+def fold_projection(existing: DataFrame, events: DataFrame, half_life_h: float = 720.0) -> DataFrame:
+    """Watch weights after more events. A weight holds at the pair's last watch: both sides are decayed to the later of theirs, then added."""
+    rows = consented_watches(events).select("user_id", "video_id", "weight", F.col("occurred_at").alias("last_watched_at"))
+    rows = existing.select("user_id", "video_id", "weight", "last_watched_at").unionByName(rows)
+    rows = rows.withColumn("_t", F.max("last_watched_at").over(Window.partitionBy("user_id", "video_id")))
+    return rows.groupBy("user_id", "video_id").agg(F.sum(F.col("weight") * decay_factor(seconds_between("_t", "last_watched_at"), half_life_h * 3600)).alias("weight"), F.max("_t").alias("last_watched_at"))
 
 
 def prune_projection(projection: DataFrame, as_of: Column, half_life_h: float = 720.0, floor: float = 0.05) -> DataFrame:
@@ -141,6 +159,36 @@ def search_history(events: DataFrame) -> DataFrame:
     )
 
 
+def fold_history(existing: DataFrame, events: DataFrame) -> DataFrame:
+    """The history after more events: counts add up, the display of the newer search wins, and a search that was hidden is shown again once it is repeated."""
+    new = search_history(events)
+    key = ["user_id", "normalized_query"]
+    both = existing.select(*key, "display_query", "use_count", "last_used_at", "hidden", F.lit(0).alias("_new")).unionByName(new.select(*key, "display_query", "use_count", "last_used_at", "hidden", F.lit(1).alias("_new")))
+    return both.groupBy(*key).agg(
+        F.max_by("display_query", "_new").alias("display_query"), F.sum("use_count").alias("use_count"), F.max("last_used_at").alias("last_used_at"), F.max_by("hidden", "_new").alias("hidden")
+    )
+
+
+def hide_history(history: DataFrame, keys: DataFrame) -> DataFrame:
+    """Marks the entries (user_id, normalized_query) hidden."""
+    gone = keys.select("user_id", "normalized_query").distinct().withColumn("_gone", F.lit(True))
+    return history.join(gone, ["user_id", "normalized_query"], "left").withColumn("hidden", F.col("hidden") | F.coalesce("_gone", F.lit(False))).drop("_gone")
+
+
+def history_list(history: DataFrame, requests: DataFrame, default: int = 20, highest: int = 100) -> DataFrame:
+    """user_id, normalized_query, display_query, use_count, last_used_at, rank of each request (user_id, limit, offset): entries not hidden, newest first."""
+    rows = history.filter("NOT hidden").join(requests.select("user_id", "limit", "offset"), "user_id")
+    order = [F.col("last_used_at").desc(), F.col("normalized_query")]
+    found = page(rows, ["user_id"], order, clamp_limit(F.col("limit"), default, highest), F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)))
+    return found.select("user_id", "normalized_query", "display_query", "use_count", "last_used_at", "rank")
+
+
+def privacy_purge(tables: dict[str, DataFrame], requests: DataFrame) -> dict[str, DataFrame]:
+    """The tables after deletion requests (user_id, scope): histories and projections lose the users' rows, logs and ledgers only their ids."""
+    scopes = {"history": ("search", "all"), "projection": ("watch", "all"), "log": ("search", "all"), "ledger": ("watch", "all")}
+    return {name: purge_users(table, requests, scopes[name], anonymise=name in ("log", "ledger")) if name in scopes else table for name, table in tables.items()}
+
+
 def reformulations(log: DataFrame, gap_s: float = 60.0) -> DataFrame:
     """id, session_id, from_query, to_query: a search whose predecessor in the session differs and is at most `gap_s` older."""
     over = Window.partitionBy("session_id").orderBy("submitted_at", "id")

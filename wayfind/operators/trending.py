@@ -72,6 +72,15 @@ def flag_trending(candidates: DataFrame, trending: DataFrame, key: str = "key")
     return candidates.join(items, key, "left").withColumn("trending", F.coalesce("trending", F.lit(False)))
 
 
+def snapshot(trending: DataFrame, as_of: Column, ttl_s: int = 300) -> DataFrame:
+    """The list with the time until which it holds."""
+    return trending.withColumn("valid_until", as_of + F.make_dt_interval(secs=F.lit(ttl_s)))
+
+
 def publish(trending: DataFrame, path: str, as_of: Column, ttl_s: int = 300) -> None:
-    """Writes the list with the time until which it holds."""
-    trending.withColumn("valid_until", as_of + F.make_dt_interval(secs=F.lit(ttl_s))).write.mode("overwrite").parquet(path)
+    snapshot(trending, as_of, ttl_s).write.mode("overwrite").parquet(path)
+
+
+def published(trending: DataFrame, as_of: Column) -> DataFrame:
+    """What of a published list still holds."""
+    return trending.filter(F.col("valid_until") >= as_of).drop("valid_until")

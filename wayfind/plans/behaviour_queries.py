@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfind.operators import covis, rollups, trending
 from wayfind.operators.predicates import BEHAVIOUR_TYPES, HISTORY_TYPES, classify, collects_history, is_meaningful, retain
+from wayfind.operators.predicates import same_session as is_same_session
 from wayfind.operators.windows import first_per_key, greedy_cap, page, run_groups
 from wayfind.plans.registry import query, r6
 from wayfind.sources import adapters as src
@@ -98,10 +99,10 @@ def blend_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as sessions, what they ordered first as seeds."""
     o = src.table(spark, sf_dir, "orders").join(src.basket(spark, sf_dir), F.col("o_orderkey") == F.col("session_id"))
-    return o.filter("o_custkey % 10 = 0").select(F.col("o_custkey").alias("seed_key"), "video_id").distinct()
+    return o.select(F.col("o_custkey").alias("seed_key"), "video_id").distinct()
 
 
-SEEDS = f"{src.views('basket')},\n{BASKET_EDGES},\nseeds AS (SELECT DISTINCT o_custkey AS seed_key, video_id FROM orders JOIN basket ON o_orderkey = session_id WHERE o_custkey % 10 = 0)"
+SEEDS = f"{src.views('basket')},\n{BASKET_EDGES},\nseeds AS (SELECT DISTINCT o_custkey AS seed_key, video_id FROM orders JOIN basket ON o_orderkey = session_id)"
 
 
 @query(f"{src.views('basket')},\n{BASKET_EDGES}\nSELECT video_id AS seed_id, neighbor_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(score, 9) DESC, neighbor_id) AS rn FROM neighbors) WHERE rn <= 10")
@@ -116,10 +117,15 @@ def seed_set_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covis.seed_topk(_seeds(spark, sf_dir), covis.basket_neighbors(src.basket(spark, sf_dir)), 20).select("seed_key", "video_id", r6("score"))
 
 
-@query(f"{SEEDS}\nSELECT seed_key, neighbor_id AS video_id, round(sum(score), 6) AS score FROM seeds s JOIN neighbors n ON n.video_id = s.video_id WHERE neighbor_id % 5 = 0 GROUP BY 1, 2")
+WANTED = "wanted AS (SELECT DISTINCT s.seed_key, b.p_partkey AS video_id FROM seeds s JOIN part a ON a.p_partkey = s.video_id JOIN part b ON b.p_brand = a.p_brand AND b.p_size = a.p_size)"
+
+
+@query(f"{SEEDS},\n{WANTED}\nSELECT seed_key, neighbor_id AS video_id, round(sum(score), 6) AS score FROM seeds s JOIN neighbors n ON n.video_id = s.video_id WHERE EXISTS (SELECT 1 FROM wanted w WHERE w.seed_key = s.seed_key AND w.video_id = n.neighbor_id) GROUP BY 1, 2")
 def seed_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand and size that the customer has bought as candidates."""
     seeds, n = _seeds(spark, sf_dir), covis.basket_neighbors(src.basket(spark, sf_dir))
-    wanted = seeds.join(n, "video_id").filter("neighbor_id % 5 = 0").select("seed_key", F.col("neighbor_id").alias("video_id"))
+    brands = src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id"), "p_brand", "p_size")
+    wanted = seeds.join(brands, "video_id").select("seed_key", "p_brand", "p_size").distinct().join(brands, ["p_brand", "p_size"]).select("seed_key", "video_id")
     return covis.seed_scores(seeds, wanted, n).select("seed_key", "video_id", r6("score"))
 
 
@@ -297,6 +303,21 @@ def watch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection(spark, sf_dir).select("user_id", "video_id", r6("weight"), F.col("last_watched_at").cast("timestamp_ntz").alias("last_watched_at"))
 
 
+WEIGHTS = """weights AS (SELECT user_id, video_id, occurred_at, 0.3 AS w FROM behaviour WHERE type = 'video.play_started' AND allow_history AND user_id IS NOT NULL AND video_id IS NOT NULL
+  UNION ALL SELECT user_id, video_id, occurred_at, 1.0 FROM watches WHERE allow_history AND user_id IS NOT NULL),
+latest AS (SELECT user_id, video_id, max(occurred_at) AS last FROM weights GROUP BY 1, 2)"""
+
+
+@query(f"{src.views('behaviour')},\n{WATCHES},\n{WEIGHTS}\nSELECT w.user_id, w.video_id, round(sum(w.w * pow(2, -(epoch_us(l.last) - epoch_us(w.occurred_at)) / 1e6 / 2592000.0)), 6) AS weight FROM weights w JOIN latest l ON l.user_id = w.user_id AND l.video_id = w.video_id GROUP BY 1, 2")
+def projection_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights as they hold at each pair's last watch, folded in two increments by time."""
+    all_ = with_watches(_events(spark, sf_dir))
+    cut = F.lit("2024-01-10").cast("timestamp")
+    none = spark.createDataFrame([], "user_id long, video_id long, weight double, last_watched_at timestamp")
+    first = rollups.fold_projection(none, all_.filter(F.col("occurred_at") < cut))
+    return rollups.fold_projection(first, all_.filter(F.col("occurred_at") >= cut)).select("user_id", "video_id", r6("weight"))
+
+
 @query(f"{src.views('behaviour')},\n{WATCHES},\n{WATCH_PROJECTION}\nSELECT user_id, video_id, round(weight, 6) AS weight FROM projection WHERE weight * pow(2, -(epoch_us({NOW}) - epoch_us(last_watched_at)) / 1e6 / 2592000.0) >= 0.2")
 def prune_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.prune_projection(projection(spark, sf_dir), _now(), floor=0.2).select("user_id", "video_id", r6("weight"))
@@ -317,6 +338,29 @@ def search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.search_history(_events(spark, sf_dir)).select("user_id", "normalized_query", "display_query", "use_count", F.col("last_used_at").cast("timestamp_ntz").alias("last_used_at"))
 
 
+def _history_part(name: str, when: str) -> str:
+    return HISTORY.replace("history AS", f"{name} AS").replace("WHERE type", f"WHERE occurred_at {when} TIMESTAMP '2024-01-16' AND type")
+
+
+@query(f"{src.views('behaviour')},\n{_history_part('h1', '<')},\n{_history_part('h2', '>=')}\nSELECT coalesce(h2.user_id, h1.user_id) AS user_id, coalesce(h2.normalized_query, h1.normalized_query) AS normalized_query, coalesce(h2.display_query, h1.display_query) AS display_query, coalesce(h1.use_count, 0) + coalesce(h2.use_count, 0) AS use_count, h2.user_id IS NULL AND h1.user_id % 4 = 1 AS hidden FROM h1 FULL JOIN h2 ON h1.user_id = h2.user_id AND h1.normalized_query = h2.normalized_query")
+def history_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the month, then every fourth user hides all entries, then the rest: what is searched again is shown again."""
+    e = _events(spark, sf_dir)
+    cut = F.lit("2024-01-16").cast("timestamp")
+    first = rollups.search_history(e.filter(F.col("occurred_at") < cut))
+    hidden = rollups.hide_history(first, first.filter("user_id % 4 = 1"))
+    return rollups.fold_history(hidden, e.filter(F.col("occurred_at") >= cut)).select("user_id", "normalized_query", "display_query", "use_count", "hidden")
+
+
+@query(f"{src.views('behaviour')},\n{HISTORY},\nasked AS (SELECT DISTINCT user_id, user_id % 7 - 1 AS l, user_id % 3 AS o FROM history)\nSELECT user_id, normalized_query, use_count, rank FROM (SELECT h.*, a.l, a.o, row_number() OVER (PARTITION BY h.user_id ORDER BY last_used_at DESC, normalized_query) AS rank FROM history h JOIN asked a ON a.user_id = h.user_id WHERE NOT (h.user_id % 5 = 2 AND h.use_count = 1)) WHERE rank > o AND rank <= o + CASE WHEN l <= 0 THEN 20 ELSE l END")
+def history_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's page; some users have hidden what they searched once."""
+    h = rollups.search_history(_events(spark, sf_dir))
+    h = rollups.hide_history(h, h.filter("user_id % 5 = 2 AND use_count = 1"))
+    asked = h.select("user_id").distinct().select("user_id", (F.col("user_id") % 7 - 1).alias("limit"), (F.col("user_id") % 3).alias("offset"))
+    return rollups.history_list(h, asked).select("user_id", "normalized_query", "use_count", "rank")
+
+
 HISTORY_TOPICS = "topics AS (SELECT user_id, event_type || '-' || (event_id % 7) AS normalized_query, max(ts) AS last_used_at FROM events GROUP BY 1, 2)"
 
 
@@ -396,6 +440,15 @@ def run_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_groups(_events(spark, sf_dir), ["session_id"], [F.col("occurred_at"), F.col("id")], "type").select("id", "run")
 
 
+@query(f"{src.views('behaviour')}\nSELECT id, coalesce(CASE WHEN id % 5 = 0 THEN NULL ELSE session_id END IS NOT DISTINCT FROM p, true) AS same FROM (SELECT *, lag(CASE WHEN id % 5 = 0 THEN NULL ELSE session_id END) OVER (PARTITION BY video_id ORDER BY id) AS p FROM behaviour WHERE video_id IS NOT NULL)")
+def same_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an event has the session of the event on the same video before it; every fifth has none, and none equals none."""
+    from pyspark.sql import Window
+
+    e = _events(spark, sf_dir).filter("video_id IS NOT NULL").withColumn("s", F.when(F.col("id") % 5 != 0, F.col("session_id")))
+    return e.select("id", is_same_session(F.col("s"), F.lag("s").over(Window.partitionBy("video_id").orderBy("id"))).alias("same"))
+
+
 # impressions
 
 
@@ -525,6 +578,13 @@ def trend_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trending.trend_top(_gated(spark, sf_dir)).select("domain", "item", "rank")
 
 
+@query(f"{TREND}\nSELECT domain, item, rank, {NOW} + INTERVAL 300 SECOND AS valid_until FROM (SELECT domain, item, row_number() OVER (PARTITION BY domain ORDER BY round(score, 9) DESC, item DESC) AS rank FROM verdicts WHERE verdict = 'ok') WHERE rank <= 50")
+def trend_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list as it is published, with the time until which it holds."""
+    rows = trending.snapshot(trending.trend_top(_gated(spark, sf_dir)), _now())
+    return rows.select("domain", "item", "rank", F.col("valid_until").cast("timestamp_ntz").alias("valid_until"))
+
+
 @query(f"{LOG}\nSELECT normalized_query, id FROM (SELECT *, row_number() OVER (PARTITION BY normalized_query ORDER BY submitted_at DESC, id DESC) AS rn FROM qlog) WHERE rn = 1")
 def first_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per_key(_log(spark, sf_dir), ["normalized_query"], [F.col("submitted_at").desc(), F.col("id").desc()]).select("normalized_query", "id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfind.functions import hashing, scoring
 from wayfind.functions.text import normalize, normalize_ascii, tags_to_text
 from wayfind.operators import windows
+from wayfind.operators.diversity import mmr
 from wayfind.operators.predicates import eligibility, exclude_ids, facet_filter, lookup, orphans
 from wayfind.plans import recommend
 from wayfind.plans.behaviour_queries import BASKET_EDGES
@@ -35,12 +36,12 @@ REQUESTS = "requests AS (SELECT s_suppkey AS request_id, s_suppkey % 3 = 0 AS hi
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 20th part as a seed."""
+    """Every part as a seed."""
     k = F.col("p_partkey")
-    return src.table(spark, sf_dir, "part").filter(k % 20 == 3).select(k.alias("seed_id"), (k % 3 == 0).alias("hide_sensitive"))
+    return src.table(spark, sf_dir, "part").select(k.alias("seed_id"), (k % 3 == 0).alias("hide_sensitive"))
 
 
-SEEDS = "seeds AS (SELECT p_partkey AS seed_id, p_partkey % 3 = 0 AS hide_sensitive FROM part WHERE p_partkey % 20 = 3)"
+SEEDS = "seeds AS (SELECT p_partkey AS seed_id, p_partkey % 3 = 0 AS hide_sensitive FROM part)"
 VISIBLE = "eligible AND (NOT r.hide_sensitive OR NOT is_sensitive)"
 
 
@@ -109,11 +110,11 @@ def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{C}\nSELECT a.video_id AS a, b.video_id AS b, CASE WHEN a.category = b.category THEN 1 ELSE 0 END + CASE WHEN a.language = b.language THEN 1 ELSE 0 END + len(list_intersect(a.tags, b.tags)) AS overlap, round(len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS jaccard FROM catalogue a JOIN catalogue b ON a.channel_id = b.channel_id AND a.video_id < b.video_id AND a.owner_id = 3")
+@query(f"{C}\nSELECT a.video_id AS a, b.video_id AS b, CASE WHEN a.category = b.category THEN 1 ELSE 0 END + CASE WHEN a.language = b.language THEN 1 ELSE 0 END + len(list_intersect(a.tags, b.tags)) AS overlap, round(len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS jaccard FROM catalogue a JOIN catalogue b ON a.channel_id = b.channel_id AND a.language = b.language AND a.video_id < b.video_id")
 def pair_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = src.catalogue(spark, sf_dir)
-    a, b = d.filter("owner_id = 3").alias("a"), d.alias("b")
-    both = a.join(b, (F.col("a.channel_id") == F.col("b.channel_id")) & (F.col("a.video_id") < F.col("b.video_id")))
+    a, b = d.alias("a"), d.alias("b")
+    both = a.join(b, (F.col("a.channel_id") == F.col("b.channel_id")) & (F.col("a.language") == F.col("b.language")) & (F.col("a.video_id") < F.col("b.video_id")))
     same = scoring.overlap_score(*[F.col(f"{s}.{c}") for s in "ab" for c in ("tags", "category", "language")])
     return both.select(F.col("a.video_id").alias("a"), F.col("b.video_id").alias("b"), same.cast("long").alias("overlap"), r6(scoring.jaccard(F.col("a.tags"), F.col("b.tags")), "jaccard"))
 
@@ -148,16 +149,16 @@ def fresh_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.fresh_pool(_requests(spark, sf_dir), src.catalogue(spark, sf_dir), 10, 25).select("request_id", "video_id", "rank")
 
 
-TRENDING = "trending AS (SELECT video_id, row_number() OVER (ORDER BY likes DESC, video_id DESC) AS place FROM catalogue WHERE likes >= 15 QUALIFY place <= 500)"
+TRENDING = "trending AS (SELECT video_id, row_number() OVER (ORDER BY likes DESC, video_id DESC) AS place FROM catalogue WHERE likes >= 15 QUALIFY place <= 50)"
 
 
 def _trending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 500 most liked videos as a gated list."""
-    liked = src.catalogue(spark, sf_dir).filter("likes >= 15").orderBy(F.col("likes").desc(), F.col("video_id").desc()).limit(500)
+    """The 50 most liked videos, as many as a gated list has."""
+    liked = src.catalogue(spark, sf_dir).filter("likes >= 15").orderBy(F.col("likes").desc(), F.col("video_id").desc()).limit(50)
     return liked.select("video_id", F.row_number().over(Window.orderBy(F.col("likes").desc(), F.col("video_id").desc())).alias("rank"))
 
 
-@query(f"{C},\n{REQUESTS},\n{TRENDING}\nSELECT r.request_id, d.video_id, row_number() OVER (PARTITION BY r.request_id ORDER BY t.place) AS rank FROM requests r JOIN catalogue d ON {VISIBLE} JOIN trending t ON t.video_id = d.video_id")
+@query(f"{C},\n{REQUESTS},\n{TRENDING}\nSELECT r.request_id, d.video_id, row_number() OVER (PARTITION BY r.request_id ORDER BY t.place) AS rank FROM requests r JOIN catalogue d ON {VISIBLE} JOIN trending t ON t.video_id = d.video_id QUALIFY rank <= 15")
 def trending_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.trending_eligible(_trending(spark, sf_dir), src.catalogue(spark, sf_dir), _requests(spark, sf_dir), _now(), 15).select("request_id", "video_id", "rank")
 
@@ -266,21 +267,21 @@ def distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfind.operators.covis import basket_neighbors
 
-    return basket_neighbors(src.basket(spark, sf_dir)).persist()  # read several times a feed
+    return basket_neighbors(src.basket(spark, sf_dir))
 
 
 def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers' watch projections, and a request of every 25th customer."""
+    """Customers' watch projections, and a request of every customer."""
     o = src.table(spark, sf_dir, "orders").join(src.basket(spark, sf_dir), F.col("o_orderkey") == F.col("session_id"))
     watched = o.groupBy(F.col("o_custkey").alias("user_id"), "video_id").agg((F.count(F.lit(1)) * 1.0).alias("weight"), F.max("o_orderdate").cast("timestamp").alias("last_watched_at"))
     k = F.col("c_custkey")
-    requests = src.table(spark, sf_dir, "customer").filter(k % 25 == 1).select(k.alias("request_id"), k.alias("user_id"), (k % 2 == 0).alias("hide_sensitive"), F.when(k % 3 == 0, "en").when(k % 3 == 1, "fr").alias("language"), F.concat(F.lit("s"), k.cast("string")).alias("session_id"))
+    requests = src.table(spark, sf_dir, "customer").select(k.alias("request_id"), k.alias("user_id"), (k % 2 == 0).alias("hide_sensitive"), F.when(k % 3 == 0, "en").when(k % 3 == 1, "fr").alias("language"), F.concat(F.lit("s"), k.cast("string")).alias("session_id"))
     return watched, requests
 
 
-@query(f"{C},\n{src.VIEWS['basket']},\n{BASKET_EDGES},\nasked AS (SELECT video_id AS request_id, neighbor_id AS video_id, score AS base, 'co_watch' AS reason, 3 AS p, 0 AS a FROM neighbors WHERE video_id % 20 = 3 UNION ALL SELECT video_id, neighbor_id, 0.0, 'popular', 0, 1 FROM neighbors WHERE video_id % 20 = 3 AND neighbor_id % 3 = 0 UNION ALL SELECT video_id, neighbor_id, 0.5, 'similar', 2, 2 FROM neighbors WHERE video_id % 20 = 3 AND neighbor_id % 2 = 0)\nSELECT request_id, video_id, round(max(base), 6) AS base, arg_max(reason, (p, round(base, 9), -a)) AS reason FROM asked GROUP BY 1, 2")
+@query(f"{C},\n{src.VIEWS['basket']},\n{BASKET_EDGES},\nasked AS (SELECT video_id AS request_id, neighbor_id AS video_id, score AS base, 'co_watch' AS reason, 3 AS p, 0 AS a FROM neighbors UNION ALL SELECT video_id, neighbor_id, 0.0, 'popular', 0, 1 FROM neighbors WHERE neighbor_id % 3 = 0 UNION ALL SELECT video_id, neighbor_id, 0.5, 'similar', 2, 2 FROM neighbors WHERE neighbor_id % 2 = 0)\nSELECT request_id, video_id, round(max(base), 6) AS base, arg_max(reason, (p, round(base, 9), -a)) AS reason FROM asked GROUP BY 1, 2")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _neighbors(spark, sf_dir).filter("video_id % 20 = 3").select(F.col("video_id").alias("request_id"), F.col("neighbor_id").alias("video_id"), "score")
+    n = _neighbors(spark, sf_dir).select(F.col("video_id").alias("request_id"), F.col("neighbor_id").alias("video_id"), "score")
     rows = recommend._candidates(n, F.col("score"), "co_watch", 0, "request_id")
     rows = rows.unionByName(recommend._candidates(n.filter("video_id % 3 = 0"), F.lit(0.0), "popular", 1, "request_id"))
     rows = rows.unionByName(recommend._candidates(n.filter("video_id % 2 = 0"), F.lit(0.5), "similar", 2, "request_id"))
@@ -300,13 +301,17 @@ def home_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.home_advanced(requests, src.catalogue(spark, sf_dir), _neighbors(spark, sf_dir), _now(), watched).select("request_id", "rank", "video_id", r6("score"), "reason")
 
 
+def diversify_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, r = src.catalogue(spark, sf_dir), _requests(spark, sf_dir)
+    found = recommend.popular(r, d, 40).unionByName(recommend.home_recent(r, d, 40)).unionByName(recommend.home_trending(r, d, _now(), 40))
+    about = d.select("video_id", (F.col("views") / 60.0).alias("relevance"), scoring.mmr_tokens(F.col("tags"), F.col("category")).alias("tokens"))
+    return found.select("request_id", "video_id").distinct().join(about, "video_id")
+
+
 @query()
 def diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wayfind.operators.diversity import mmr
-
-    d = src.catalogue(spark, sf_dir).filter("eligible")
-    rows = d.select(F.col("channel_id").alias("request_id"), "video_id", (F.col("views") / 60.0).alias("relevance"), scoring.mmr_tokens(F.col("tags"), F.col("category")).alias("tokens"))
-    return mmr(rows, "request_id")
+    """The candidates of each home request (popular, newest and rising ones) in diverse order; a test holds it against a plain version."""
+    return mmr(diversify_input(spark, sf_dir), "request_id")
 
 
 @query()

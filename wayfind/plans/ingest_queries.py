@@ -107,6 +107,16 @@ def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.pipeline_health(d, b.intake_outcomes(spark, sf_dir), lags, b.gate_rejections(spark, sf_dir), inbox, {"catalogue": d, "ledger": e}, b._now())
 
 
+@query(f"{E}\nSELECT id, type, session_id, lower(trim(query)) AS normalized_query FROM (SELECT id, type, session_id, normalized_query AS query FROM behaviour WHERE {FAILS} IS NULL)")
+def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the router puts into an empty ledger, without the watches it derives."""
+    from wayfind.plans import ingest
+
+    state = ingest.ingest(envelopes(spark, sf_dir).drop("id"), ingest.empty_state(spark), b._now())
+    rows = state["ledger"].filter("type <> 'video.meaningful_watch'")
+    return rows.select("id", "type", "session_id", "normalized_query")
+
+
 def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue events derived from the event table, in order of event_id: upserts, suppressions, statistics, channels, owners, reconcile runs."""
     e = src.table(spark, sf_dir, "events")
@@ -127,7 +137,7 @@ def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = lambda t, c: F.when(type_.isin(*t), c)
     video = ("video.upsert", "reconcile.page", "video.suppress", "video.stats")
     return e.select(
-        n.alias("seq"), type_.alias("type"), only(video, named("v", u % 40)).alias("video_id"), F.when(upsert, doc).alias("doc"), only(("video.suppress",), F.lit("blocked")).alias("reason"), only(("video.stats",), n * 2).alias("views"),
+        n.alias("seq"), type_.alias("type"), only(video, named("v", u)).alias("video_id"), F.when(upsert, doc).alias("doc"), only(("video.suppress",), F.lit("blocked")).alias("reason"), only(("video.stats",), n * 2).alias("views"),
         only(("video.stats",), (n % 50).cast("int")).alias("likes"), only(("channel.upsert", "channel.delete"), named("c", n % 7)).alias("channel_id"), only(("channel.upsert",), named("H", n % 11)).alias("handle"),
         only(("channel.upsert",), named("N", n % 11)).alias("name"), only(("channel.upsert",), named("o", n % 4)).alias("owner"), only(("user.suppress",), named("o", n % 5)).alias("user_id"), only(("user.suppress",), n % 2 == 0).alias("unlisted"),
         only(("reconcile.page", "reconcile.end"), run).alias("run_id"),
@@ -144,11 +154,11 @@ def catalogue_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
-@query("SELECT 'v' || (user_id % 40) AS video_id, arg_max('t' || event_id, event_id) AS title, max(event_id) AS views FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+@query("SELECT 'v' || user_id AS video_id, arg_max('t' || event_id, event_id) AS title, max(event_id) AS views FROM events GROUP BY 1")
 def last_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection of upserts alone is each video's last one."""
-    e = src.table(spark, sf_dir, "events").filter("event_id % 3 = 0").select("event_id", (F.col("user_id") % 40).alias("v"))
-    kept = domain_events(spark, sf_dir).filter("seq % 3 = 0").withColumn("type", F.lit("video.upsert"))
+    e = src.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("v"))
+    kept = domain_events(spark, sf_dir).withColumn("type", F.lit("video.upsert"))
     n = F.col("seq")
     doc = F.struct(
         *[F.lit("").alias(c) for c in ("kind", "channel_id", "channel_handle", "channel_name", "owner_id")], F.concat(F.lit("t"), n.cast("string")).alias("title"), F.lit("").alias("category"), F.lit("").alias("language"), F.lit(False).alias("is_sensitive"),

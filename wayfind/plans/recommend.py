@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions.hashing import exploration_draw, subject
-from wayfind.functions.scoring import age_days, freshness, gravity, mmr_tokens, overlap_score
+from wayfind.functions.scoring import age_days, freshness, gravity, mmr_tokens
 from wayfind.operators.covis import channel_affinity, neighbors_for, personal_affinity, seed_topk, user_cf_topk
 from wayfind.operators.diversity import LAMBDA, mmr
 from wayfind.operators.windows import compose_cap, first_per_key, interleave, list_score, normalize_max, top_k
@@ -19,6 +19,8 @@ CHANNEL_CAP, SAME_CHANNEL, LIMIT = 2, 2, 20
 FRESH_MAX_VIEWS, EXPLORE_SLOT, SUBSCRIBED = 100, 3, 0.8
 BASE_WEIGHT, AFFINITY_WEIGHT, CHANNEL_WEIGHT, FRESH_WEIGHT = 1.0, 0.6, 0.4, 0.3
 WATCHED_HIDDEN = 200
+EXCLUDED = 200  # exclusions a list allows for
+HOT = 8  # a feature is hot if it has over HOT * k documents
 PRIORITY = {"popular": 0, "fresh": 1, "trending": 1, "similar": 2, "co_watch": 3}
 
 
@@ -27,22 +29,37 @@ def _newest() -> list[Column]:
     return [F.col("published_at").desc_nulls_last(), F.col("video_id")]
 
 
-def feed_lists(requests: DataFrame, docs: DataFrame, order: list[Column], k: int, language_first: bool, key: str, exclude: DataFrame | None = None) -> DataFrame:
-    """key, video_id, channel_id, rank: the first k eligible documents of each request (key, hide_sensitive, language), without excluded ones (key, video_id)."""
-    most = exclude.groupBy(key).count().agg(F.max("count")).first()[0] or 0 if exclude is not None else 0
-    pool = docs.filter("eligible")
-    pool = pool.withColumn("_hide", F.lit(False)).unionByName(pool.filter(~F.col("is_sensitive")).withColumn("_hide", F.lit(True)))
-    pool = top_k(pool, ["_hide", "language"] if language_first else ["_hide"], order, k + most).withColumnRenamed("language", "_doc_language")
+def _by_visibility(pool: DataFrame) -> DataFrame:
+    """The pool for requests that hide sensitive items (_hide true) and for those that don't."""
+    return pool.withColumn("_hide", F.lit(False)).unionByName(pool.filter(~F.col("is_sensitive")).withColumn("_hide", F.lit(True)))
+
+
+def feed_lists(requests: DataFrame, docs: DataFrame, order: list[Column], k: int, language_first: bool, key: str, exclude: DataFrame | None = None, spare: int = EXCLUDED) -> DataFrame:
+    """key, video_id, channel_id, rank: the first k eligible documents of each request (key, hide_sensitive, language), without excluded ones (key, video_id).
+
+    Lists are k + spare long. Requests whose exclusions use up a list that was cut there are answered from the whole pool.
+    """
+    pool = _by_visibility(docs.filter("eligible")).withColumnRenamed("language", "_doc_language")
+    long = k + (spare if exclude is not None else 0)
     r = requests if "language" in requests.columns else requests.withColumn("language", F.lit(None).cast("string"))
     r = r.select(key, F.col("hide_sensitive").alias("_h"), (F.col("language") if language_first else F.lit(None).cast("string")).alias("_l"))
-    lists = r.select("_h", "_l").distinct().join(pool, F.col("_h") == F.col("_hide"))
     first = [F.coalesce(F.col("_l") == F.col("_doc_language"), F.lit(False)).desc()] if language_first else []
-    lists = lists.withColumn("_rank", F.row_number().over(Window.partitionBy("_h", "_l").orderBy(*first, *order))).filter(F.col("_rank") <= k + most)
-    found = r.join(lists.withColumnsRenamed({"_h": "_h2", "_l": "_l2"}), (F.col("_h") == F.col("_h2")) & F.col("_l").eqNullSafe(F.col("_l2")))
-    if exclude is not None:
-        found = found.join(exclude.select(key, "video_id"), [key, "video_id"], "left_anti")
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_rank"))).filter(F.col("rank") <= k)
-    return found.select(key, "video_id", "channel_id", "rank")
+    # one list for each combination of options
+    lists = r.select("_h", "_l").distinct().join(top_k(pool, ["_hide", *(["_doc_language"] if language_first else [])], order, long), F.col("_h") == F.col("_hide"))
+    lists = lists.withColumn("_rank", F.row_number().over(Window.partitionBy("_h", "_l").orderBy(*first, *order))).filter(F.col("_rank") <= long)
+    lists = lists.select(F.col("_h").alias("_h2"), F.col("_l").alias("_l2"), "video_id", "channel_id", "_rank")
+    found = r.join(lists, (F.col("_h") == F.col("_h2")) & F.col("_l").eqNullSafe(F.col("_l2"))).select(key, "video_id", "channel_id", "_rank")
+    ranked = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter(F.col("rank") <= k)
+    if exclude is None:
+        return ranked(found, ["_rank"]).select(key, "video_id", "channel_id", "rank")
+    exclude = exclude.select(key, "video_id").distinct()
+    own = found.groupBy(key).agg(F.count(F.lit(1)).alias("_listed"))
+    left = found.join(exclude, [key, "video_id"], "left_anti")
+    counts = own.join(left.groupBy(key).agg(F.count(F.lit(1)).alias("_left")), key, "left")
+    starved = counts.filter((F.col("_listed") >= long) & (F.coalesce("_left", F.lit(0)) < k)).select(key)
+    kept = ranked(left.join(starved, key, "left_anti"), ["_rank"])
+    whole = r.join(starved, key, "left_semi").join(pool, F.col("_h") == F.col("_hide")).join(exclude, [key, "video_id"], "left_anti")
+    return kept.select(key, "video_id", "channel_id", "rank").unionByName(ranked(whole, [*first, *order]).select(key, "video_id", "channel_id", "rank"))
 
 
 def popular(requests: DataFrame, docs: DataFrame, k: int, exclude: DataFrame | None = None, key: str = "request_id") -> DataFrame:
@@ -63,27 +80,27 @@ def fresh_pool(requests: DataFrame, docs: DataFrame, k: int, max_views: int = FR
     low = docs.filter(F.col("views") <= max_views)
     r = requests if "language" in requests.columns else requests.withColumn("language", F.lit(None).cast("string"))
     any_ = feed_lists(r.filter("language IS NULL"), low, _newest(), k, False, key)
-    pool = low.filter("eligible")
-    pool = pool.withColumn("_hide", F.lit(False)).unionByName(pool.filter(~F.col("is_sensitive")).withColumn("_hide", F.lit(True)))
+    pool = _by_visibility(low.filter("eligible"))
     pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy("_hide", "language").orderBy(*_newest()))).filter(F.col("rank") <= k)
     own = r.filter("language IS NOT NULL").withColumnRenamed("hide_sensitive", "_hide").join(pool, ["_hide", "language"]).select(key, "video_id", "channel_id", "rank")
     return any_.unionByName(own)
 
 
 def trending_eligible(trending: DataFrame, docs: DataFrame, requests: DataFrame, as_of: Column, k: int, key: str = "request_id") -> DataFrame:
-    """The gated list (video_id, rank) where eligible and visible, in its order; requests it gives nothing get the gravity list."""
-    listed = trending.select("video_id", F.col("rank").alias("_rank")).join(docs.filter("eligible"), "video_id")
-    listed = listed.withColumn("_hide", F.lit(False)).unionByName(listed.filter(~F.col("is_sensitive")).withColumn("_hide", F.lit(True)))
-    own = requests.select(key, F.col("hide_sensitive").alias("_hide")).join(listed.select("_hide", "video_id", "channel_id", "_rank"), "_hide")
-    own = own.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_rank"))).select(key, "video_id", "channel_id", "rank")
-    rest = requests.join(own.select(key).distinct(), key, "left_anti")
+    """The first k of the gated list (video_id, rank) that are eligible and visible, in its order; requests it gives nothing get the gravity list."""
+    listed = _by_visibility(trending.select("video_id", F.col("rank").alias("_rank")).join(docs.filter("eligible"), "video_id"))
+    listed = listed.withColumn("rank", F.row_number().over(Window.partitionBy("_hide").orderBy("_rank"))).filter(F.col("rank") <= k)
+    listed = F.broadcast(listed.select("_hide", "video_id", "channel_id", "rank"))  # 2 * k rows at most
+    own = requests.select(key, F.col("hide_sensitive").alias("_hide")).join(listed, "_hide").select(key, "video_id", "channel_id", "rank")
+    rest = requests.join(listed.select(F.col("_hide").alias("hide_sensitive")).distinct(), "hide_sensitive", "left_anti")
     return own.unionByName(home_trending(rest, docs, as_of, k, key=key))
 
 
 def same_channel(seeds: DataFrame, docs: DataFrame, k: int = SAME_CHANNEL) -> DataFrame:
-    """seed_id, video_id, channel_id, rank of seeds (seed_id, hide_sensitive) that are documents."""
-    s = seeds.join(docs.select(F.col("video_id").alias("seed_id"), "channel_id"), "seed_id").filter("channel_id IS NOT NULL").select("seed_id", "hide_sensitive", "channel_id")
-    found = s.join(docs.filter("eligible"), "channel_id").filter((F.col("video_id") != F.col("seed_id")) & (~F.col("hide_sensitive") | ~F.col("is_sensitive")))
+    """seed_id, video_id, channel_id, rank of seeds (seed_id, hide_sensitive) that are documents. A channel's newest k + 1 are enough, as one may be the seed."""
+    s = seeds.join(docs.select(F.col("video_id").alias("seed_id"), "channel_id"), "seed_id").filter("channel_id IS NOT NULL").select("seed_id", F.col("hide_sensitive").alias("_hide"), "channel_id")
+    newest = top_k(_by_visibility(docs.filter("eligible AND channel_id IS NOT NULL")), ["_hide", "channel_id"], _newest(), k + 1)
+    found = s.join(newest, ["_hide", "channel_id"]).filter(F.col("video_id") != F.col("seed_id"))
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("seed_id").orderBy(*_newest()))).filter(F.col("rank") <= k)
     return found.select("seed_id", "video_id", "channel_id", "rank")
 
@@ -92,26 +109,43 @@ def tag_overlap(a: Column, b: Column) -> Column:
     return F.array_intersect(a, b)
 
 
+def _features(d: DataFrame) -> Column:
+    """What documents can share, as strings: category, language, tags."""
+    named = lambda mark, c: F.when(c.isNotNull(), F.concat(F.lit(mark), c))
+    own = F.concat(F.array(named("c:", d["category"]), named("l:", d["language"])), F.transform(F.coalesce(d["tags"], F.array().cast("array<string>")), lambda t: F.concat(F.lit("t:"), t)))
+    return F.array_sort(F.array_distinct(F.array_compact(own)))
+
+
+def _subsets(features: Column) -> Column:
+    """All subsets but the empty one, each in order."""
+    none = F.array(F.array().cast("array<string>"))
+    every = F.aggregate(features, none, lambda sets, f: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(f)))))
+    return F.filter(every, lambda s: F.size(s) > 0)
+
+
 def related_overlap(seeds: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """seed_id, video_id, channel_id, overlap, rank: documents that share category, language or tags.
 
-    Category and tags are equi-joins. Documents that share the language alone all have overlap 1, so the language's
-    most viewed ones are enough: k, and as many more as a seed has other candidates.
+    Rare features (category, language or tag) are joined outright, so a seed meets HOT * k documents of each at most. Hot ones
+    are not: documents that share hot features alone lie within the first k + 1 of all that have the same set of hot features,
+    since those before them share no less; so each set of hot features that a document has keeps a list of k + 1.
     """
-    about = docs.select(F.col("video_id").alias("seed_id"), F.col("tags").alias("s_tags"), F.col("category").alias("s_category"), F.col("language").alias("s_language"))
-    s = seeds.select("seed_id", "hide_sensitive").join(about, "seed_id")
-    pool = docs.filter("eligible")
-    by_category = s.select("seed_id", F.col("s_category").alias("category")).join(pool.select("video_id", "category"), "category").select("seed_id", "video_id")
-    by_tag = s.select("seed_id", F.explode("s_tags").alias("t")).distinct().join(pool.select("video_id", F.explode("tags").alias("t")).distinct(), "t").select("seed_id", "video_id")
-    close = by_category.unionByName(by_tag).distinct()
-    most = close.groupBy("seed_id").count().agg(F.max("count")).first()[0] or 0
     order = [F.col("views").desc(), *_newest()]
-    listed = pool.withColumn("_hide", F.lit(False)).unionByName(pool.filter(~F.col("is_sensitive")).withColumn("_hide", F.lit(True)))
-    listed = top_k(listed, ["_hide", "language"], order, k + most + 1)
-    by_language = s.select("seed_id", F.col("hide_sensitive").alias("_hide"), F.col("s_language").alias("language")).join(listed, ["_hide", "language"]).select("seed_id", "video_id")
-    found = close.unionByName(by_language).distinct().join(s, "seed_id").join(pool, "video_id")
-    found = found.filter((F.col("video_id") != F.col("seed_id")) & (~F.col("hide_sensitive") | ~F.col("is_sensitive")))
-    found = found.withColumn("overlap", overlap_score(F.col("tags"), F.col("category"), F.col("language"), F.col("s_tags"), F.col("s_category"), F.col("s_language")))
+    d = docs.withColumn("_f", _features(docs))
+    pool = d.filter("eligible")
+    hot = pool.select(F.explode("_f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT * k).select("f")
+    split = d.select("video_id", F.explode_outer("_f").alias("f")).join(hot.withColumn("_hot", F.lit(True)), "f", "left")
+    split = split.groupBy("video_id").agg(F.array_sort(F.collect_set(F.when(F.col("_hot"), F.col("f")))).alias("_hots"), F.array_sort(F.collect_set(F.when(F.col("_hot").isNull(), F.col("f")))).alias("_colds"))
+    d = d.join(split, "video_id")
+    pool = d.filter("eligible").select("video_id", "channel_id", "views", "published_at", "is_sensitive", "_f", "_hots", "_colds")
+    s = seeds.select("seed_id", F.col("hide_sensitive").alias("_h")).join(d.select(F.col("video_id").alias("seed_id"), F.col("_f").alias("_sf"), F.col("_hots").alias("_sh"), F.col("_colds").alias("_sc")), "seed_id")
+    rare = s.withColumn("f", F.explode("_sc")).join(pool.withColumn("f", F.explode("_colds")), "f").filter(~F.col("_h") | ~F.col("is_sensitive"))
+    rare = rare.filter(F.col("f") == F.array_min(F.array_intersect("_sc", "_colds")))  # a pair once, however many they share
+    lists = top_k(_by_visibility(pool).withColumn("_set", F.explode(_subsets(F.col("_hots")))), ["_hide", "_set"], order, k + 1)
+    common = s.withColumn("_set", F.explode(_subsets(F.col("_sh")))).withColumn("_hide", F.col("_h")).join(lists, ["_hide", "_set"])
+    common = common.filter(~F.arrays_overlap("_sc", "_colds") & (F.col("_set") == F.array_intersect("_sh", "_hots")))
+    columns = ["seed_id", "video_id", "channel_id", "views", "published_at", F.size(F.array_intersect("_sf", "_f")).alias("overlap")]
+    found = rare.select(*columns).unionByName(common.select(*columns)).filter(F.col("video_id") != F.col("seed_id"))
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("seed_id").orderBy(F.col("overlap").desc(), *order))).filter(F.col("rank") <= k)
     return found.select("seed_id", "video_id", "channel_id", "overlap", "rank")
 
@@ -170,6 +204,7 @@ def compose_feed(candidates: DataFrame, requests: DataFrame, docs: DataFrame, as
     if "user_id" not in r.columns:
         r = r.withColumn("user_id", F.lit(None).cast("long"))
     rows = candidates.join(r.select("request_id", "hide_sensitive", "user_id"), "request_id").join(docs.filter("eligible"), "video_id").filter(~F.col("hide_sensitive") | ~F.col("is_sensitive"))
+    shown = rows.select("request_id", "video_id")
     if projection is not None:
         near = personal_affinity(rows.filter("user_id IS NOT NULL").select("user_id", "video_id"), projection, neighbors)
         rows = rows.join(near, ["user_id", "video_id"], "left").join(channel_affinity(projection, docs).withColumnRenamed("weight", "channel_affinity"), ["user_id", "channel_id"], "left").fillna(0.0, ["affinity", "channel_affinity"])
@@ -182,12 +217,12 @@ def compose_feed(candidates: DataFrame, requests: DataFrame, docs: DataFrame, as
         F.round(BASE_WEIGHT * F.col("base") + AFFINITY_WEIGHT * F.col("affinity") + CHANNEL_WEIGHT * F.col("channel_affinity") + FRESH_WEIGHT * fresh, 12).alias("relevance"),
         F.when(F.col("user_id").isNotNull() & (F.col("channel_affinity") >= SUBSCRIBED), "subscribed").otherwise(F.col("reason")).alias("reason"),
         mmr_tokens(F.col("tags"), F.col("category")).alias("tokens"),
-    ).persist()
-    ordered = mmr(rows, "request_id", lam).join(rows.select("request_id", "video_id", "channel_id", "reason"), ["request_id", "video_id"])
+    )
+    ordered = mmr(rows, "request_id", lam, ("channel_id", "reason"))
     # exploration
     pool = fresh_pool(r, docs, 2 * limit)
-    taken = rows.select("request_id", "video_id") if skipped is None else rows.select("request_id", "video_id").unionByName(skipped.select("request_id", "video_id"))
-    pool = pool.join(taken.distinct(), ["request_id", "video_id"], "left_anti").join(rows.select("request_id").distinct(), "request_id", "left_semi")
+    taken = shown if skipped is None else shown.unionByName(skipped.select("request_id", "video_id"))
+    pool = pool.join(taken.distinct(), ["request_id", "video_id"], "left_anti").join(shown.select("request_id").distinct(), "request_id", "left_semi")
     in_pool = Window.partitionBy("request_id")
     pool = pool.withColumns({"_n": F.count(F.lit(1)).over(in_pool), "_k": F.row_number().over(in_pool.orderBy("rank")) - 1})
     pool = pool.join(r.select("request_id", subject(F.col("user_id"), F.col("session_id")).alias("_subject")), "request_id").filter("_subject <> ''")

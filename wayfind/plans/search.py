@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.functions.scoring import CREATOR_PENALTY, advanced_score, age_days, simple_score
+from wayfind.functions.text import trigram_similarity
 from wayfind.operators.covis import channel_affinity, personal_affinity, seed_scores
 from wayfind.operators.predicates import exact_flags, facet_filter, visible
-from wayfind.operators.recall import cap_recall, recall, text_rank, trigram_join, union_clicked, with_engagement
+from wayfind.operators.recall import cap_recall, recall, text_rank, union_clicked, with_engagement
 from wayfind.operators.windows import clamp_limit, creator_penalty, normalize_max, page
 
 DEFAULT_LIMIT, MAX_LIMIT, RECALL_LIMIT = 20, 200, 500
@@ -25,13 +26,11 @@ def _features(found: DataFrame, requests: DataFrame, docs: DataFrame, postings:
     r = requests.select("query_id", "query", "hide_sensitive", F.col("tag").alias("_tag"), F.col("category").alias("_category"), F.col("language").alias("_language"))
     rows = found.join(r, "query_id").join(docs.filter("eligible"), "video_id")
     rows = rows.filter(visible(F.col("hide_sensitive"), F.col("is_sensitive")) & facet_filter(F.col("_tag"), F.col("_category"), F.col("_language")))
-    titles = docs.select(F.lower("title").alias("key")).distinct()
-    similar = trigram_join(requests, titles, 1e-9)
-    rows = rows.withColumn("key", F.lower("title")).join(similar, ["query_id", "key"], "left").join(text_rank(requests, postings), ["query_id", "video_id"], "left")
+    rows = rows.join(text_rank(requests, postings, found), ["query_id", "video_id"], "left")
     return rows.select(
         "query_id", "query", "video_id", "channel_id", "language", "category", "tags", "views", "published_at",
         F.coalesce("text_rank", F.lit(0.0)).alias("text_rank"),
-        F.coalesce("trgm_sim", F.lit(0.0)).alias("trgm_sim"),
+        trigram_similarity(F.col("title"), F.col("query")).alias("trgm_sim"),
         exact_flags(F.col("title"), F.col("channel_name"), F.col("tags"), F.col("query")).alias("exact_flags"),
         age_days(as_of, "published_at", "source_updated_at").alias("age_days"),
     )

@@ -65,16 +65,16 @@ def weighted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.postings(_docs(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
 
 
-DOC_WORDS = f"SELECT query_id, t.doc_id AS video_id FROM text_queries JOIN (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 2000)), '{WORDS}'), lambda x: x <> '')) AS term FROM documents) t ON t.term = query"
+DOC_WORDS = f"SELECT query_id, t.doc_id AS video_id FROM text_queries JOIN (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{WORDS}'), lambda x: x <> '')) AS term FROM documents) t ON t.term = query"
 
 
 @query(f"{src.views('text_queries')}\n{DOC_WORDS}")
 def fts_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single words of the benchmark in the documents' first 2000 characters, which hold the title."""
+    """Single words of the benchmark in whole documents."""
     return recall.fts_candidates(src.text_queries(spark, sf_dir), text.postings(src.text_docs(spark, sf_dir).withColumn("channel_name", F.lit(""))))
 
 
-@query(f"{src.views('text_queries')}\nSELECT query_id, doc_id AS video_id, 0.2 * (len(list_filter(words, lambda x: x = query)) - len(list_filter(head, lambda x: x = query))) + 1.2 * len(list_filter(head, lambda x: x = query)) AS text_rank FROM text_queries JOIN (SELECT doc_id, list_filter(regexp_split_to_array(lower(substr(text, 1, 2000)), '{WORDS}'), lambda x: x <> '') AS words, list_filter(regexp_split_to_array(lower(array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')), '{WORDS}'), lambda x: x <> '') AS head FROM documents) ON list_contains(list_concat(words, head), query)".replace("0.2 * (len(list_filter(words, lambda x: x = query)) - len(list_filter(head, lambda x: x = query))) + 1.2 * len(list_filter(head, lambda x: x = query)) AS text_rank", "round((0.2 * len(list_filter(words, lambda x: x = query)) + len(list_filter(head, lambda x: x = query)))::DOUBLE, 6) AS text_rank"))
+@query(f"{src.views('text_queries')}\nSELECT query_id, doc_id AS video_id, 0.2 * (len(list_filter(words, lambda x: x = query)) - len(list_filter(head, lambda x: x = query))) + 1.2 * len(list_filter(head, lambda x: x = query)) AS text_rank FROM text_queries JOIN (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{WORDS}'), lambda x: x <> '') AS words, list_filter(regexp_split_to_array(lower(array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')), '{WORDS}'), lambda x: x <> '') AS head FROM documents) ON list_contains(list_concat(words, head), query)".replace("0.2 * (len(list_filter(words, lambda x: x = query)) - len(list_filter(head, lambda x: x = query))) + 1.2 * len(list_filter(head, lambda x: x = query)) AS text_rank", "round((0.2 * len(list_filter(words, lambda x: x = query)) + len(list_filter(head, lambda x: x = query)))::DOUBLE, 6) AS text_rank"))
 def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recall.text_rank(src.text_queries(spark, sf_dir), text.postings(src.text_docs(spark, sf_dir).withColumn("channel_name", F.lit(""))))
     return found.select("query_id", "video_id", r6("text_rank"))
@@ -87,7 +87,21 @@ def text_rank_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "video_id", r6("text_rank"))
 
 
-@query()
+def _first(items: str) -> str:
+    """Without repeats, in order."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+PARSED = f"""asked AS (SELECT item_id, concat_ws(' ', '"' || w[1] || ' ' || w[2] || '"', w[3], 'or', w[4], '-' || w[5]) AS q FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
+rest AS (SELECT item_id, q, regexp_replace(q, '-?"[^"]*"', ' ', 'g') AS r FROM asked),
+plain AS (SELECT item_id, q, r, lower(regexp_replace(r, '(^|\\s)-\\S+', ' ', 'g')) AS p FROM rest),
+parts AS (SELECT item_id, {_words("regexp_replace(p, '\\S+(?:\\s+or\\s+\\S+)+', ' ', 'g')")} AS must, flatten(list_transform(regexp_extract_all(r, '(^|\\s)-(\\S+)', 2), lambda m: {_words("m")})) AS must_not,
+  list_filter(list_transform(regexp_extract_all(q, '(^|\\s)"([^"]*)"', 2), lambda t: {_words("t")}), lambda t: len(t) > 0) AS phrases,
+  list_transform(regexp_extract_all(p, '(\\S+(?:\\s+or\\s+\\S+)+)', 1), lambda g: flatten(list_transform(regexp_split_to_array(g, '\\s+or\\s+'), lambda s: {_words("s")}))) AS any_of FROM plain)"""
+JOINED = "array_to_string(list_transform({0}, lambda x: array_to_string(x, ' ')), '|')"
+
+
+@query(f"WITH {PARSED}\nSELECT item_id, array_to_string({_first('must')}, ' ') AS must, array_to_string({_first('must_not')}, ' ') AS must_not, {JOINED.format('phrases')} AS phrases, {JOINED.format('any_of')} AS any_of FROM parts")
 def parse_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark openings as queries with a phrase, an alternative and an excluded word."""
     w = F.split("text", " ")
@@ -279,7 +293,7 @@ def ltr_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ranker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the earlier rows, scores for the later ones."""
-    rows = evaluate.time_split(_ltr(spark, sf_dir)).persist()
+    rows = evaluate.time_split(_ltr(spark, sf_dir))
     model = evaluate.train_ranker(rows.filter("split = 'train'").drop("split"), iterations=10)
     return evaluate.score_ranker(model, rows.filter("split = 'valid'")).select("query", "video_id", "label", r6("score"))
 

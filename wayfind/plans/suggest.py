@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions.scoring import suggestion_score
-from wayfind.functions.text import normalize_ascii
-from wayfind.operators.predicates import visible
+from wayfind.functions.text import normalize
+from wayfind.operators.predicates import prefix_match, visible
 from wayfind.operators.recall import prefix_join, trigram_join
 from wayfind.operators.trending import flag_trending
-from wayfind.operators.windows import clamp_suggest_limit, first_per_key, fuzzy_if_short, top_k
+from wayfind.operators.windows import clamp_suggest_limit, first_per_key, top_k
 
 STREAM_LIMIT = 15
 FUZZY_SIMILARITY = 0.35
@@ -61,14 +61,14 @@ def aggregate_prefix(prefixes: DataFrame, aggregates: DataFrame, k: int = STREAM
 
 def history_prefix(requests: DataFrame, history: DataFrame, k: int = STREAM_LIMIT) -> DataFrame:
     """query_id, text, popularity (use count): the user's own searches that aren't hidden, newest first."""
-    rows = requests.filter("user_id IS NOT NULL").join(history.filter("NOT hidden"), "user_id").filter(F.startswith("normalized_query", "query"))
+    rows = requests.filter("user_id IS NOT NULL").join(history.filter("NOT hidden"), "user_id").filter(prefix_match(F.col("normalized_query"), F.col("query")))
     best = top_k(rows, ["query_id"], [F.col("last_used_at").desc(), F.col("normalized_query")], k)
     return best.select("query_id", display_text(F.col("display_query"), F.col("normalized_query")).alias("text"), F.col("use_count").cast("double").alias("popularity"))
 
 
 def session_prefix(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """query_id, text, popularity (0): the session's recent queries (session_id, normalized_query)."""
-    rows = requests.filter("session_id <> ''").join(sessions, "session_id").filter(F.startswith("normalized_query", "query"))
+    rows = requests.filter("session_id <> ''").join(sessions, "session_id").filter(prefix_match(F.col("normalized_query"), F.col("query")))
     return rows.select("query_id", F.col("normalized_query").alias("text"), F.lit(0.0).alias("popularity")).distinct()
 
 
@@ -144,10 +144,12 @@ def suggest(prefixes: DataFrame, docs: DataFrame, aggregates: DataFrame, history
     found = streams[0]
     for s in streams[1:]:
         found = found.unionByName(s)
-    found = found.withColumn("key", normalize_ascii(F.col("text")))
+    found = found.withColumn("key", normalize(F.col("text")))
     found = flag_trending(found, trending) if trending is not None else found.withColumn("trending", F.lit(False))
     room = prefixes.select("query_id", clamp_suggest_limit(F.col("limit")).alias("_room"))
-    fuzzy = _stream(title_fuzzy(prefixes, docs), "query", "doc", 6, exact=False).withColumns({"key": normalize_ascii(F.col("text")), "trending": F.lit(False)})
-    found = fuzzy_if_short(found.join(room, "query_id"), fuzzy.join(room, "query_id"), ["query_id"], F.col("_room"))
+    exact = found.groupBy("query_id").agg(F.count_if("exact_prefix").alias("_exact"))
+    short = prefixes.join(room.join(exact, "query_id", "left").filter(F.coalesce("_exact", F.lit(0)) < F.col("_room")), "query_id", "left_semi")  # similar titles are only sought for these
+    fuzzy = _stream(title_fuzzy(short, docs), "query", "doc", 6, exact=False).withColumns({"key": normalize(F.col("text")), "trending": F.lit(False)})
+    found = found.unionByName(fuzzy).join(room, "query_id")
     best = reserve_slots(blend(found), F.col("_room"))
     return best.select("query_id", "rank", "text", "kind", "channel_handle", "personal", "score")

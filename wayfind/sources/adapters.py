@@ -81,12 +81,12 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a catalogue: the first six words are the title, the first 2000 characters the description."""
+    """Documents as a catalogue: the first six words are the title, the text is the body."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("video_id"),
         F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"),
-        F.substring("text", 1, 2000).alias("description"),
+        F.col("text").alias("body"),
         F.array().cast("array<string>").alias("tags"),
         F.col("lang").alias("language"),
         F.col("source").alias("channel_id"),
@@ -142,7 +142,7 @@ VIEWS = {
   FROM events e JOIN part q ON q.p_partkey = e.user_id % 8)""",
     "basket": """basket AS (SELECT DISTINCT l_orderkey AS session_id, l_partkey AS id, l_partkey AS video_id FROM lineitem)""",
     "text_docs": r"""text_docs AS (
-  SELECT doc_id AS video_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS title, substr(text, 1, 2000) AS description,
+  SELECT doc_id AS video_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS title, text AS body,
          lang AS language, source AS channel_name, n_chars AS views, TIMESTAMP '2020-01-01' + to_days(doc_id::INT) AS published_at FROM documents)""",
     "text_queries": r"""text_queries AS (
   SELECT * FROM (SELECT item_id AS query_id, regexp_replace(lower(string_split(text, ' ')[2]), '[^\p{L}]', '', 'g') AS query FROM benchmark) WHERE query <> '')""",

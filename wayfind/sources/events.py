@@ -18,8 +18,9 @@ NEEDS = {
 LAG_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)  # fixed values
 
 
-def read_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    reader = spark.readStream if streaming else spark.read
+def read_events(spark: SparkSession, path: str, streaming: bool = False, files: int = 1000) -> DataFrame:
+    """Envelopes from a folder of JSON lines; a stream takes `files` files a batch at most."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files) if streaming else spark.read
     return reader.schema(ENVELOPE).json(path)
 
 

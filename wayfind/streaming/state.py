@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+KEPT_BUMPS = 16  # of a subject and item, against which late ones are held
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RECENT_SCHEMA = "session_id string, items array<string>, updated_at timestamp"
 CAPPED_SCHEMA = "item string, subject string, occurred_at timestamp"
@@ -19,43 +20,44 @@ WEIGHT_SCHEMA = "user_id string, video_id string, weight double, last_watched_at
 
 
 class RecentItems(StatefulProcessor):
-    """The last k items of a session, newest first; a session is forgotten once nothing came for ttl_ms."""
+    """The last k items of a session by event time, newest first; a session is forgotten once nothing came for ttl_ms."""
 
     def __init__(self, k: int = 20, ttl_ms: int = 7_200_000) -> None:
         self.k, self.ttl_ms = k, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getListState("items", "item string", self.ttl_ms)
+        self.items = handle.getListState("items", "item string, at timestamp", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("occurred_at", kind="stable")
-        held = [x[0] for x in self.items.get()] if self.items.exists() else []
-        held = [*reversed(new["item"].tolist()), *held][: self.k]
-        self.items.put([(x,) for x in held])
-        yield pd.DataFrame({"session_id": [key[0]], "items": [held], "updated_at": [new["occurred_at"].max()]})
+        held = [tuple(x) for x in self.items.get()] if self.items.exists() else []
+        held = [*reversed(list(zip(new["item"], new["occurred_at"], strict=True))), *held]
+        held = sorted(held, key=lambda x: pd.Timestamp(x[1]), reverse=True)[: self.k]  # by event time: what comes late takes its own place
+        self.items.put([(i, pd.Timestamp(at).to_pydatetime()) for i, at in held])
+        yield pd.DataFrame({"session_id": [key[0]], "items": [[i for i, _ in held]], "updated_at": [pd.Timestamp(held[0][1])]})
 
     def close(self) -> None:
         pass
 
 
 class CappedBumps(StatefulProcessor):
-    """Passes a subject's bump of an item only cap_s after the last one that passed."""
+    """Passes a subject's bump of an item only if it lies cap_s or more from those that passed, before or after; in order of time that is the array fold's rule."""
 
     def __init__(self, cap_s: float = 3600.0) -> None:
         self.cap_s = cap_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at double", int(self.cap_s * 1000))
+        self.passed = handle.getListState("passed", "at double", int(self.cap_s * 2000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+        passed = [x[0] for x in self.passed.get()] if self.passed.exists() else []
         kept = []
         for at in pd.concat(list(rows))["occurred_at"].sort_values():
-            if last is None or at.timestamp() - last >= self.cap_s:
-                last = at.timestamp()
+            if all(abs(at.timestamp() - t) >= self.cap_s for t in passed):
+                passed.append(at.timestamp())
                 kept.append(at)
         if kept:
-            self.last.update((last,))
+            self.passed.put([(t,) for t in sorted(passed)[-KEPT_BUMPS:]])
             yield pd.DataFrame({"item": key[0], "subject": key[1], "occurred_at": kept})
 
     def close(self) -> None:
