@@ -136,6 +136,83 @@ def test_synthetic_corpus_is_repeatable(spark):
     assert a == b and len({t for _, t in a}) > 40
 
 
+def test_datasets_and_lists_are_written(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    d = spark.range(100).select(F.concat(F.lit("q"), F.col("id") % 20).alias("query"), F.col("id").alias("video_id"), (F.col("id") % 3).cast("int").alias("label"), at.alias("updated_at"))
+    counts = evaluate.write_dataset(d, str(tmp_path / "ltr"), rows=100, queries=20)
+    back = spark.read.parquet(str(tmp_path / "ltr"))
+    assert counts == {"rows": 100, "queries": 20, "positives": 66} and back.count() == 100
+    assert back.filter("split = 'train'").agg(F.max("updated_at")).first()[0] <= back.filter("split = 'valid'").agg(F.min("updated_at")).first()[0]
+    with pytest.raises(ValueError, match="too little"):
+        evaluate.write_dataset(d, str(tmp_path / "ltr2"))
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    trending.publish(spark.createDataFrame([("v", "a", 1)], "domain string, item string, rank int"), str(tmp_path / "list"), now, 300)
+    listed = spark.read.parquet(str(tmp_path / "list"))
+    assert trending.published(listed, now + F.expr("INTERVAL 300 SECONDS")).count() == 1 and trending.published(listed, now + F.expr("INTERVAL 301 SECONDS")).count() == 0
+
+
+def test_splits_inside_one_instant(spark):
+    d = spark.createDataFrame([(f"q{n % 10}", n) for n in range(100)], "query string, video_id int").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {(r.query, r.split) for r in evaluate.time_split(d).select("query", "split").distinct().collect()}
+    assert got == {(f"q{n}", "train" if n < 8 else "valid") for n in range(10)}
+
+
+def test_any_column_can_score(spark):
+    from wayfind.plans.search import rerank
+
+    d = spark.createDataFrame([("q", n, "c", float(n), 0.0, 0.0, 0.0) for n in range(4)], "query_id string, video_id int, channel_id string, text_rank double, affinity double, channel_affinity double, session_intent double")
+    got = {r.video_id: round(r.score, 6) for r in rerank(d, -F.col("text_rank"), penalty=0.0).collect()}
+    assert got == {0: 0.0, 1: -1.0, 2: -2.0, 3: -3.0}
+
+
+def test_exclusions_beyond_the_list(spark):
+    """A request that excludes more than lists allow for is answered from the whole pool."""
+    from wayfind.plans import recommend
+
+    docs = spark.range(60).select(F.col("id").alias("video_id"), F.lit("c").alias("channel_id"), (60 - F.col("id")).alias("views"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(True).alias("eligible"), F.lit(False).alias("is_sensitive"), F.lit("en").alias("language"))
+    asked = spark.createDataFrame([(1, False), (2, False)], "request_id int, hide_sensitive boolean")
+    gone = spark.createDataFrame([(1, n) for n in range(30)] + [(2, 0)], "request_id int, video_id long")
+    rows = recommend.feed_lists(asked, docs, [F.col("views").desc()], 3, False, "request_id", gone, spare=5).collect()
+    assert sorted((r.request_id, r.rank, r.video_id) for r in rows) == [(1, 1, 30), (1, 2, 31), (1, 3, 32), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_overlap_with_hot_and_rare_features(spark, hot, monkeypatch):
+    """The bounded lists give what all pairs give, whether features are hot or rare."""
+    from wayfind.plans import recommend
+
+    monkeypatch.setattr(recommend, "HOT", hot)
+    rng = random.Random(5)
+    rows = [(n, f"c{n % 4}", rng.choice(["a", "b", None]), rng.choice(["en", "fr"]), rng.sample("uvwxyz", rng.randrange(4)), rng.randrange(50), n % 7 == 0, n % 5 != 0) for n in range(80)]
+    docs = spark.createDataFrame(rows, "video_id long, channel_id string, category string, language string, tags array<string>, views long, is_sensitive boolean, eligible boolean").withColumn("published_at", F.lit(None).cast("timestamp"))
+    seeds = docs.select(F.col("video_id").alias("seed_id"), (F.col("video_id") % 2 == 0).alias("hide_sensitive"))
+    got = {(r.seed_id, r.rank): (r.video_id, r.overlap) for r in recommend.related_overlap(seeds, docs, 4).collect()}
+    want = {}
+    for s in rows:
+        found = []
+        for d in rows:
+            both = int(s[2] is not None and s[2] == d[2]) + int(s[3] == d[3]) + len(set(s[4]) & set(d[4]))
+            if d[7] and d[0] != s[0] and both and not (s[0] % 2 == 0 and d[6]):
+                found.append((-both, -d[5], d[0]))
+        want |= {(s[0], k): (v, -o) for k, (o, _, v) in enumerate(sorted(found)[:4], 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("width", [7, 50, 10**6])
+def test_next_ends_of_runs(spark, width):
+    rng = random.Random(3)
+    ends = [(n, rng.choice(["r1", "r1", "r2", None])) for n in sorted(rng.sample(range(1, 300, 2), 25))]
+    marks = [(f"v{rng.randrange(5)}", rng.choice([-1, *range(0, 300, 2)])) for _ in range(60)]
+    want = set()
+    for v, at in marks:
+        after = [e for e in ends if e[0] > at]
+        if after:
+            want.add((v, *after[0]))
+            want.update((v, *e) for e in [e for e in after if e[1] != after[0][1]][:1])
+    got = projection.next_ends(spark.createDataFrame(marks, "video_id string, seq long"), spark.createDataFrame(ends, "seq long, run_id string"), width)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def plain_projection(rows):
     docs = {}
     hide = lambda d, why: d.update(eligible=False, reason=why)

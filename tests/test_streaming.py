@@ -75,6 +75,20 @@ def test_session_list(run):
     assert max(out, key=lambda r: r.updated_at)["items"] == ["d", "c", "b"]
 
 
+def test_late_items_take_their_place(run):
+    at = lambda m: f"2024-01-01T00:{m:02d}:00Z"
+    rows = [[{"session_id": "s", "item": i, "occurred_at": at(m)} for i, m in (("a", 1), ("c", 5))], [{"session_id": "s", "item": "b", "occurred_at": at(3)}]]
+    out = run(rows, "session_id string, item string, occurred_at timestamp", lambda d: state.session_push(d, 3))
+    assert ["c", "b", "a"] in [r["items"] for r in out]
+
+
+def test_late_bumps_are_held_against_those_that_passed(run):
+    times = [[0, 300], [100, 250, 20]]
+    rows = [[{"item": "i", "subject": "u", "occurred_at": f"2024-01-01T00:{t // 60:02d}:{t % 60:02d}Z"} for t in part] for part in times]
+    out = run(rows, "item string, subject string, occurred_at timestamp", lambda d: state.capped_bumps(d, 60.0))
+    assert sorted(r.occurred_at.minute * 60 + r.occurred_at.second for r in out) == [0, 100, 300]
+
+
 def test_capped_bumps_match_the_array_fold(spark, run):
     from wayfind.operators.windows import greedy_cap
 

@@ -79,7 +79,10 @@ def covis_neighbors(events: DataFrame, window_s: float | None = 3600.0, shrink:
 
 
 def basket_neighbors(events: DataFrame, shrink: float = SHRINK, top_m: int = 100) -> DataFrame:
-    """Neighbours from shared sessions alone, without a time limit: co-search is empty."""
+    """Neighbours from shared sessions alone, without a time limit: co-search is empty.
+
+    A session of n items is n * n / 2 pairs, which is its result; adaptive execution deals a hot session's side of the join to several tasks.
+    """
     edges = _directed(co_watch_pairs(events, events, None), "w", shrink).select("i", "j", covis_blend(F.col("w"), F.lit(0.0)).alias("score"))
     return top_neighbors(edges.filter("score > 0"), top_m)
 

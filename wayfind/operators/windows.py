@@ -69,7 +69,10 @@ def interleave(df: DataFrame, by: list[str], stream: str, order: list[Column]) -
 
 
 def greedy_cap(df: DataFrame, keys: list[str], ts: str, cap_s: float = 3600.0) -> DataFrame:
-    """Rows kept per key: one only if at least `cap_s` after the last one kept. An array fold, since no frame says this; a key's rows must fit a row."""
+    """Rows kept per key: one only if at least `cap_s` after the last one kept. An array fold, since no frame says this.
+
+    A key's rows must fit a row (2 GB): beyond that the job fails, and rows should be cut by day first, as the streaming form does with its state.
+    """
     rest = [c for c in df.columns if c not in keys]
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("_ts"), *[c for c in rest if c != ts]))).alias("_rows"))
 
