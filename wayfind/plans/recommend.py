@@ -62,8 +62,8 @@ def feed_lists(requests: DataFrame, docs: DataFrame, order: list[Column], k: int
     return kept.select(key, "video_id", "channel_id", "rank").unionByName(ranked(whole, [*first, *order]).select(key, "video_id", "channel_id", "rank"))
 
 
-def popular(requests: DataFrame, docs: DataFrame, k: int, exclude: DataFrame | None = None, key: str = "request_id") -> DataFrame:
-    return feed_lists(requests, docs, [F.col("views").desc(), *_newest()], k, False, key, exclude)
+def popular(requests: DataFrame, docs: DataFrame, k: int, exclude: DataFrame | None = None, key: str = "request_id", spare: int = EXCLUDED) -> DataFrame:
+    return feed_lists(requests, docs, [F.col("views").desc(), *_newest()], k, False, key, exclude, spare)
 
 
 def home_recent(requests: DataFrame, docs: DataFrame, k: int, exclude: DataFrame | None = None, key: str = "request_id") -> DataFrame:
@@ -136,16 +136,18 @@ def related_overlap(seeds: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     hot = pool.select(F.explode("_f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT * k).select("f")
     split = d.select("video_id", F.explode_outer("_f").alias("f")).join(hot.withColumn("_hot", F.lit(True)), "f", "left")
     split = split.groupBy("video_id").agg(F.array_sort(F.collect_set(F.when(F.col("_hot"), F.col("f")))).alias("_hots"), F.array_sort(F.collect_set(F.when(F.col("_hot").isNull(), F.col("f")))).alias("_colds"))
-    d = d.join(split, "video_id")
+    d = d.drop("_f").join(split, "video_id").withColumn("_f", F.concat("_colds", "_hots"))  # rare ones first
     pool = d.filter("eligible").select("video_id", "channel_id", "views", "published_at", "is_sensitive", "_f", "_hots", "_colds")
     s = seeds.select("seed_id", F.col("hide_sensitive").alias("_h")).join(d.select(F.col("video_id").alias("seed_id"), F.col("_f").alias("_sf"), F.col("_hots").alias("_sh"), F.col("_colds").alias("_sc")), "seed_id")
-    rare = s.withColumn("f", F.explode("_sc")).join(pool.withColumn("f", F.explode("_colds")), "f").filter(~F.col("_h") | ~F.col("is_sensitive"))
-    rare = rare.filter(F.col("f") == F.array_min(F.array_intersect("_sc", "_colds")))  # a pair once, however many they share
-    lists = top_k(_by_visibility(pool).withColumn("_set", F.explode(_subsets(F.col("_hots")))), ["_hide", "_set"], order, k + 1)
-    common = s.withColumn("_set", F.explode(_subsets(F.col("_sh")))).withColumn("_hide", F.col("_h")).join(lists, ["_hide", "_set"])
-    common = common.filter(~F.arrays_overlap("_sc", "_colds") & (F.col("_set") == F.array_intersect("_sh", "_hots")))
-    columns = ["seed_id", "video_id", "channel_id", "views", "published_at", F.size(F.array_intersect("_sf", "_f")).alias("overlap")]
-    found = rare.select(*columns).unionByName(common.select(*columns)).filter(F.col("video_id") != F.col("seed_id"))
+    both = F.array_intersect("_sf", "_f").alias("_both")
+    columns = ["seed_id", "video_id", "channel_id", "views", "published_at"]
+    rare = s.select("seed_id", "_h", "_sf", F.explode("_sc").alias("f")).join(pool.drop("_hots").withColumn("f", F.explode("_colds")), "f").filter((~F.col("_h") | ~F.col("is_sensitive")) & (F.col("video_id") != F.col("seed_id")))
+    rare = rare.select(*columns, "f", both).filter(F.col("f") == F.get("_both", F.lit(0)))  # a pair once, however many they share
+    lists = top_k(_by_visibility(pool.drop("_colds")).withColumn("_set", F.explode(_subsets(F.col("_hots")))), ["_hide", "_set"], order, k + 1)
+    common = s.select("seed_id", "_sf", F.col("_h").alias("_hide"), F.explode(_subsets(F.col("_sh"))).alias("_set")).join(lists, ["_hide", "_set"]).filter(F.col("video_id") != F.col("seed_id"))
+    common = common.select(*columns, "_set", both).filter(F.col("_set") == F.col("_both"))  # no rare one, and no other hot one
+    columns = [*columns, F.size("_both").alias("overlap")]
+    found = rare.select(*columns).unionByName(common.select(*columns))
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("seed_id").orderBy(F.col("overlap").desc(), *order))).filter(F.col("rank") <= k)
     return found.select("seed_id", "video_id", "channel_id", "overlap", "rank")
 
@@ -162,7 +164,7 @@ def related_simple(seeds: DataFrame, docs: DataFrame, limit: int = LIMIT) -> Dat
     order = [F.col("stream"), F.col("place")]
     picks = compose_cap(own, ["seed_id"], order, CHANNEL_CAP, limit)
     out = picks.select("seed_id", "video_id").unionByName(seeds.select("seed_id", F.col("seed_id").alias("video_id")))
-    fill = part(popular(seeds, docs, limit, out, "seed_id"), 2, "popular")
+    fill = part(popular(seeds, docs, limit, out, "seed_id", limit + 1), 2, "popular")
     first = picks.select("seed_id", "video_id", "channel_id", "stream", "place", "reason")
     return _feed(compose_cap(first.unionByName(fill), ["seed_id"], order, CHANNEL_CAP, limit), "seed_id")
 
@@ -244,7 +246,7 @@ def related_advanced(seeds: DataFrame, docs: DataFrame, neighbors: DataFrame, as
         own = seeds.filter("session_id <> ''").join(sessions, "session_id").select("seed_id", "video_id")
         rows = rows.unionByName(_candidates(seed_topk(own, neighbors, 2 * limit), F.col("score"), "co_watch", 3, "seed_id"))
     self_ = seeds.select("seed_id", F.col("seed_id").alias("video_id"))
-    rows = rows.unionByName(_candidates(popular(seeds, docs, limit, self_, "seed_id"), F.lit(0.0), "popular", 4, "seed_id"))
+    rows = rows.unionByName(_candidates(popular(seeds, docs, limit, self_, "seed_id", 1), F.lit(0.0), "popular", 4, "seed_id"))
     skipped = self_.withColumnRenamed("seed_id", "request_id")
     merged = merge_candidates(rows.join(skipped, ["request_id", "video_id"], "left_anti"))
     return compose_feed(merged, seeds.withColumnRenamed("seed_id", "request_id"), docs, as_of, projection, neighbors, skipped, limit)
