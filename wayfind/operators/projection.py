@@ -45,22 +45,23 @@ def next_ends(marks: DataFrame, ends: DataFrame, width: int = 1_000_000) -> Data
     end = F.struct("seq", "run_id")
     ends = ends.select("seq", "run_id").withColumn("_b", bucket)
     inside = Window.partitionBy("_b").orderBy("seq")
-    after = inside.rowsBetween(1, Window.unboundedFollowing)
+    # backwards, since a frame that runs to the end costs the square of its rows and one that runs from the start does not
+    after = Window.partitionBy("_b").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_turn", F.lag(F.lit(1)).over(inside).isNotNull() & ~F.lag(end).over(inside)["run_id"].eqNullSafe(F.col("run_id")))
-    ends = ends.withColumn("_other", F.first(F.when(F.col("_turn"), end), ignorenulls=True).over(after))
+    ends = ends.withColumn("_other", F.last(F.when(F.col("_turn"), end), ignorenulls=True).over(after))
     # a row a bucket: its first and last end, its first turn, and whether its first end is one
     rows = ends.groupBy("_b").agg(F.min_by(F.struct("seq", "run_id", "_other"), "seq").alias("f"), F.max_by("run_id", "seq").alias("last"), F.min(F.when(F.col("_turn"), end)).alias("turn"))
     every = Window.orderBy("_b")
-    later = every.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("turn", F.when(F.lag(F.lit(1)).over(every).isNotNull() & ~F.lag("last").over(every).eqNullSafe(F.col("f.run_id")), F.struct("f.seq", "f.run_id")).otherwise(F.col("turn")))
-    rows = rows.withColumns({"next_turn": F.first("turn", ignorenulls=True).over(later), "beyond": F.coalesce(F.col("f._other"), F.first("turn", ignorenulls=True).over(later))})
+    rows = rows.withColumns({"next_turn": F.last("turn", ignorenulls=True).over(later), "beyond": F.coalesce(F.col("f._other"), F.last("turn", ignorenulls=True).over(later))})
     rows = rows.select("_b", "f", "beyond", "next_turn")
     both = marks.select("video_id", "seq").withColumns({"_b": bucket, "_e": F.lit(None).cast(T.StructType([*[ends.schema[c] for c in ("seq", "run_id", "_other")]]))})
     both = both.unionByName(ends.select(F.lit(None).cast(marks.schema["video_id"].dataType).alias("video_id"), "seq", "_b", F.struct("seq", "run_id", "_other").alias("_e")))
-    found = both.withColumn("_a", F.first("_e", ignorenulls=True).over(after)).filter("_e IS NULL")
+    found = both.withColumn("_a", F.last("_e", ignorenulls=True).over(after)).filter("_e IS NULL")
     # marks with no end left in their bucket take the next bucket that has some
     every_bucket = both.select("_b").distinct().join(rows, "_b", "left")
-    follows = every_bucket.select("_b", F.first(F.when(F.col("f").isNotNull(), F.struct("f", "beyond")), ignorenulls=True).over(later).alias("n"))
+    follows = every_bucket.select("_b", F.last(F.when(F.col("f").isNotNull(), F.struct("f", "beyond")), ignorenulls=True).over(later).alias("n"))
     own = found.filter("_a IS NOT NULL").join(rows.select("_b", "next_turn"), "_b", "left")
     own = own.select("video_id", F.explode(F.array_compact(F.array(F.struct("_a.seq", "_a.run_id"), F.coalesce("_a._other", "next_turn")))).alias("e"))
     rest = found.filter("_a IS NULL").join(follows.filter("n IS NOT NULL"), "_b")

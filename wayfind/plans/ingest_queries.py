@@ -121,6 +121,7 @@ def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue events derived from the event table, in order of event_id: upserts, suppressions, statistics, channels, owners, reconcile runs."""
     e = src.table(spark, sf_dir, "events")
     n, u = F.col("event_id"), F.col("user_id")
+    channel, owner = F.floor(u / 8), F.floor(u / 16)  # a user is a video; some eight share a channel, some sixteen an owner
     kind = F.pmod(F.xxhash64(n), F.lit(16))
     type_ = (
         F.when(kind < 6, "video.upsert").when(kind == 6, "reconcile.page").when(kind < 9, "video.suppress").when(kind < 11, "video.stats").when(kind == 11, "channel.upsert").when(kind == 12, "channel.delete").otherwise("user.suppress")
@@ -129,7 +130,7 @@ def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.concat(F.lit("run"), F.floor(n / 251).cast("string"))
     named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     doc = F.struct(
-        F.when(n % 9 == 0, "remote").otherwise("").alias("kind"), named("c", n % 7).alias("channel_id"), named("h", n % 7).alias("channel_handle"), named("n", n % 7).alias("channel_name"), named("o", n % 5).alias("owner_id"),
+        F.when(n % 9 == 0, "remote").otherwise("").alias("kind"), named("c", channel + n % 3).alias("channel_id"), named("h", n % 7).alias("channel_handle"), named("n", n % 7).alias("channel_name"), named("o", owner + n % 2).alias("owner_id"),
         F.concat(F.lit("t"), n.cast("string")).alias("title"), F.lit("cat").alias("category"), F.lit("en").alias("language"), (n % 4 == 0).alias("is_sensitive"), F.col("ts").cast("timestamp").alias("published_at"),
         F.when(n % 5 == 0, "private").otherwise("public").alias("privacy"), F.when(n % 8 == 1, "draft").otherwise("published").alias("state"), n.alias("views"), (n % 100).cast("int").alias("likes"),
     )
@@ -138,8 +139,8 @@ def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     video = ("video.upsert", "reconcile.page", "video.suppress", "video.stats")
     return e.select(
         n.alias("seq"), type_.alias("type"), only(video, named("v", u)).alias("video_id"), F.when(upsert, doc).alias("doc"), only(("video.suppress",), F.lit("blocked")).alias("reason"), only(("video.stats",), n * 2).alias("views"),
-        only(("video.stats",), (n % 50).cast("int")).alias("likes"), only(("channel.upsert", "channel.delete"), named("c", n % 7)).alias("channel_id"), only(("channel.upsert",), named("H", n % 11)).alias("handle"),
-        only(("channel.upsert",), named("N", n % 11)).alias("name"), only(("channel.upsert",), named("o", n % 4)).alias("owner"), only(("user.suppress",), named("o", n % 5)).alias("user_id"), only(("user.suppress",), n % 2 == 0).alias("unlisted"),
+        only(("video.stats",), (n % 50).cast("int")).alias("likes"), only(("channel.upsert", "channel.delete"), named("c", channel + n % 2)).alias("channel_id"), only(("channel.upsert",), named("H", n % 11)).alias("handle"),
+        only(("channel.upsert",), named("N", n % 11)).alias("name"), only(("channel.upsert",), named("o", owner + n % 3)).alias("owner"), only(("user.suppress",), named("o", owner + n % 2)).alias("user_id"), only(("user.suppress",), n % 2 == 0).alias("unlisted"),
         only(("reconcile.page", "reconcile.end"), run).alias("run_id"),
     )
 
