@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, stats, token_counts, urls
+from wayfind.llm import alignment, chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, spelling, stats, token_counts, urls, warc
+from wayfind.llm.shared import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,12 +152,39 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = warc.archive_pages(pages, f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}")
+    number = lambda c: F.nullif(F.col(c), F.lit("")).cast(pages.schema["page_id"].dataType)
+    return found.select(number("page_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.score_links(_table(spark, sf_dir, "documents"), *byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+heads AS (SELECT html, max(page_id) AS head FROM p GROUP BY 1),
+bits AS (SELECT page_id, hex, (SELECT string_agg(right('0000' || bin(instr('0123456789ABCDEF', hex[k]) - 1), 4), '' ORDER BY k) FROM range(1, 41) r(k)) AS b FROM p),
+digests AS (SELECT page_id, (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform([16, 8, 4, 2, 1], lambda w, i: w * b[5 * k + i]::INT))::INT], '' ORDER BY k) FROM range(0, 32) r(k)) AS payload_digest FROM bits)
+SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, d.payload_digest, CASE WHEN p.page_id = h.head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> h.head THEN h.head END AS refers_to
+FROM p JOIN heads h ON h.html = p.html JOIN digests d ON d.page_id = p.page_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_repeats, op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op6_decontaminate, op7_token_counts, op8_quality_model, op9_chat_format, op10_simhash, rule_statistics)
+    own = (op1_repeats, op2_quality_rules, op3_shards, op4_url_filter, op5_pack, op6_decontaminate, op7_token_counts, op8_quality_model, op9_chat_format, op10_simhash, op11_spelling, op12_warc, op13_alignment, rule_statistics)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op9_chat_format": OP9_SQL, "rule_statistics": RULES_SQL}
+    return {"op4_url_filter": OP4_SQL, "op9_chat_format": OP9_SQL, "op12_warc": OP12_SQL, "rule_statistics": RULES_SQL}
