@@ -24,7 +24,7 @@ def all_near(words):
     by_size = defaultdict(list)
     for w in words:
         by_size[len(w)].append(w)
-    return {tuple(sorted((u, v))) for n, own in by_size.items() for u in own for v in own + by_size[n + 1] if u != v and one_edit(u, v)}
+    return {tuple(sorted((u, v))) for n, own in by_size.items() for u in own for v in own + by_size.get(n + 1, []) if u != v and one_edit(u, v)}
 
 
 def plain(rows, noise=97, least=3, ratio=2):
