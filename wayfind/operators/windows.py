@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +74,46 @@ def interleave(df: DataFrame, by: list[str], stream: str, order: list[Column]) -
 
 
 def greedy_cap(df: DataFrame, keys: list[str], ts: str, cap_s: float = 3600.0) -> DataFrame:
-    """Rows kept per key: one only if at least `cap_s` after the last one kept. An array fold, since no frame says this.
+    """Rows kept per key: one only if at least `cap_s` after the last one kept; of one instant the least in the other columns.
 
-    A key's rows must fit a row (2 GB): beyond that the job fails, and rows should be cut by day first, as the streaming form does with its state.
+    No window frame says this. Rows come sorted by key and time, and a task goes from one kept row to the next by binary search,
+    so it holds a batch of rows and the last time kept, however many rows a key has. A null time is the least.
     """
-    rest = [c for c in df.columns if c not in keys]
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("_ts"), *[c for c in rest if c != ts]))).alias("_rows"))
-
-    def step(state: Column, row: Column) -> Column:
-        at = F.unix_micros(row["_ts"])
-        take = state["last"].isNull() | (at - state["last"] >= int(cap_s * 1e6))
-        return F.struct(F.when(take, at).otherwise(state["last"]).alias("last"), F.when(take, F.concat(state["kept"], F.array(row))).otherwise(state["kept"]).alias("kept"))
-
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.filter("_rows", lambda r: F.lit(False)).alias("kept"))
-    rows = rows.withColumn("_kept", F.explode(F.aggregate("_rows", empty, step, lambda s: s["kept"])))
-    return rows.select(*keys, F.col("_kept._ts").alias(ts), *[F.col(f"_kept.{c}").alias(c) for c in rest if c != ts])
+    order = [*keys, ts, *[c for c in df.columns if c not in (*keys, ts)]]
+    marked = df.select(*order, F.unix_micros(ts).alias("_at")).repartition(*keys).sortWithinPartitions(*order)
+    cap, width = int(cap_s * 1e6), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None  # the key at hand and its last time kept
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            at = pc.fill_null(batch.column(len(order)), -(2**62)).to_numpy(zero_copy_only=False)
+            new = np.zeros(n, dtype=bool)
+            for c in batch.columns[:width]:
+                codes = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            first = tuple(c[0].as_py() for c in batch.columns[:width])
+            new[0] = held is None or first != held[0]
+            starts = np.flatnonzero(new)
+            kept = starts.tolist()  # a key's first row is kept
+            runs = [(0, int(starts[0]) if len(starts) else n, last)] if not new[0] else []
+            ends = np.append(starts[1:], n)
+            more = (ends - starts > 1) & (at[ends - 1] - at[starts] >= cap)
+            runs += [(s + 1, e, int(at[s])) for s, e in zip(starts[more].tolist(), ends[more].tolist(), strict=True)]
+            for s, e, before in runs:
+                while (s := s + int(np.searchsorted(at[s:e], before + cap))) < e:
+                    kept.append(s)
+                    before = int(at[s])
+                if e == n:
+                    last = before
+            if len(starts) and not more[-1]:
+                last = int(at[starts[-1]])
+            held = (tuple(c[n - 1].as_py() for c in batch.columns[:width]),)
+            yield batch.take(pa.array(sorted(kept), pa.int64())).drop_columns(["_at"])
+
+    return marked.mapInArrow(run, marked.drop("_at").schema).select(*keys, ts, *order[width + 1 :])
 
 
 def run_groups(df: DataFrame, by: list[str], order: list[Column], key: str) -> DataFrame:

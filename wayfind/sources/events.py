@@ -24,8 +24,8 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False, files:
     return reader.schema(ENVELOPE).json(path)
 
 
-def decode(events: DataFrame, ingested_at: Column) -> tuple[DataFrame, DataFrame]:
-    """(ok, failed). ok: the envelope with payload columns p; failed: event_id, code, message.
+def judge(events: DataFrame, ingested_at: Column) -> DataFrame:
+    """The envelopes with payload columns p and _why, null where the event can be applied.
 
     Payloads that aren't JSON, and ids that aren't UUIDs where the type needs one, fail. Unknown types pass. An event
     without time has the time of intake.
@@ -37,9 +37,17 @@ def decode(events: DataFrame, ingested_at: Column) -> tuple[DataFrame, DataFrame
     known = known_type(F.col("type")) != "unknown"
     bad_user = F.col("p.user_id").isNotNull() & ~F.col("p.user_id").rlike(UUID)
     why = F.when(F.col("payload").isNull() | F.col("p._corrupt").isNotNull(), "bad json").when(known & need.isNotNull() & ~need.rlike(UUID), "bad id").when(known & bad_user, "bad user id")
-    rows = rows.withColumns({"_why": why, "occurred_at": F.coalesce("occurred_at", ingested_at)})
-    ok = rows.filter("_why IS NULL").drop("_why")
-    return ok, rows.filter("_why IS NOT NULL").select("event_id", F.lit("apply_failed").alias("code"), F.col("_why").alias("message"))
+    return rows.withColumns({"_why": why, "occurred_at": F.coalesce("occurred_at", ingested_at)})
+
+
+def decode(events: DataFrame, ingested_at: Column) -> tuple[DataFrame, DataFrame]:
+    """(ok, failed). ok: the envelope with payload columns p; failed: event_id, code, message."""
+    rows = judge(events, ingested_at)
+    return rows.filter("_why IS NULL").drop("_why"), failures(rows)
+
+
+def failures(judged: DataFrame) -> DataFrame:
+    return judged.filter("_why IS NOT NULL").select("event_id", F.lit("apply_failed").alias("code"), F.col("_why").alias("message"))
 
 
 def dedupe(events: DataFrame, seen: DataFrame | None = None, order: str = "seq") -> DataFrame:
