@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,8 +91,15 @@ def test_windows_are_bounded_and_alike_without_memory(models, monkeypatch):
     monkeypatch.setattr(alignment, "KEPT_WINDOWS", 5)
     ranks, pattern, model = models
     windows = alignment.Windows(alignment.ByteTokens(ranks, pattern), alignment.PieceTokens(model))
-    text = "some words repeat and some words do not repeat in rows " * 20
-    a, b = windows.a.ids([text])[0], windows.b.ids([text])[0]
-    _, _, shown, links = windows.document(text, a, b)
-    whole = alignment.groups_of(a, b, windows.size_a, windows.size_b)
-    assert shown == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in whole) and links == [x[-1] << 32 | y[-1] for x, y in whole] and len(windows.known) <= 5
+    texts = ["some words repeat and some words do not repeat in rows " * 20, "x" * 3000 + " rows of words", "", "other words"]
+    for _ in range(3):
+        for text in texts:
+            (found,) = windows.documents([text])
+            if text:
+                a, b = (np.array(t.ids([text])[0], dtype="<u4") for t in (windows.a, windows.b))
+                ((shown, links),) = windows.align([(a | alignment.OF_A).tobytes() + b.tobytes()])  # the document as one window
+                assert found[2] == shown[:-1] and found[3].tobytes() == links
+            else:
+                assert found is None
+            assert all(len(w) <= 4 * alignment.LONG for w in windows.known)
+    assert len(windows.known) <= 5 + 20

@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from wayfind.llm.shared import drop, text_of, written
 
 SPACE = "▁"
 KEPT_WINDOWS = 150_000
-LONG = 64  # tokens: windows above are aligned without being remembered
-SLICE_BYTES = 1 << 21
+LONG = 128  # tokens of both kinds: windows above are aligned without being remembered
+SLICE_BYTES = 1 << 20
 
 
 class ByteTokens:
@@ -70,61 +71,79 @@ def piece_tokens(model: str) -> PieceTokens:
     return PieceTokens(model)
 
 
-def groups_of(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> list[tuple[list[int], list[int]]]:
-    """The ids of one window, or of any stretch whose ends are shared, cut wherever both have an end."""
-    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    cut_a, cut_b = np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1
-    out, i, j = [], 0, 0
-    for x, y in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-        out.append((a[i:x], b[j:y]))
-        i, j = x, y
-    return out
+Aligned = tuple[str, bytes]
+OF_A = np.uint32(1 << 31)  # marks the ids of the first tokenizer in a window's packed ids
 
 
 class Windows:
-    """Alignments of windows by their ids: the groups as text, their number, and the linked pair of ids at each group's end."""
+    """Alignments of windows by their ids: the groups as text, each with its closing mark, and the linked ids at the groups' ends."""
 
     def __init__(self, a, b) -> None:
         self.a, self.b = a, b
-        self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b))
+        self.size_a, self.size_b = (np.array([len(x) for x in t.bytes]) for t in (a, b))
         self.marked_a, self.marked_b = (np.array([x[:1] == b" " for x in t.bytes]) for t in (a, b))
-        self.known: dict[tuple[bytes, bytes], tuple[str, list[int]]] = {}
+        named = lambda t, mark: np.array([f"{k}{mark}" for k in range(len(t.bytes))], dtype=object)
+        self.inner_a, self.last_a, self.inner_b, self.last_b = named(a, ","), named(a, "|"), named(b, ","), named(b, ";")
+        self.known: dict[bytes, Aligned] = {}
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, list[int]]:
-        found = groups_of(a, b, self.size_a, self.size_b)
-        return ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found]), [x[-1] << 32 | y[-1] for x, y in found]
-
-    def window(self, a: bytes, b: bytes) -> tuple[str, list[int]]:
-        found = self.known.get((a, b))
-        if found is None:
-            found = self.align(np.frombuffer(a, dtype="<u4").tolist(), np.frombuffer(b, dtype="<u4").tolist())
-            if len(a) + len(b) <= 4 * LONG:
-                if len(self.known) >= KEPT_WINDOWS:
-                    self.known.clear()
-                self.known[a, b] = found
-        return found
-
-    def document(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, str, list[int]] | None:
-        """n_a, n_b, groups and links, or None where either's bytes are not a space and the text."""
+    def spelled(self, text: str, a: list[int], b: list[int]) -> bool:
         raw = b" " + text.encode()
-        if b"".join(map(self.b.bytes.__getitem__, b)) != raw or b"".join(map(self.a.bytes.__getitem__, a)) != raw:
-            return None
-        ids_a, ids_b = np.array(a, dtype="<u4"), np.array(b, dtype="<u4")
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        before_a, before_b = np.flatnonzero(self.marked_a[ids_a[1:]]) + 1, np.flatnonzero(self.marked_b[ids_b[1:]]) + 1  # tokens that are space-marked, but for the first
-        _, at_a, at_b = np.intersect1d(ends_a[before_a - 1], ends_b[before_b - 1], assume_unique=True, return_indices=True)  # verified: the ends before them are one offset
-        cut_a, cut_b = (4 * before_a[at_a]).tolist(), (4 * before_b[at_b]).tolist()
-        cut_a.append(4 * len(a))
-        cut_b.append(4 * len(b))
-        bytes_a, bytes_b, known, window = ids_a.tobytes(), ids_b.tobytes(), self.known, self.window
-        shown, links, i, j = [], [], 0, 0
-        for x, y in zip(cut_a, cut_b, strict=True):
-            groups, pairs = known.get((bytes_a[i:x], bytes_b[j:y])) or window(bytes_a[i:x], bytes_b[j:y])
-            shown.append(groups)
-            links += pairs
-            i, j = x, y
-        return len(a), len(b), ";".join(shown), links
+        return b"".join(map(self.b.bytes.__getitem__, b)) == raw and b"".join(map(self.a.bytes.__getitem__, a)) == raw
+
+    def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The windows of texts that follow one another: each one's packed ids, A's before B's, and how many of A's ids lie before it."""
+        starts_a, starts_b = np.flatnonzero(self.marked_a[a]), np.flatnonzero(self.marked_b[b])  # of space-marked tokens, a text's first among them
+        before_a, before_b = (np.cumsum(size[ids]) - size[ids] for size, ids in ((self.size_a, a), (self.size_b, b)))
+        _, at_a, at_b = np.intersect1d(before_a[starts_a], before_b[starts_b], assume_unique=True, return_indices=True)  # verified: both begin at one offset
+        cut_a, cut_b = starts_a[at_a], starts_b[at_b]
+        n_a, n_b = np.diff(cut_a, append=len(a)), np.diff(cut_b, append=len(b))
+        packed = np.empty(len(a) + len(b), dtype="<u4")
+        packed[np.arange(len(a)) + np.repeat(cut_b, n_a)] = a | OF_A
+        packed[np.arange(len(b)) + np.repeat(cut_a + n_a, n_b)] = b
+        raw, ends = packed.tobytes(), (4 * (cut_a + cut_b)).tolist() + [4 * len(packed)]
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)], cut_a
+
+    def align(self, windows: list[bytes]) -> list[Aligned]:
+        """Cuts windows wherever both have an end. All at once: ends of windows are shared, so their ids can stand one after another."""
+        packed = np.frombuffer(b"".join(windows), dtype="<u4")
+        of_a = packed >= OF_A
+        a, b = packed[of_a] ^ OF_A, packed[~of_a]
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, shared), np.searchsorted(ends_b, shared)  # each group's last tokens
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        place_a, place_b = np.arange(len(a)) + np.repeat(last_b + 1 - size_b, size_a), np.arange(len(b)) + np.repeat(last_a + 1, size_b)
+        names = np.empty(len(packed), dtype=object)
+        names[place_a], names[place_b] = self.inner_a[a], self.inner_b[b]
+        names[place_a[last_a]], names[place_b[last_b]] = self.last_a[a[last_a]], self.last_b[b[last_b]]
+        shown, links = names.tolist(), (a[last_a].astype("<i8") << 32 | b[last_b].astype("<i8")).tobytes()
+        ends = np.cumsum([len(w) // 4 for w in windows])
+        groups = [0, *(8 * np.searchsorted(last_a, np.cumsum(of_a)[ends - 1])).tolist()]
+        ends = [0, *ends.tolist()]
+        return [("".join(shown[s:e]), links[g:h]) for s, e, g, h in zip(ends, ends[1:], groups, groups[1:], strict=False)]
+
+    def documents(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray] | None]:
+        """n_a, n_b, groups and links of each text; None where either's bytes are not a space and the text, and for empty ones."""
+        ids = [(a, b) if t and self.spelled(t, a, b) else None for t, a, b in zip(texts, self.a.ids(texts), self.b.ids(texts), strict=True)]
+        told = [x for x in ids if x]
+        if not told:
+            return [None] * len(texts)
+        n_a, n_b = [len(a) for a, _ in told], [len(b) for _, b in told]
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in told), dtype="<u4", count=sum(n)) for k, n in ((0, n_a), (1, n_b)))
+        windows, starts = self.cut(a, b)
+        if len(self.known) > KEPT_WINDOWS:
+            self.known.clear()
+        known = self.known
+        fresh = list(dict.fromkeys(w for w in windows if w not in known))
+        if fresh:
+            known.update(zip(fresh, self.align(fresh), strict=True))
+        shown, links = zip(*map(known.__getitem__, windows), strict=True)
+        for w in fresh:
+            if len(w) > 4 * LONG:
+                del known[w]
+        ends = np.searchsorted(starts, np.cumsum(n_a)).tolist()
+        rows = ((x, y, "".join(shown[i:j])[:-1], np.frombuffer(b"".join(links[i:j]), dtype="<i8")) for x, y, i, j in zip(n_a, n_b, [0, *ends], ends, strict=False))
+        return [next(rows) if x else None for x in ids]
 
 
 _windows: dict[tuple, Windows] = {}
@@ -158,11 +177,11 @@ def align_documents(docs: DataFrame, byte_ranks: str, pattern: str, piece_model:
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(ALIGNED).fields])
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
 
-    def row(found: tuple[int, int, str, list[int]] | None) -> tuple:
+    def row(found: tuple[int, int, str, np.ndarray] | None) -> tuple:
         if found is None:
             return 0, 0, 0, 0, [], [], ""
         n_a, n_b, shown, links = found
-        pairs, times = np.unique(np.array(links, dtype=np.int64), return_counts=True)
+        pairs, times = np.unique(links, return_counts=True)
         return n_a, n_b, len(links), len(links), pairs, times.astype(np.int32), shown if keep_groups else hashlib.sha256(shown.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +193,7 @@ def align_documents(docs: DataFrame, byte_ranks: str, pattern: str, piece_model:
             texts = batch.column(1).to_pylist()
             for start, end in _slices(texts):
                 part = texts[start:end]
-                rows = [row(windows.document(t, a, b) if t else None) for t, a, b in zip(part, windows.a.ids(part), windows.b.ids(part), strict=True)]
+                rows = list(map(row, windows.documents(part)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=schema.names)
 
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
