@@ -77,16 +77,22 @@ def write_archives(pages: DataFrame, folder: str, taken_at: Column | None = None
     again = join_spread(slim.select("id", "number", "same"), groups.select("same", F.col("head").cast("string").alias("head")), "same", F.col("id")).filter("id <> head")
     total = slim.agg(F.sum(F.col("bytes") + HEAD_BYTES)).first()[0] or 0
     n = slices(total, file_bytes)
-    again = again.select("id", "same", "head").distinct().repartition(n, "id", "same")
-    placed = rows.drop("number").repartition(n, "id", "same").join(again.hint("shuffle_hash"), ["id", "same"], "left")
+    # both in one exchange, a decision before the page it is about: a join would deal the pages once more to get more tasks
+    decided = again.select("id", "same", "head").distinct().withColumn("page", F.lit(0)).unionByName(rows.drop("number").withColumn("page", F.lit(1)), allowMissingColumns=True)
+    placed = decided.repartition(n, "id", "same").sortWithinPartitions("id", "same", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head = None, None
         for batch in batches:
             out, held = [], 0
             for k in range(batch.num_rows):
-                own = {name: batch.column(name)[k].as_py() for name in ("id", "url", "taken_at", "payload", "head")}
+                own = {name: batch.column(name)[k].as_py() for name in ("id", "same", "head", "page", "url", "taken_at")}
+                if (own["id"], own["same"]) != key or not own["page"]:
+                    key, head = (own["id"], own["same"]), own["head"]
+                if not own["page"]:
+                    continue
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.append(packer.compress(record(own["id"], own["url"], own["taken_at"], own["payload"].encode(), own["head"])) + packer.flush())
+                out.append(packer.compress(record(own["id"], own["url"], own["taken_at"], batch.column("payload")[k].as_buffer().to_pybytes(), head)) + packer.flush())
                 held += len(out[-1])
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
