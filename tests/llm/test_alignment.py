@@ -96,7 +96,7 @@ def test_windows_are_bounded_and_alike_without_memory(models, monkeypatch):
         for text in texts:
             (found,) = windows.documents([text])
             if text:
-                a, b = (np.array(t.ids([text])[0], dtype="<u4") for t in (windows.a, windows.b))
+                a, b = (np.frombuffer(t.ids([text])[0], dtype="<u4") for t in (windows.a, windows.b))
                 ((shown, links),) = windows.align([(a | alignment.OF_A).tobytes() + b.tobytes()])  # the document as one window
                 assert found[2] == shown[:-1] and found[3].tobytes() == links
             else:

@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,33 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfind.llm.packing import encoder
 from wayfind.llm.shared import drop, text_of, written
 
 SPACE = "▁"
-KEPT_WINDOWS = 150_000
+KEPT_WINDOWS = 400_000
 LONG = 128  # tokens of both kinds: windows above are aligned without being remembered
 SLICE_BYTES = 1 << 20
 
 
 class ByteTokens:
-    """A byte-level vocabulary of ranks: ids of a text with a space put before it, and each id's bytes."""
+    """A byte-level vocabulary of ranks: ids of a text with a space put before it, and each id's bytes, which always spell the text."""
 
     def __init__(self, ranks: str, pattern: str) -> None:
-        import tiktoken
-
+        self.encode = encoder(ranks, pattern).encode_ordinary  # special tokens' names are plain text
         with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.bytes = [b""] * (max(table.values()) + 1)
-        for token, k in table.items():
-            self.bytes[k] = token
+            table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+        self.bytes = [table.get(k, b"") for k in range(max(table) + 1)]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [self.encoding.encode_ordinary(" " + t) for t in texts]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Packed as unsigned 32-bit numbers."""
+        return [array("I", self.encode(" " + t)).tobytes() for t in texts]
 
 
 class PieceTokens:
-    """A sentencepiece vocabulary, which puts a space before a text itself."""
+    """A sentencepiece vocabulary, which puts a space before a text itself.
+
+    Where no piece has a space after another character, merges stay within words, so words between single spaces are looked
+    up in a table of bounded size; other texts, and all texts otherwise, are encoded whole.
+    """
 
     def __init__(self, model: str) -> None:
         import sentencepiece
@@ -56,9 +58,27 @@ class PieceTokens:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(k) else n.replace(SPACE, " ").encode() for k, n in enumerate(names)]
+        self.by_words = not any(SPACE in n.lstrip(SPACE) for n in names)
+        self.known: dict[str, bytes | None] = {}
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encoded(self, texts: list[str]) -> list[bytes | None]:
+        """Packed ids of each text by itself, None where their bytes are not a space and the text."""
+        spelled = lambda ids, t: b"".join(map(self.bytes.__getitem__, ids)) == b" " + t.encode()
+        return [array("I", ids).tobytes() if spelled(ids, t) else None for ids, t in zip(self.model.encode(texts, num_threads=1), texts, strict=True)]
+
+    def ids(self, texts: list[str]) -> list[bytes | None]:
+        words = [t.split(" ") if self.by_words and t and "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
+        if len(self.known) > KEPT_WINDOWS:
+            self.known.clear()
+        known = self.known
+        fresh = list(dict.fromkeys(w for own in words if own for w in own if w not in known))
+        known.update(zip(fresh, self.encoded(fresh), strict=True))
+        rest = iter(self.encoded([t for t, own in zip(texts, words, strict=True) if own is None]))
+        found = [next(rest) if own is None else list(map(known.__getitem__, own)) for own in words]
+        for w in fresh:
+            if len(w) > LONG:
+                del known[w]
+        return [(None if None in f else b"".join(f)) if isinstance(f, list) else f for f in found]
 
 
 @cache
@@ -86,10 +106,6 @@ class Windows:
         self.inner_a, self.last_a, self.inner_b, self.last_b = named(a, ","), named(a, "|"), named(b, ","), named(b, ";")
         self.known: dict[bytes, Aligned] = {}
 
-    def spelled(self, text: str, a: list[int], b: list[int]) -> bool:
-        raw = b" " + text.encode()
-        return b"".join(map(self.b.bytes.__getitem__, b)) == raw and b"".join(map(self.a.bytes.__getitem__, a)) == raw
-
     def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The windows of texts that follow one another: each one's packed ids, A's before B's, and how many of A's ids lie before it."""
         starts_a, starts_b = np.flatnonzero(self.marked_a[a]), np.flatnonzero(self.marked_b[b])  # of space-marked tokens, a text's first among them
@@ -124,12 +140,12 @@ class Windows:
 
     def documents(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray] | None]:
         """n_a, n_b, groups and links of each text; None where either's bytes are not a space and the text, and for empty ones."""
-        ids = [(a, b) if t and self.spelled(t, a, b) else None for t, a, b in zip(texts, self.a.ids(texts), self.b.ids(texts), strict=True)]
+        ids = [(a, b) if t and b is not None else None for t, a, b in zip(texts, self.a.ids(texts), self.b.ids(texts), strict=True)]
         told = [x for x in ids if x]
         if not told:
             return [None] * len(texts)
-        n_a, n_b = [len(a) for a, _ in told], [len(b) for _, b in told]
-        a, b = (np.fromiter(chain.from_iterable(x[k] for x in told), dtype="<u4", count=sum(n)) for k, n in ((0, n_a), (1, n_b)))
+        n_a, n_b = [len(a) // 4 for a, _ in told], [len(b) // 4 for _, b in told]
+        a, b = (np.frombuffer(b"".join([x[k] for x in told]), dtype="<u4") for k in (0, 1))
         windows, starts = self.cut(a, b)
         if len(self.known) > KEPT_WINDOWS:
             self.known.clear()
