@@ -256,3 +256,23 @@ def test_projection_matches_a_plain_interpreter(spark):
     half = projection.project_catalogue(empty, first)
     again = {r.video_id: tuple(r[c] for c in cols) for r in projection.project_catalogue(half.select(*empty.columns), second).collect()}
     assert again == want
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_greedy_cap_is_the_plain_fold(spark, batch):
+    """Dense and sparse keys, ties, null keys, keys that go on over Arrow batches."""
+    rng = random.Random(batch)
+    rows = [(rng.choice(["a", "b", None]), k, 1_700_000_000 + int(rng.expovariate(1 / 40) + 30 * k * (k % 3 > 0)), n) for n, k in enumerate(rng.randrange(30) for _ in range(3000))]
+    rows += [("hot", 0, 1_700_000_000 + n // 3, n) for n in range(4000)]
+    frame = spark.createDataFrame(rows, "k string, j int, t long, n int").withColumn("t", F.timestamp_seconds("t"))
+    want, last = [], {}
+    for k, j, t, n in sorted(rows, key=lambda r: (r[2], r[3])):
+        if (k, j) not in last or t - last[k, j] >= 60:
+            last[k, j] = t
+            want.append((k, j, t, n))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [(r.k, r.j, int(r.t.timestamp()), r.n) for r in windows.greedy_cap(frame, ["k", "j"], "t", 60.0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(want, key=str)

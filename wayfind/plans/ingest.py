@@ -206,7 +206,9 @@ def advance(store: KeyedTables, n: int, judged: DataFrame, order: list[str], hor
     _, old = store.last(before=n)
     batch = numbered(judged, n, order, f"{store.root}/batches/{n}/events")
     spark = store.spark
-    facts = batch.agg(F.count(F.lit(1)), F.max("received_at")).first()
+    kind = F.when(F.col("_why").isNull(), classify(F.col("type")))
+    config = F.col("type") == "search.config_updated"
+    facts = batch.agg(F.count(F.lit(1)), F.max("received_at"), F.count_if((kind == "accepted") & ~config & (F.col("type") != "user.history_deleted")), F.count_if((kind == "accepted") & config)).first()
     if not facts[0]:
         store.commit(n, old, {})
         return
@@ -233,7 +235,9 @@ def advance(store: KeyedTables, n: int, judged: DataFrame, order: list[str], hor
         _append(store, "erasures", n, gone.filter("scope IN ('watch', 'all')"))
         return {}
 
-    parts = [lambda: _catalogue(store, n, old, domain.filter(F.col("type") != "user.history_deleted")), lambda: _users(store, n, old, rows, watches, gone), lambda: _trends(store, n, old, rows, now, since), settings, appended]
+    parts = [appended, lambda: _users(store, n, old, rows, watches, gone), lambda: _trends(store, n, old, rows, now, since)]
+    parts += [lambda: _catalogue(store, n, old, domain.filter(~config & (F.col("type") != "user.history_deleted")))] if facts[2] else []
+    parts += [settings] if facts[3] else []
     with ThreadPoolExecutor(len(parts)) as pool:  # tables do not depend on one another
         for done in pool.map(lambda part: part(), parts):
             changed |= done

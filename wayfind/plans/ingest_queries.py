@@ -11,6 +11,7 @@ from wayfind.plans import health
 from wayfind.plans.registry import query, r6
 from wayfind.sources import adapters as src
 from wayfind.sources import events as ev
+from wayfind.sources.scratch import new_path
 
 NOW = b.NOW
 
@@ -117,6 +118,36 @@ def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "type", "session_id", "normalized_query")
 
 
+@query(f"""{E}, ok AS (SELECT *, lower(trim(normalized_query)) AS q FROM behaviour WHERE {FAILS} IS NULL),
+bumps AS (SELECT 'q' AS domain, q AS item, occurred_at FROM ok WHERE type = 'search.submitted' AND q <> '' UNION ALL SELECT 'v', video_id::VARCHAR, occurred_at FROM ok WHERE type = 'video.play_started' AND video_id IS NOT NULL)
+SELECT 'ledger' AS part, type AS key, count(*) AS n FROM ok GROUP BY ALL
+UNION ALL SELECT 'history', user_id || '/' || q, count(*) FROM ok WHERE type = 'search.submitted' AND allow_history AND user_id IS NOT NULL AND q <> '' GROUP BY ALL
+UNION ALL SELECT 'trend', domain || '/' || item || '/' || occurred_at::DATE, count(*) FROM bumps WHERE occurred_at::DATE >= ({NOW})::DATE - 7 GROUP BY ALL
+UNION ALL SELECT 'failures', {FAILS}, count(*) FROM behaviour WHERE {FAILS} IS NOT NULL GROUP BY ALL""")
+def ingest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream's tables hold after the envelopes came in three batches."""
+    from wayfind.plans import ingest
+
+    judged = ev.judge(envelopes(spark, sf_dir).withColumn("received_at", b._now()), F.col("received_at"))
+    rows = ev.dedupe(judged.filter("_why IS NULL")).unionByName(judged.filter("_why IS NOT NULL AND seq < 1000000000")).withColumnRenamed("seq", "line")  # a failure counts as often as it is sent anew; the copies are the same
+    third = (src.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 3 + 1
+    root = new_path(spark, "ingest-state")
+    store = ingest.tables_at(spark, root, 16)
+    for n in range(3):
+        ingest.advance(store, n, rows.filter((F.col("id") >= n * third) & (F.col("id") < (n + 1) * third)), ["line"])
+    state = ingest.read_state(spark, root, 16)
+    number = lambda c: F.substring(c, 25, 12).cast("long").cast("string")
+    of = lambda df, part, key, n: df.select(F.lit(part).alias("part"), key.alias("key"), n.cast("long").alias("n"))
+    count = F.count(F.lit(1)).alias("n")
+    item = F.when(F.col("domain") == "v", number("item")).otherwise(F.col("item"))
+    return (
+        of(state["ledger"].filter("type <> 'video.meaningful_watch'").groupBy("type").agg(count), "ledger", F.col("type"), F.col("n"))
+        .unionByName(of(state["history"], "history", F.concat_ws("/", number("user_id"), "normalized_query"), F.col("use_count")))
+        .unionByName(of(state["trend_days"], "trend", F.concat_ws("/", "domain", item, F.col("day").cast("string")), F.col("total")))
+        .unionByName(of(state["failures"].groupBy("message").agg(count), "failures", F.col("message"), F.col("n")))
+    )
+
+
 def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue events derived from the event table, in order of event_id: upserts, suppressions, statistics, channels, owners, reconcile runs."""
     e = src.table(spark, sf_dir, "events")

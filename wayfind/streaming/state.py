@@ -6,13 +6,13 @@ and end need spark.sql.streaming.noDataMicroBatches.enabled off, since expiry as
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-KEPT_BUMPS = 16  # of a subject and item, against which late ones are held
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RECENT_SCHEMA = "session_id string, items array<string>, updated_at timestamp"
 CAPPED_SCHEMA = "item string, subject string, occurred_at timestamp"
@@ -41,23 +41,33 @@ class RecentItems(StatefulProcessor):
 
 
 class CappedBumps(StatefulProcessor):
-    """Passes a subject's bump of an item only if it lies cap_s or more from those that passed, before or after; in order of time that is the array fold's rule."""
+    """Passes a subject's bump of an item only if it lies cap_s or more from those that passed, before or after; in order of time that is the cap's rule.
 
-    def __init__(self, cap_s: float = 3600.0) -> None:
-        self.cap_s = cap_s
+    All that passed within horizon_s of the latest bump are held; bumps older than that are dropped, so none is judged by less than all.
+    """
+
+    def __init__(self, cap_s: float = 3600.0, horizon_s: float = 604_800.0) -> None:
+        self.cap_s, self.horizon_s = cap_s, horizon_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.passed = handle.getListState("passed", "at double", int(self.cap_s * 2000))
+        self.passed = handle.getListState("passed", "at double", int((self.cap_s + self.horizon_s) * 1000))
+        self.latest = handle.getValueState("latest", "at double", int((self.cap_s + self.horizon_s) * 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        passed = [x[0] for x in self.passed.get()] if self.passed.exists() else []
-        kept = []
-        for at in pd.concat(list(rows))["occurred_at"].sort_values():
-            if all(abs(at.timestamp() - t) >= self.cap_s for t in passed):
-                passed.append(at.timestamp())
+        passed = sorted(x[0] for x in self.passed.get()) if self.passed.exists() else []
+        latest = self.latest.get()[0] if self.latest.exists() else float("-inf")
+        new, kept = pd.concat(list(rows))["occurred_at"].sort_values(), []
+        if latest < new.iloc[-1].timestamp():
+            latest = new.iloc[-1].timestamp()
+            self.latest.update((latest,))
+        for at in new:
+            t = at.timestamp()
+            k = bisect.bisect_left(passed, t)
+            if t >= latest - self.horizon_s and (k == 0 or t - passed[k - 1] >= self.cap_s) and (k == len(passed) or passed[k] - t >= self.cap_s):
+                passed.insert(k, t)
                 kept.append(at)
         if kept:
-            self.passed.put([(t,) for t in sorted(passed)[-KEPT_BUMPS:]])
+            self.passed.put([(t,) for t in passed if t >= latest - self.horizon_s - self.cap_s])
             yield pd.DataFrame({"item": key[0], "subject": key[1], "occurred_at": kept})
 
     def close(self) -> None:
@@ -99,9 +109,9 @@ def session_push(events: DataFrame, k: int = 20, ttl_ms: int = 7_200_000) -> Dat
     return _run(events, ("session_id",), RecentItems(k, ttl_ms), RECENT_SCHEMA)
 
 
-def capped_bumps(bumps: DataFrame, cap_s: float = 3600.0) -> DataFrame:
+def capped_bumps(bumps: DataFrame, cap_s: float = 3600.0, horizon_s: float = 604_800.0) -> DataFrame:
     """item, subject, occurred_at of a stream of the same columns."""
-    return _run(bumps, ("item", "subject"), CappedBumps(cap_s), CAPPED_SCHEMA)
+    return _run(bumps, ("item", "subject"), CappedBumps(cap_s, horizon_s), CAPPED_SCHEMA)
 
 
 def watch_weights(events: DataFrame, half_life_s: float = 2_592_000.0) -> DataFrame:
