@@ -11,7 +11,7 @@ from wayfind.plans import health
 from wayfind.plans.registry import query, r6
 from wayfind.sources import adapters as src
 from wayfind.sources import events as ev
-from wayfind.sources.scratch import new_path
+from wayfind.sources.scratch import materialised, new_path
 
 NOW = b.NOW
 
@@ -128,7 +128,7 @@ def ingest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream's tables hold after the envelopes came in three batches."""
     from wayfind.plans import ingest
 
-    judged = ev.judge(envelopes(spark, sf_dir).withColumn("received_at", b._now()), F.col("received_at"))
+    judged = materialised(ev.judge(envelopes(spark, sf_dir).withColumn("received_at", b._now()), F.col("received_at")), "judged")
     rows = ev.dedupe(judged.filter("_why IS NULL")).unionByName(judged.filter("_why IS NOT NULL AND seq < 1000000000")).withColumnRenamed("seq", "line")  # a failure counts as often as it is sent anew; the copies are the same
     third = (src.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 3 + 1
     root = new_path(spark, "ingest-state")

@@ -30,14 +30,23 @@ def judge(events: DataFrame, ingested_at: Column) -> DataFrame:
     Payloads that aren't JSON, and ids that aren't UUIDs where the type needs one, fail. Unknown types pass. An event
     without time has the time of intake.
     """
-    rows = events.withColumn("p", F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    need = F.lit(None).cast("string")
-    for t, c in NEEDS.items():
-        need = F.when(F.col("type") == t, F.coalesce(F.col(c), F.lit(""))).otherwise(need)
     known = known_type(F.col("type")) != "unknown"
-    bad_user = F.col("p.user_id").isNotNull() & ~F.col("p.user_id").rlike(UUID)
-    why = F.when(F.col("payload").isNull() | F.col("p._corrupt").isNotNull(), "bad json").when(known & need.isNotNull() & ~need.rlike(UUID), "bad id").when(known & bad_user, "bad user id")
-    return rows.withColumns({"_why": why, "occurred_at": F.coalesce("occurred_at", ingested_at)})
+
+    def judged(p: Column) -> Column:
+        need = F.lit(None).cast("string")
+        for t, path in NEEDS.items():
+            field = p
+            for name in path.split(".")[1:]:
+                field = field[name]
+            need = F.when(F.col("type") == t, F.coalesce(field, F.lit(""))).otherwise(need)
+        bad_user = p["user_id"].isNotNull() & ~p["user_id"].rlike(UUID)
+        why = F.when(F.col("payload").isNull() | p["_corrupt"].isNotNull(), "bad json").when(known & need.isNotNull() & ~need.rlike(UUID), "bad id").when(known & bad_user, "bad user id")
+        return F.struct(p.alias("p"), why.alias("why"))
+
+    payload = F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    one = F.transform(F.array(payload), judged)[0]  # as a lambda's argument the payload is parsed once; as a column it would be for every field named
+    rows = events.withColumn("_j", one)
+    return rows.withColumns({"p": F.col("_j.p"), "_why": F.col("_j.why"), "occurred_at": F.coalesce("occurred_at", ingested_at)}).drop("_j")
 
 
 def decode(events: DataFrame, ingested_at: Column) -> tuple[DataFrame, DataFrame]:
