@@ -57,10 +57,15 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda k: F.substring(w, k, F.lit(3))))))
 
 
+def set_similarity(x: Column, y: Column) -> Column:
+    """Of two arrays without repeats: shared over all; 0 where there are none."""
+    both = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0))
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all distinct trigrams; 0 where there are none."""
-    x, y = trigrams(a), trigrams(b)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
+    return set_similarity(trigrams(a), trigrams(b))
 
 
 def parse_websearch(query: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions.text import cover_density, parse_websearch, trigrams
@@ -50,28 +50,60 @@ def text_rank(queries: DataFrame, postings: DataFrame, candidates: DataFrame | N
     return found.select("query_id", "video_id", F.when(F.col("n_terms") == 1, F.col("total")).otherwise(cover_density(F.col("spots"), F.col("n_terms"))).alias("text_rank"))
 
 
+def _least(share: float, n: Column) -> Column:
+    """The least whole number not under share * n; the product of what should be a whole number is not taken for more."""
+    return F.ceil(share * n - 1e-9)
+
+
+def trigram_prefixes(texts: DataFrame, key: str, counts: DataFrame, threshold: float) -> DataFrame:
+    """key, n (distinct trigrams), g, place: of each distinct text's trigrams, rarest first, those among which two similar texts must meet."""
+    rows = texts.select(key, "grams", F.size("grams").alias("n"), F.explode("grams").alias("g")).drop("grams")
+    order = [F.coalesce("df", F.lit(0)), F.col("g")]
+    placed = rows.join(counts, "g", "left").withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return placed.filter(F.col("place") <= F.col("n") - _least(threshold, F.col("n")) + 1).select(key, "n", "g", "place")
+
+
+def trigram_pairs(queries: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """query, key, n1, n2, once for each trigram of both prefixes where neither sizes nor what is left behind it rule the similarity out.
+
+    Two sets that are so similar share one of the first n - ceil(threshold * n) + 1 of their trigrams in any one order of all
+    trigrams; in the order of how many titles hold them the common ones are left out. queries: query, grams; titles: key, grams.
+    """
+    counts = titles.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    q = trigram_prefixes(queries, "query", counts, threshold).withColumnsRenamed({"n": "n1", "place": "i"})
+    t = trigram_prefixes(titles, "key", counts, threshold).withColumnsRenamed({"n": "n2", "place": "j"})
+    sizes = (F.col("n2") >= _least(threshold, F.col("n1"))) & (F.col("n1") >= _least(threshold, F.col("n2")))
+    rest = F.least(F.col("n1") - F.col("i"), F.col("n2") - F.col("j")) + 1  # at best, if this is the first trigram they share
+    return q.join(t, "g").filter(sizes & (rest >= _least(threshold / (1 + threshold), F.col("n1") + F.col("n2")))).select("query", "key", "n1", "n2")
+
+
 def trigram_join(queries: DataFrame, titles: DataFrame, threshold: float = RECALL_SIMILARITY) -> DataFrame:
-    """query_id, key, trgm_sim of distinct titles (column key) at least so similar: an inverted-index join on trigrams."""
-    grams = lambda df, text: df.withColumn("_g", trigrams(F.col(text))).withColumn("_n", F.size("_g"))
-    q = grams(queries.select("query_id", "query"), "query").select("query_id", F.col("_n").alias("n1"), F.explode("_g").alias("g"))
-    t = grams(titles.select("key").distinct(), "key").select("key", F.col("_n").alias("n2"), F.explode("_g").alias("g"))
-    near = (F.col("n2") >= F.col("n1") * threshold) & (F.col("n2") * threshold <= F.col("n1"))  # else the sizes alone rule it out
-    found = q.join(t, "g").filter(near).groupBy("query_id", "key", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
-    return found.select("query_id", "key", (F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).alias("trgm_sim")).filter(F.col("trgm_sim") >= threshold)
+    """query_id, key, trgm_sim of distinct titles (column key) at least so similar: a prefix-filtered set-similarity join. Equal queries are joined once."""
+    sets = lambda df, text: df.select(text).distinct().withColumn("grams", trigrams(F.col(text))).filter(F.size("grams") > 0)
+    q, t = sets(queries, "query"), sets(titles, "key")
+    near = trigram_pairs(q, t, threshold).distinct().join(q, "query").join(t.withColumnRenamed("grams", "other"), "key")
+    near = near.withColumn("c", F.size(F.array_intersect("grams", "other")))
+    near = near.select("query", "key", (F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).alias("trgm_sim")).filter(F.col("trgm_sim") >= threshold)
+    return queries.select("query_id", "query").join(near, "query").select("query_id", "key", "trgm_sim")
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def recall(queries: DataFrame, docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, video_id over all documents, without eligibility: full text, similar titles, exact tags (case kept), exact channel names."""
+def recall_besides_text(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, video_id of similar titles, exact tags (case kept) and exact channel names."""
     titles = docs.select("video_id", F.lower("title").alias("key"))
     similar = trigram_join(queries, titles).join(titles, "key").select("query_id", "video_id")
     q = queries.select("query_id", F.col("query").alias("key"))
     tags = docs.select("video_id", F.explode("tags").alias("key")).distinct().join(q, "key").select("query_id", "video_id")
     channels = docs.select("video_id", F.lower("channel_name").alias("key")).join(q, "key").select("query_id", "video_id")
-    return fts_candidates(queries, postings).unionByName(similar).unionByName(tags).unionByName(channels).distinct()
+    return similar.unionByName(tags).unionByName(channels)
+
+
+def recall(queries: DataFrame, docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """query_id, video_id over all documents, without eligibility: full text, similar titles, exact tags (case kept), exact channel names."""
+    return fts_candidates(queries, postings).unionByName(recall_besides_text(queries, docs)).distinct()
 
 
 def union_clicked(found: DataFrame, queries: DataFrame, engagement: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.functions.scoring import CREATOR_PENALTY, advanced_score, age_days, simple_score
-from wayfind.functions.text import trigram_similarity
+from wayfind.functions.scoring import CREATOR_PENALTY, SIMPLE_WEIGHTS, advanced_score, age_days, freshness, log_views, simple_score
+from wayfind.functions.text import parse_websearch, set_similarity, trigrams
+from wayfind.operators import blocks
 from wayfind.operators.covis import channel_affinity, personal_affinity, seed_scores
 from wayfind.operators.predicates import exact_flags, facet_filter, visible
-from wayfind.operators.recall import cap_recall, recall, text_rank, union_clicked, with_engagement
+from wayfind.operators.recall import RECALL_SIMILARITY, cap_recall, recall, recall_besides_text, text_rank, union_clicked, with_engagement
 from wayfind.operators.windows import clamp_limit, creator_penalty, normalize_max, page
+from wayfind.sources.scratch import materialised
 
 DEFAULT_LIMIT, MAX_LIMIT, RECALL_LIMIT = 20, 200, 500
 
@@ -23,14 +25,16 @@ def requests_of(queries: DataFrame) -> DataFrame:
 
 def _features(found: DataFrame, requests: DataFrame, docs: DataFrame, postings: DataFrame, as_of: Column) -> DataFrame:
     """Eligible, visible candidates that pass the facets, with text features."""
-    r = requests.select("query_id", "query", "hide_sensitive", F.col("tag").alias("_tag"), F.col("category").alias("_category"), F.col("language").alias("_language"))
+    # trigrams once a title and once a query, not once a candidate
+    docs = docs.withColumn("_title_grams", trigrams(F.col("title")))
+    r = requests.select("query_id", "query", trigrams(F.col("query")).alias("_query_grams"), "hide_sensitive", F.col("tag").alias("_tag"), F.col("category").alias("_category"), F.col("language").alias("_language"))
     rows = found.join(r, "query_id").join(docs.filter("eligible"), "video_id")
     rows = rows.filter(visible(F.col("hide_sensitive"), F.col("is_sensitive")) & facet_filter(F.col("_tag"), F.col("_category"), F.col("_language")))
     rows = rows.join(text_rank(requests, postings, found), ["query_id", "video_id"], "left")
     return rows.select(
         "query_id", "query", "video_id", "channel_id", "language", "category", "tags", "views", "published_at",
         F.coalesce("text_rank", F.lit(0.0)).alias("text_rank"),
-        trigram_similarity(F.col("title"), F.col("query")).alias("trgm_sim"),
+        set_similarity(F.col("_title_grams"), F.col("_query_grams")).alias("trgm_sim"),
         exact_flags(F.col("title"), F.col("channel_name"), F.col("tags"), F.col("query")).alias("exact_flags"),
         age_days(as_of, "published_at", "source_updated_at").alias("age_days"),
     )
@@ -46,6 +50,42 @@ def search_simple(queries: DataFrame, docs: DataFrame, postings: DataFrame, as_o
     return page(rows, ["query_id"], order, clamp_limit(F.col("limit"), DEFAULT_LIMIT, MAX_LIMIT), F.greatest("offset", F.lit(0))).select("query_id", "video_id", "score", "rank")
 
 
+#: what a document found by its text alone can have beyond its value: a title similarity under the threshold of recall, and a tag that differs from the query in case
+SLACK = SIMPLE_WEIGHTS["trgm_sim"] * RECALL_SIMILARITY + SIMPLE_WEIGHTS["exact_flags"] * 0.5 + 1e-8
+
+
+def search_blocks(docs: DataFrame, postings: DataFrame, as_of: Column, size: int = blocks.BLOCK) -> DataFrame:
+    """The block index that search_top reads, written once; it holds for the given time."""
+    w = SIMPLE_WEIGHTS
+    days = age_days(as_of, "published_at", "source_updated_at")
+    static = docs.filter("eligible").select("video_id", (w["views"] * (log_views("views") / 20.0) + w["freshness"] * freshness(days)).alias("static"))
+    return materialised(blocks.impact_blocks(postings, static, w["text_rank"], size), "search-blocks")
+
+
+def search_top(queries: DataFrame, docs: DataFrame, postings: DataFrame, as_of: Column, index: DataFrame | None = None, size: int = blocks.BLOCK) -> DataFrame:
+    """The rows of search_simple, without touching every document that holds a common word.
+
+    A request of one word reads its word's first blocks and what recall finds besides text; the score of its last wanted place
+    then tells which further blocks, and which of their documents, can still come in. Other requests are answered as search_simple does.
+    """
+    requests = requests_of(queries).filter("query <> ''")
+    index = search_blocks(docs, postings, as_of, size) if index is None else index
+    k = clamp_limit(F.col("limit"), DEFAULT_LIMIT, MAX_LIMIT) + F.greatest("offset", F.lit(0))
+    p = parse_websearch(F.col("query"))
+    one = (F.size(p["must"]) == 1) & (F.size(p["must_not"]) == 0) & (F.size(p["phrases"]) == 0) & (F.size(p["any_of"]) == 0)
+    asked = materialised(requests.withColumns({"_one": one, "term": p["must"][0], "k": k}), "requests")
+    single, several = asked.filter("_one"), asked.filter("NOT _one")
+    scored = lambda found, r: _features(found, r, docs, postings, as_of).withColumn("score", simple_score("text_rank", "trgm_sim", "exact_flags", "views", "age_days")).select("query_id", "video_id", "published_at", "score")
+    first = blocks.opening(single, index, size).unionByName(recall_besides_text(single, docs)).distinct()
+    first = materialised(scored(first, single), "search-first")
+    least = blocks.least_score(first, single, F.round("score", 9))
+    more = blocks.rest(single, index, least, SLACK, size).join(first, ["query_id", "video_id"], "left_anti")
+    rows = first.unionByName(scored(more, single)).unionByName(scored(recall(several, docs, postings), several))
+    rows = rows.join(requests.select("query_id", "limit", "offset"), "query_id")
+    order = [F.round("score", 9).desc(), F.col("published_at").desc_nulls_last(), F.col("video_id")]
+    return page(rows, ["query_id"], order, clamp_limit(F.col("limit"), DEFAULT_LIMIT, MAX_LIMIT), F.greatest("offset", F.lit(0))).select("query_id", "video_id", "score", "rank")
+
+
 def advanced_features(queries: DataFrame, docs: DataFrame, postings: DataFrame, engagement: DataFrame, as_of: Column, k: int = RECALL_LIMIT) -> DataFrame:
     """Stage one: at most k candidates a query, with text and engagement features; the personal ones are zero."""
     requests = requests_of(queries).filter("query <> ''")

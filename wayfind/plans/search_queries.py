@@ -143,6 +143,35 @@ def search_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENGAGED = "engagement AS (SELECT split_part(p_name, ' ', 1) AS normalized_query, l_partkey AS video_id, count(*) AS impressions, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS clicks, sum(CASE WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 1 ELSE 0 END)::BIGINT AS meaningful_watches, max(l_shipdate) AS updated_at FROM lineitem JOIN part ON p_partkey = (l_partkey * 7 + l_suppkey) % 97 GROUP BY 1, 2)"
 
 
+@query(f"{FEATURES}\nSELECT query_id, video_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, published_at DESC NULLS LAST, video_id) AS rank FROM (SELECT *, {SIMPLE} AS score FROM features)) WHERE rank <= 20")
+def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_simple by blocks."""
+    d = _docs(spark, sf_dir)
+    return search.search_top(_queries(spark, sf_dir), d, text.postings(d), _now()).select("query_id", "video_id", r6("score"), "rank")
+
+
+BY_TEXT = f"""{src.views('text_docs', 'text_queries')},
+d AS (SELECT video_id, lower(title) AS key, {_words("title")} AS head, {_words("body")} AS words, {_grams("title")} AS g, views, published_at FROM text_docs),
+q AS (SELECT query_id, query, {_grams("query")} AS g FROM text_queries),
+pairs AS (SELECT query_id, query, video_id, key, views, published_at, len(list_filter(words, lambda x: x = query)) AS b, len(list_filter(head, lambda x: x = query)) AS h,
+  coalesce(len(list_intersect(q.g, d.g)) / nullif(len(list_distinct(list_concat(q.g, d.g))), 0), 0) AS sim FROM q, d),
+scored AS (SELECT query_id, video_id, published_at, 0.5 * (0.2 * b + h) + 0.2 * sim + CASE WHEN key = query THEN 0.1 ELSE 0 END + 0.1 * (ln(1 + views) / 20) + 0.1 * exp(-ln(2) * greatest(epoch_us({NOW}) - epoch_us(published_at), 0) / 1e6 / 86400 / 30) AS score FROM pairs WHERE b + h > 0 OR sim >= 0.3)"""
+
+
+@query(f"{BY_TEXT}\nSELECT query_id, video_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, published_at DESC NULLS LAST, video_id) AS rank FROM scored) WHERE rank <= 20")
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One word of each benchmark item in whole documents, by blocks."""
+    d = src.text_docs(spark, sf_dir).withColumn("channel_name", F.lit(""))
+    return search.search_top(src.text_queries(spark, sf_dir), d, text.postings(d), _now()).select("query_id", "video_id", r6("score"), "rank")
+
+
+@query(f"{src.views('text_docs', 'text_queries')},\nd AS (SELECT DISTINCT lower(title) AS key, {_grams('title')} AS g FROM text_docs),\nq AS (SELECT query_id, {_grams('query')} AS g FROM text_queries)\nSELECT query_id, key, round(sim, 6) AS sim FROM (SELECT query_id, key, len(list_intersect(q.g, d.g)) / nullif(len(list_distinct(list_concat(q.g, d.g))), 0) AS sim FROM q, d) WHERE sim >= 0.2")
+def similar_document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One word of each benchmark item against the titles of all documents, by the prefix-filtered join."""
+    titles = src.text_docs(spark, sf_dir).select(F.lower("title").alias("key"))
+    return recall.trigram_join(src.text_queries(spark, sf_dir), titles, 0.2).select("query_id", "key", r6("trgm_sim", "sim"))
+
+
 def _engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, words = src.table(spark, sf_dir, "lineitem"), src.table(spark, sf_dir, "part").filter("p_partkey < 97").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("normalized_query"))
     rows = lines.join(words, F.col("p_partkey") == (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 97)
