@@ -12,7 +12,9 @@ from wayfind.plans import search
 from wayfind.sources import adapters as src
 
 SF = "/root/testdata/sf0.001"
-NOW = F.lit("2024-06-01").cast("timestamp")
+def now():
+    return F.lit("2024-06-01").cast("timestamp")
+
 
 
 def grams(s):
@@ -70,15 +72,15 @@ ASKED = [(1, "common", False, None, None, 0), (2, "common", True, "en", 5, 0), (
 def test_search_by_blocks_gives_the_same_rows(spark, corpus, size):
     docs, postings = corpus
     requests = spark.createDataFrame(ASKED, "query_id long, query string, hide_sensitive boolean, language string, limit int, offset int")
-    want = sorted(map(tuple, search.search_simple(requests, docs, postings, NOW).collect()))
-    got = sorted(map(tuple, search.search_top(requests, docs, postings, NOW, size=size).collect()))
+    want = sorted(map(tuple, search.search_simple(requests, docs, postings, now()).collect()))
+    got = sorted(map(tuple, search.search_top(requests, docs, postings, now(), size=size).collect()))
     assert [(q, v, r) for q, v, _, r in got] == [(q, v, r) for q, v, _, r in want] and len(want) > 100
     assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
 
 
 def test_few_blocks_of_a_common_word_are_read(spark, corpus):
     docs, postings = corpus
-    index = search.search_blocks(docs, postings, NOW, size=8)
+    index = search.search_blocks(docs, postings, now(), size=8)
     asked = spark.createDataFrame([(1, "common", 10)], "query_id long, term string, k int")
     every = index.filter("term = 'common'").count()
     first = index.filter("term = 'common' AND block * 8 < 10")

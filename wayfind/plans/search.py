@@ -73,7 +73,7 @@ def search_top(queries: DataFrame, docs: DataFrame, postings: DataFrame, as_of:
     k = clamp_limit(F.col("limit"), DEFAULT_LIMIT, MAX_LIMIT) + F.greatest("offset", F.lit(0))
     p = parse_websearch(F.col("query"))
     one = (F.size(p["must"]) == 1) & (F.size(p["must_not"]) == 0) & (F.size(p["phrases"]) == 0) & (F.size(p["any_of"]) == 0)
-    asked = materialised(requests.withColumns({"_one": one, "term": p["must"][0], "k": k}), "requests")
+    asked = materialised(requests.withColumns({"_one": one, "term": F.get(p["must"], F.lit(0)), "k": k}), "requests")
     single, several = asked.filter("_one"), asked.filter("NOT _one")
     scored = lambda found, r: _features(found, r, docs, postings, as_of).withColumn("score", simple_score("text_rank", "trgm_sim", "exact_flags", "views", "age_days")).select("query_id", "video_id", "published_at", "score")
     first = blocks.opening(single, index, size).unionByName(recall_besides_text(single, docs)).distinct()
