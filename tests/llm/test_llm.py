@@ -408,6 +408,54 @@ def test_short_items_and_common_phrases(spark):
     assert sorted(str(r.doc_id) for r in decontaminate.without_leaks(docs, bench).collect()) == ["1", "3", "5"]
 
 
+def test_wide_masks_hit_every_pattern_of_substitutions():
+    from itertools import combinations
+
+    for n in range(10, 14):
+        for off in combinations(range(n), n // 5):
+            assert any(not set(mask) & set(off) for mask in decontaminate.wide_masks(n))
+        for phrase in range(n - 3):  # a phrase that fills all but three places fills no mask
+            assert not any(set(mask) <= set(range(phrase, phrase + n - 3)) for mask in decontaminate.wide_masks(n))
+
+
+@pytest.mark.parametrize("n", [200, 1000])
+def test_stock_phrases_cost_in_proportion(spark, monkeypatch, n):
+    """Items and documents that share a phrase only are laid along each other nowhere; leaks among them are found all the same."""
+    rng = random.Random(n)
+    phrase = "which of the following is the best answer to".split()
+    bench = [(k, " ".join([*(f"p{rng.randrange(10**6)}" for _ in range(k % 3)), *phrase, *(f"x{rng.randrange(10**6)}" for _ in range(4 + k % 9))])) for k in range(n)]
+    docs = []
+    for k in range(n):
+        own = bench[k][1].split()
+        if k % 50 == 0:  # leaks, with substitutions within what is allowed
+            for at in rng.sample(range(len(own)), min(2, len(own) // 5)):
+                own[at] = "zz"
+        else:
+            own = [f"y{rng.randrange(10**6)}" if w not in phrase else w for w in own]
+        docs.append((k, " ".join([*(f"d{rng.randrange(10**6)}" for _ in range(5)), *own, "end"])))
+    rows, kept = {}, decontaminate.written
+
+    def counting(df, name):
+        found = kept(df, name)
+        rows[name] = found.count()
+        return found
+
+    monkeypatch.setattr(decontaminate, "written", counting)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = set()
+    for i, t in docs[:: max(1, n // 40)] + docs[::50]:
+        d = t.split()
+        for j, u in bench:
+            b = u.split()
+            size, off = decontaminate.allowed(len(b))
+            if any(sum(x != y for x, y in zip(d[p : p + size], b[q : q + size], strict=True)) <= off for q in range(len(b) - size + 1) for p in range(len(d) - size + 1)):
+                want.add((i, j))
+    looked = {i for i, _ in docs[:: max(1, n // 40)] + docs[::50]}
+    assert {x for x in got if x[0] in looked} == want and len(want) >= n // 50
+    assert {x for x in got if x[0] not in looked} == set()
+    assert rows["met"] <= 60 * n and rows["hits"] <= 60 * n
+
+
 # 7
 
 

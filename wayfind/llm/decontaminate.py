@@ -6,6 +6,11 @@ item, so laid, that hold the seed have no more than `stretch // 5` substitutions
 20 words, whichever words are substituted, so nothing is lost to them (a test counts through all patterns). Items of
 fewer words than a mask picks are hashed whole.
 
+A hash that more than CROWD items have (a stock phrase) would lay every text with the phrase along all of them. Such hashes meet
+nothing. The stretches that hold one, of items and of documents, are hashed by wide masks instead: of five groups of places,
+spread over the whole stretch, a mask picks three, so two substitutions leave one mask untouched, and a phrase fills no mask
+unless it fills all but two places of the stretch (longer stretches have as many more groups as more words may differ). Which hashes are hot is told by a second sieve, to both sides alike.
+
 Both sides' hashes meet in a join. A sieve of fixed size, one bit a hash, goes to the documents first, so that only hashes
 that some item may have leave them, each with the words around it that decide; texts never move.
 """
@@ -13,6 +18,8 @@ that some item may have leave them, each with the words around it that decide; t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations, cycle
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.shared import join_spread, text_of, written
+from wayfind.llm.shared import drop, join_spread, text_of, written
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
 STRETCH = 13
 SIEVE_BITS = 22
+CROWD = 16  # items
 KEPT_WORDS = 100_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 #: ASCII white space and marks part words
@@ -61,7 +69,7 @@ def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """Hash of the picked words at each place where the mask fits."""
     n = max(len(ids) - mask[-1], 0)
     total = np.full(n, np.uint64(mask[-1] * 64 + len(mask)))
-    for k, m in zip(mask, MIX, strict=False):
+    for k, m in zip(mask, cycle(MIX)):
         total = (total ^ ids[k : k + n]) * m
         total ^= total >> np.uint64(31)
     return total
@@ -76,28 +84,63 @@ def masks_for(n_words: int) -> list[tuple[int, ...]]:
 WAYS = (*MASKS, *(tuple(range(n)) for n in range(1, len(MASKS[0]))))
 
 
+@cache
+def wide_masks(length: int) -> list[tuple[int, ...]]:
+    """Masks over a whole stretch, three groups of places each, of three more groups than words may differ; of a stretch without substitutions, all places."""
+    _, differ = allowed(length, length)
+    groups = differ + 3
+    of = [p % groups if p < 2 * groups else (p - length + 3) % groups for p in range(length)]  # so that both ends together have three groups in three places
+    return [tuple(p for p in range(length) if of[p] not in off) for off in combinations(range(groups), differ)] if differ else [tuple(range(length))]
+
+
+def wide_way(length: int, k: int) -> int:
+    return 16 + sum(len(wide_masks(n)) for n in range(len(MASKS[0]), length)) + k
+
+
+def stretches_with(hot: list[np.ndarray], n_words: int, length: int) -> np.ndarray:
+    """Where stretches of the length begin that hold a hot seed of any mask; hot: the places of these seeds, a mask each."""
+    edges = np.zeros(n_words + 2, dtype=np.int64)
+    for mask, places in zip(MASKS, hot, strict=True):
+        low, high = np.maximum(places + mask[-1] + 1 - length, 0), np.minimum(places, n_words - length)
+        fits = low <= high
+        np.add.at(edges, low[fits], 1)
+        np.add.at(edges, high[fits] + 1, -1)
+    return np.flatnonzero(np.cumsum(edges) > 0)
+
+
 def passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether an item may have the hash: the bits for its high and for its low end are set."""
     size = 1 << SIEVE_BITS
     return sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] & sieve[size + (hashes & np.uint64(size - 1)).astype(np.int64)]
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """way, hash, place, item (its key) of each seed of the items (item, data)."""
+def item_seeds(items: DataFrame, hot: np.ndarray | None = None, stretch: int = STRETCH) -> DataFrame:
+    """way, hash, place, item (its key) of each seed of the items (item, data); with a sieve of hot hashes, wide ones of the stretches that hold one in place of these."""
+    shared = None if hot is None else items.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
+
+        def out(way: int, found: np.ndarray, places: np.ndarray, item: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), way), pa.int16()), pa.array(found.view(np.int64)), pa.array(places, pa.int32()), pa.array(np.full(len(found), item), pa.int64())], names=["way", "hash", "place", "item"])
+
         for batch in batches:
-            for item, cell in zip(batch.column(0), batch.column(1), strict=True):
+            for item, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = hashes.of(cell.as_py())
-                for mask in masks_for(len(ids)):
+                masks, crowded = masks_for(len(ids)), []
+                for mask in masks:
                     found = seeds(ids, mask)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(found), WAYS.index(mask)), pa.int8()), pa.array(found.view(np.int64)), pa.array(np.arange(len(found)), pa.int32()), pa.array(np.full(len(found), item.as_py()), pa.int64())],
-                        names=["way", "hash", "place", "item"],
-                    )
+                    often = passes(shared.value, found) if shared and len(masks) == len(MASKS) else np.zeros(len(found), dtype=bool)
+                    crowded.append(np.flatnonzero(often))
+                    yield out(WAYS.index(mask), found[~often], np.flatnonzero(~often), item)
+                if shared and len(masks) == len(MASKS):
+                    length, _ = allowed(len(ids), stretch)
+                    starts = stretches_with(crowded, len(ids), length)
+                    if len(starts):
+                        for k, mask in enumerate(wide_masks(length)):
+                            yield out(wide_way(length, k), seeds(ids, mask)[starts], starts, item)
 
-    return items.mapInArrow(run, "way tinyint, hash long, place int, item long")
+    return items.mapInArrow(run, "way smallint, hash long, place int, item long")
 
 
 def sieve_of(found: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -108,35 +151,50 @@ def sieve_of(found: DataFrame) -> tuple[np.ndarray, list[int]]:
     rows = ends.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toPandas()
     words = np.zeros(2 * size // 64, dtype=np.int64)
     words[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    ways = sorted(r["way"] for r in found.select("way").distinct().collect())  # len(WAYS) at most
+    ways = sorted(r["way"] for r in found.select("way").distinct().collect())  # a hundred at most
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool), ways
 
 
-def document_hits(docs: DataFrame, sieve: tuple[np.ndarray, list[int]], stretch: int) -> DataFrame:
+def document_hits(docs: DataFrame, sieve: tuple[np.ndarray, list[int]], stretch: int, hot: np.ndarray | None = None) -> DataFrame:
     """text_key, n_bytes, way, hash, at, words (hashes of the words around, as bytes), lead (how many of them come before `at`) of each seed that passes the sieve."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)  # 8 MB, whatever the items
-    fields = "text_key long, n_bytes int, way tinyint, hash long, at int, lead tinyint, words binary"
+    shared = docs.sparkSession.sparkContext.broadcast((*sieve, hot))  # 8 MB a sieve, whatever the items
+    fields = "text_key long, n_bytes int, way smallint, hash long, at int, lead tinyint, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, ways = shared.value
+        sieve, ways, hot = shared.value
+        wide = [(length, wide_way(length, k), mask) for length in range(len(MASKS[0]), stretch + 1) for k, mask in enumerate(wide_masks(length)) if wide_way(length, k) in ways]
         hashes = Hashes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.int8(), pa.binary())
+            types = (pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.int32(), pa.int8(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
 
         for batch in batches:
             rows = []
             for key, size, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = hashes.of(cell.as_py())
-                for way in ways:
+                crowded = []
+                for way in range(len(WAYS)):
+                    if way not in ways and (hot is None or way >= len(MASKS)):
+                        continue
                     found = seeds(ids, WAYS[way])
-                    hit = np.flatnonzero(passes(sieve, found))
+                    hit = passes(sieve, found)
+                    if hot is not None and way < len(MASKS):
+                        often = passes(hot, found)
+                        crowded.append(np.flatnonzero(often))
+                        hit &= ~often
                     reach = WAYS[way][-1] + 1
                     side = max(stretch - reach, 0) if way < len(MASKS) else 0
-                    for at in hit.tolist():
+                    for at in np.flatnonzero(hit).tolist():
                         low = max(at - side, 0)
                         rows.append((key, size, way, int(found[at].view(np.int64)), at, at - low, ids[low : at + reach + side].tobytes()))
+                if any(len(c) for c in crowded):
+                    starts = {length: stretches_with(crowded, len(ids), length) for length in {w[0] for w in wide}}
+                    for length, way, mask in wide:
+                        found = seeds(ids, mask)[starts[length]] if len(starts[length]) else np.zeros(0, dtype=np.uint64)
+                        for k in np.flatnonzero(passes(sieve, found)).tolist():
+                            at = int(starts[length][k])
+                            rows.append((key, size, way, int(found[k].view(np.int64)), at, 0, ids[at : at + length].tobytes()))
                 if len(rows) > 20_000:
                     yield out(rows)
                     rows = []
@@ -183,8 +241,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH) -> t
     items = benchmark.select(F.encode(text_of(benchmark), "UTF-8").alias("data")).distinct().select(_key(F.col("data")).alias("item"), "data")
     items = written(items, "items")
     marks = written(item_seeds(items), "item-seeds")
+    crowds = marks.filter(F.col("way") < len(MASKS)).groupBy("way", "hash").agg(F.count_distinct("item").alias("n")).filter(F.col("n") > CROWD)
+    hot = sieve_of(crowds)[0] if crowds.head(1) else None
+    if hot is not None:
+        plain, marks = marks, written(item_seeds(items, hot, stretch), "item-seeds")
+        drop(plain)
     texts = docs.select(_key(text_of(docs)), F.octet_length(text_of(docs)).alias("n_bytes"), F.encode(text_of(docs), "UTF-8").alias("data"))
-    hits = document_hits(texts, sieve_of(marks), stretch)
+    hits = document_hits(texts, sieve_of(marks), stretch, hot)
     once = ["text_key", "n_bytes", "way", "hash", "at"]  # copies of a text hit alike
     hits = written(hits.groupBy(*once).agg(F.max(F.struct("lead", "words")).alias("w")).select(*once, "w.lead", "w.words"), "hits")
 
