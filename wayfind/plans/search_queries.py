@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text
 from wayfind.operators import recall, trending, windows
-from wayfind.plans import evaluate, experiment, search, suggest
+from wayfind.plans import evaluate, experiment, listwise, search, suggest
 from wayfind.plans import behaviour_queries as b
 from wayfind.plans.registry import query, r6
 from wayfind.sources import adapters as src
+from wayfind.sources.scratch import materialised
 
 NOW = f"TIMESTAMP '{src.CATALOGUE_AS_OF}'"
 C = src.views("catalogue")
@@ -327,6 +328,29 @@ def ranker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.score_ranker(model, rows.filter("split = 'valid'")).select("query", "video_id", "label", r6("score"))
 
 
+LAMBDAS = f"""{LTR},
+placed AS (SELECT query, video_id, label, smoothed_ctr AS s, row_number() OVER (PARTITION BY query ORDER BY smoothed_ctr DESC, video_id) AS r, row_number() OVER (PARTITION BY query ORDER BY label DESC) AS i FROM ltr),
+ideal AS (SELECT query, sum((2 ** label - 1) / log2(i + 1)) AS z FROM placed WHERE i <= 30 GROUP BY 1),
+pairs AS (SELECT a.query, a.video_id, sign(a.label - b.label) AS sg, abs(2 ** a.label - 2 ** b.label) * abs(1 / log2(a.r + 1) - 1 / log2(b.r + 1)) / z AS w, 1 / (1 + exp(sign(a.label - b.label) * (a.s - b.s))) AS rho
+  FROM placed a JOIN placed b ON a.query = b.query AND a.label <> b.label AND least(a.r, b.r) <= 30 JOIN ideal d ON d.query = a.query WHERE z > 0),
+sums AS (SELECT query, video_id, sum(-sg * w * rho) AS g, sum(w * rho * (1 - rho)) AS h FROM pairs GROUP BY 1, 2)"""
+
+
+@query(f"{LAMBDAS}\nSELECT p.query, p.video_id, round(coalesce(g, 0), 6) AS g, round(coalesce(h, 0), 6) AS h FROM placed p LEFT JOIN sums s ON s.query = p.query AND s.video_id = p.video_id")
+def lambda_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all lists in the order of their click rate."""
+    rows = listwise.lambda_gradients(_ltr(spark, sf_dir).withColumn("score", F.col("smoothed_ctr")))
+    return rows.select("query", "video_id", (F.round("g", 6) + 0.0).alias("g"), r6("h"))
+
+
+@query()
+def ranker_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the earlier rows by lambda gradients, scores for the later ones."""
+    rows = materialised(evaluate.time_split(_ltr(spark, sf_dir)), "ltr")
+    model = listwise.train_listwise(rows.filter("split = 'train'"), iterations=4)
+    return model.score(rows.filter("split = 'valid'")).select("query", "video_id", "label", r6("score"))
+
+
 @query()
 def shadow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as shown lists: lines by supplier, returned ones as clicks; the candidate ranks by views alone."""
