@@ -258,7 +258,7 @@ def test_literals_come_from_patterns(pattern, tokens):
     assert urls.literals(pattern) == tokens
 
 
-@pytest.mark.parametrize("pattern", ["casino", r"\d+", r"/[a-z]+x/", r"(?:/a/|/b/)", "/ab*/"])
+@pytest.mark.parametrize("pattern", ["casino", r"\d+", r"/[a-z]+x/", r"(?:/a/|/b/)", "/ab*/", "(?i)/sale/", "/x/(?i:/sale/)", "(?:/y/(?:(?i:a))?)+/z/"])
 def test_patterns_without_a_whole_literal_are_refused(pattern):
     with pytest.raises(ValueError, match="no token"):
         urls.Rule("", "block", pattern, 1).literals  # noqa: B018

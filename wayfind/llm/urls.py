@@ -69,9 +69,21 @@ def outline(pattern: list) -> str:
     return out
 
 
+def _ignores_case(pattern: list) -> bool:
+    """Whether a group of the parsed pattern sets the flag for itself."""
+    for op, arg in pattern:
+        parts = [arg[3]] if op is codes.SUBPATTERN else arg[1] if op is codes.BRANCH else [arg[2]] if op in (codes.MAX_REPEAT, codes.MIN_REPEAT) else []
+        if (op is codes.SUBPATTERN and arg[1] & re.IGNORECASE) or any(_ignores_case(list(p)) for p in parts):
+            return True
+    return False
+
+
 def literals(pattern: str) -> tuple[str, ...]:
     """Tokens that every match holds whole. A pattern without any is refused: no token could fetch it."""
-    found = outline(list(parser.parse(pattern)))
+    parsed = parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE or _ignores_case(list(parsed)):
+        raise ValueError(f"{pattern!r} ignores case, so letters beyond ASCII could match it and no token would fetch it")
+    found = outline(list(parsed))
     tokens = tuple(m.group() for m in TOKEN.finditer(found) if m.start() and m.end() < len(found) and found[m.start() - 1] != ANY and found[m.end()] != ANY and not found[m.start() - 1].isalnum() and not found[m.end()].isalnum())
     if not tokens:
         raise ValueError(f"no token stands whole in every match of {pattern!r}")
