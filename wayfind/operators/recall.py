@@ -127,11 +127,9 @@ def prefix_join(prefixes: DataFrame, items: DataFrame, key: str = "key") -> Data
 
     Each item is cut to the lengths that queries have; there are no more of those than the longest query has letters.
     """
-    lengths = sorted(r[0] for r in prefixes.select(F.length("query")).distinct().collect() if r[0])
-    if not lengths:
-        lengths = [1]
-    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(F.col(key)))
-    cut = items.withColumn("_n", F.explode(fits)).withColumn("_p", F.substring(F.col(key), F.lit(1), F.col("_n"))).drop("_n")
+    lengths = prefixes.agg(F.collect_set(F.length("query"))).scalar()  # looked up as the plan runs
+    fits = F.filter("_lengths", lambda n: (n > 0) & (n <= F.length(F.col(key))))
+    cut = items.withColumn("_lengths", lengths).withColumn("_n", F.explode(fits)).withColumn("_p", F.substring(F.col(key), F.lit(1), F.col("_n"))).drop("_n", "_lengths")
     return prefixes.withColumn("_p", F.col("query")).join(cut, "_p").drop("_p")
 
 
