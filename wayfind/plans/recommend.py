@@ -14,6 +14,7 @@ from wayfind.functions.scoring import age_days, freshness, gravity, mmr_tokens
 from wayfind.operators.covis import channel_affinity, neighbors_for, personal_affinity, seed_topk, user_cf_topk
 from wayfind.operators.diversity import LAMBDA, mmr
 from wayfind.operators.windows import compose_cap, first_per_key, interleave, list_score, normalize_max, top_k
+from wayfind.sources.scratch import materialised
 
 CHANNEL_CAP, SAME_CHANNEL, LIMIT = 2, 2, 20
 FRESH_MAX_VIEWS, EXPLORE_SLOT, SUBSCRIBED = 100, 3, 0.8
@@ -158,11 +159,12 @@ def _feed(picks: DataFrame, key: str) -> DataFrame:
 
 def related_simple(seeds: DataFrame, docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """seed_id, rank, video_id, score, reason: same channel, overlap, then a popular fill of what is left over."""
-    seeds = seeds.join(docs.select(F.col("video_id").alias("seed_id")), "seed_id", "left_semi")
+    docs = materialised(docs, "catalogue")  # every stream reads it
+    seeds = materialised(seeds.join(docs.select(F.col("video_id").alias("seed_id")), "seed_id", "left_semi"), "seeds")
     part = lambda d, stream, reason: d.select("seed_id", "video_id", "channel_id", F.lit(stream).alias("stream"), F.col("rank").alias("place"), F.lit(reason).alias("reason"))
     own = part(same_channel(seeds, docs), 0, "similar").unionByName(part(related_overlap(seeds, docs, 3 * limit), 1, "similar"))
     order = [F.col("stream"), F.col("place")]
-    picks = compose_cap(own, ["seed_id"], order, CHANNEL_CAP, limit)
+    picks = materialised(compose_cap(own, ["seed_id"], order, CHANNEL_CAP, limit), "picks")
     out = picks.select("seed_id", "video_id").unionByName(seeds.select("seed_id", F.col("seed_id").alias("video_id")))
     fill = part(popular(seeds, docs, limit, out, "seed_id", limit + 1), 2, "popular")
     first = picks.select("seed_id", "video_id", "channel_id", "stream", "place", "reason")
@@ -172,6 +174,7 @@ def related_simple(seeds: DataFrame, docs: DataFrame, limit: int = LIMIT) -> Dat
 def home_simple(requests: DataFrame, docs: DataFrame, as_of: Column, trending: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
     """request_id, rank, video_id, score, reason: trending, fresh and popular in turn."""
     k = 2 * limit
+    docs = materialised(docs, "catalogue")
     hot = home_trending(requests, docs, as_of, k) if trending is None else trending_eligible(trending, docs, requests, as_of, k)
     streams = [(hot, "trending"), (home_recent(requests, docs, k), "fresh"), (popular(requests, docs, k), "popular")]
     rows = None
@@ -206,6 +209,7 @@ def compose_feed(candidates: DataFrame, requests: DataFrame, docs: DataFrame, as
     if "user_id" not in r.columns:
         r = r.withColumn("user_id", F.lit(None).cast("long"))
     rows = candidates.join(r.select("request_id", "hide_sensitive", "user_id"), "request_id").join(docs.filter("eligible"), "video_id").filter(~F.col("hide_sensitive") | ~F.col("is_sensitive"))
+    rows = materialised(rows, "candidates")
     shown = rows.select("request_id", "video_id")
     if projection is not None:
         near = personal_affinity(rows.filter("user_id IS NOT NULL").select("user_id", "video_id"), projection, neighbors)
@@ -235,9 +239,15 @@ def compose_feed(candidates: DataFrame, requests: DataFrame, docs: DataFrame, as
     return _feed(compose_cap(both, ["request_id"], [F.col("place")], CHANNEL_CAP, limit), "request_id")
 
 
+def _shared(docs: DataFrame, neighbors: DataFrame, projection: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """What each stream of an advanced feed reads, written once."""
+    return materialised(docs, "catalogue"), materialised(neighbors, "neighbors"), projection if projection is None else materialised(projection, "projection")
+
+
 def related_advanced(seeds: DataFrame, docs: DataFrame, neighbors: DataFrame, as_of: Column, projection: DataFrame | None = None, sessions: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
     """seeds: seed_id, hide_sensitive, and optionally user_id, session_id; request_id of the result is the seed."""
-    seeds = seeds.join(docs.select(F.col("video_id").alias("seed_id")), "seed_id", "left_semi")
+    docs, neighbors, projection = _shared(docs, neighbors, projection)
+    seeds = materialised(seeds.join(docs.select(F.col("video_id").alias("seed_id")), "seed_id", "left_semi"), "seeds")
     near = neighbors_for(seeds.select("seed_id", F.col("seed_id").alias("video_id")), neighbors, 4 * limit).withColumnRenamed("neighbor_id", "video_id")
     rows = _candidates(near, F.col("score"), "co_watch", 0, "seed_id")
     rows = rows.unionByName(_candidates(same_channel(seeds, docs), F.lit(0.5), "similar", 1, "seed_id"))
@@ -259,6 +269,7 @@ def recently_watched(projection: DataFrame, k: int = WATCHED_HIDDEN) -> DataFram
 def home_advanced(requests: DataFrame, docs: DataFrame, neighbors: DataFrame, as_of: Column, projection: DataFrame | None = None, sessions: DataFrame | None = None, trending: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
     """requests: request_id, hide_sensitive, and optionally user_id, session_id, language."""
     k = 2 * limit
+    docs, neighbors, projection = _shared(docs, neighbors, projection)
     hot = home_trending(requests, docs, as_of, k) if trending is None else trending_eligible(trending, docs, requests, as_of, k)
     rows = _candidates(hot, F.lit(1.0), "trending", 1, "request_id")
     rows = rows.unionByName(_candidates(home_recent(requests, docs, k), F.lit(0.5), "fresh", 2, "request_id"))

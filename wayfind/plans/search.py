@@ -25,6 +25,7 @@ def requests_of(queries: DataFrame) -> DataFrame:
 
 def _features(found: DataFrame, requests: DataFrame, docs: DataFrame, postings: DataFrame, as_of: Column) -> DataFrame:
     """Eligible, visible candidates that pass the facets, with text features."""
+    found = materialised(found, "recall")  # joined to documents and to postings
     # trigrams once a title and once a query, not once a candidate
     docs = docs.withColumn("_title_grams", trigrams(F.col("title")))
     r = requests.select("query_id", "query", trigrams(F.col("query")).alias("_query_grams"), "hide_sensitive", F.col("tag").alias("_tag"), F.col("category").alias("_category"), F.col("language").alias("_language"))

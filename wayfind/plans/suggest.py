@@ -11,6 +11,7 @@ from wayfind.operators.predicates import prefix_match, visible
 from wayfind.operators.recall import prefix_join, trigram_join
 from wayfind.operators.trending import flag_trending
 from wayfind.operators.windows import clamp_suggest_limit, first_per_key, top_k
+from wayfind.sources.scratch import materialised
 
 STREAM_LIMIT = 15
 FUZZY_SIMILARITY = 0.35
@@ -146,6 +147,7 @@ def suggest(prefixes: DataFrame, docs: DataFrame, aggregates: DataFrame, history
         found = found.unionByName(s)
     found = found.withColumn("key", normalize(F.col("text")))
     found = flag_trending(found, trending) if trending is not None else found.withColumn("trending", F.lit(False))
+    found = materialised(found, "suggest-streams")  # read for the number of exact ones, then whole
     room = prefixes.select("query_id", clamp_suggest_limit(F.col("limit")).alias("_room"))
     exact = found.groupBy("query_id").agg(F.count_if("exact_prefix").alias("_exact"))
     short = prefixes.join(room.join(exact, "query_id", "left").filter(F.coalesce("_exact", F.lit(0)) < F.col("_room")), "query_id", "left_semi")  # similar titles are only sought for these
