@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -83,6 +84,32 @@ def test_repeats_keep_rows_and_columns(odd_docs, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_reach_of_smaller_in_any_order_of_documents():
+    rng = np.random.default_rng(5)
+
+    def plain(of, common):
+        out = []
+        for i in range(len(of)):
+            low = next((int(common[j + 1 : i + 1].min()) for j in range(i - 1, -1, -1) if of[j] < of[i]), 0)
+            out.append(low)
+        return out
+
+    for n in (1, 2, 7, 64, 150):
+        for most in (50, 1000):
+            common = rng.integers(0, most + 1, n)
+            common[0] = 0
+            orders = [rng.integers(0, 9, n), np.arange(n), np.arange(n)[::-1], np.r_[np.arange(n // 2) + 1, np.zeros(n - n // 2, dtype=int)]]
+            for of in orders:
+                for rounds in (0, 1, 16):
+                    assert repeats.reach_of_smaller(of, common, rounds).tolist() == plain(of, common)
+    n = 300_000  # ascending, then the first again: each place of it looks past all others
+    common = np.full(2 * n, 50)
+    common[0] = 0
+    began = time.time()
+    repeats.reach_of_smaller(np.r_[np.arange(n) + 1, np.zeros(n, dtype=int)], common)
+    assert time.time() - began < 5
+
+
 # 2
 
 

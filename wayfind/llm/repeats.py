@@ -251,17 +251,59 @@ def common_prefixes(words: Iterable[np.ndarray], n: int, offsets: list[int], mos
     return np.minimum(found, most)
 
 
-def reach_of_smaller(documents: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """For each place in suffix order, how long a prefix it shares with the nearest place before it of a smaller document; 0 if there is none."""
+def minima(values: np.ndarray, blank: int) -> list[np.ndarray]:
+    """The values, the minima of pairs of them, of pairs of these, and so on to one; odd ends are filled up with blank."""
+    levels = [values]
+    while len(levels[-1]) > 1:
+        if len(levels[-1]) % 2:
+            levels[-1] = np.append(levels[-1], np.array([blank], dtype=values.dtype))
+        levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+    return levels
+
+
+def reach_by_minima(documents: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """reach_of_smaller at some places, in at most twice as many steps as there are levels of minima, whatever the order of documents."""
+    small = np.uint8 if common.max(initial=0) < 256 else np.int64
+    smallest, shared = minima(documents, NO_ID), minima(common.astype(small), np.iinfo(small).max)
+    found = np.zeros(len(places), dtype=np.int64)
+    k, at, least, low = np.arange(len(places)), places, documents[places], common[places]
+    for level in range(len(smallest) - 1):
+        odd = np.flatnonzero(at & 1)
+        hit = smallest[level][at[odd] - 1] < least[odd]
+        inside, block = odd[hit], at[odd[hit]] - 1
+        reach, own = low[inside], least[inside]
+        for below in range(level - 1, -1, -1):  # to the last smaller one in the block
+            right = 2 * block + 1
+            there = smallest[below][right] < own
+            reach = np.where(there, reach, np.minimum(reach, shared[below][right]))
+            block = np.where(there, right, right - 1)
+        found[k[inside]] = reach
+        past = odd[~hit]
+        low[past] = np.minimum(low[past], shared[level][at[past] - 1])
+        going = (low > 0) & (at > 1)
+        going[inside] = False
+        k, at, least, low = k[going], at[going] >> 1, least[going], low[going]
+    return found
+
+
+def reach_of_smaller(documents: np.ndarray, common: np.ndarray, rounds: int = 16) -> np.ndarray:
+    """For each place in suffix order, how long a prefix it shares with the nearest place before it of a smaller document; 0 if there is none.
+
+    Most places have it close by, which a few rounds of following pointers find; the rest go by minima of blocks.
+    """
     at = np.arange(len(documents)) - 1
     low = common.copy()
     todo = np.flatnonzero(low > 0)
-    while len(todo := todo[documents[at[todo]] >= documents[todo]]):
+    for _ in range(rounds):
+        if not len(todo := todo[documents[at[todo]] >= documents[todo]]):
+            return low
         low[todo] = np.minimum(low[todo], low[at[todo]])
         at[todo] = at[at[todo]]
         ended = (low[todo] == 0) | (at[todo] < 0)
         low[todo[ended]] = 0
         todo = todo[~ended]
+    if len(todo := todo[documents[at[todo]] >= documents[todo]]):
+        low[todo] = reach_by_minima(documents, common, todo)
     return low
 
 
