@@ -314,7 +314,26 @@ def diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mmr(diversify_input(spark, sf_dir), "request_id")
 
 
-@query()
+def bytes_sql(text: str) -> str:
+    """ASCII text as a list of numbers, for fnv_sql."""
+    return f"list_transform(range(1, length({text}) + 1), lambda i: ord({text}[i])::HUGEINT)"
+
+
+def fnv_sql(data: str) -> str:
+    return f"list_reduce(list_concat([14695981039346656037::HUGEINT], {data}), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+def bucket_sql(salt: str, text: str) -> str:
+    return f"({fnv_sql(f'list_concat({bytes_sql(salt)}, [0::HUGEINT], {bytes_sql(text)})')} % 100)::INT"
+
+
+HASHES = f"""WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS s FROM customer),
+h AS (SELECT c_custkey, s, {fnv_sql(bytes_sql("s"))} AS h, sha1(unhex('6ba7b8149dad11d180b400c04fd430c8') || s::BLOB) AS d FROM c)
+SELECT c_custkey, (h // 4294967296)::BIGINT AS high, (h % 4294967296)::BIGINT AS low, {bucket_sql("'salt'", "s")} AS bucket, (h % 16384) / 16384.0 < 0.1 AS fires, ((h // 1048576) % 7)::INT AS index,
+  d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || '89ab'[(instr('0123456789abcdef', d[17]) - 1) % 4 + 1] || d[18:20] || '-' || d[21:32] AS uuid FROM h"""
+
+
+@query(HASHES)
 def stable_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("c_custkey").cast("string")
     h, draw = hashing.fnv1a64(s), hashing.exploration_draw(s, F.lit(7))

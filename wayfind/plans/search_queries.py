@@ -9,6 +9,7 @@ from wayfind.functions import text
 from wayfind.operators import recall, trending, windows
 from wayfind.plans import evaluate, experiment, listwise, search, suggest
 from wayfind.plans import behaviour_queries as b
+from wayfind.plans.catalogue_queries import bucket_sql
 from wayfind.plans.registry import query, r6
 from wayfind.sources import adapters as src
 from wayfind.sources.scratch import materialised
@@ -368,9 +369,12 @@ def shadow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # experiments
 
 
-@query()
+@query(f"""WITH s AS (SELECT c_custkey AS id, c_custkey::VARCHAR AS subject FROM customer WHERE c_custkey % 10 <> 0),
+b AS (SELECT id, subject, 'ranker' AS key, {bucket_sql("'s1'", "subject")} AS bucket FROM s UNION ALL SELECT id, subject, 'layout', {bucket_sql("'s2'", "subject")} FROM s)
+SELECT id, subject, key, bucket, CASE WHEN key = 'layout' THEN 'all' WHEN bucket < 60 THEN 'control' ELSE 'candidate' END AS variant, CASE WHEN key = 'layout' THEN '' WHEN bucket < 60 THEN 'v1' ELSE 'v2' END AS model_version
+FROM b WHERE key = 'layout' OR bucket < 90""")
 def experiment_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers into two experiments; every tenth has no subject. The hash has no SQL form; tests hold it against known values."""
+    """Customers into two experiments; every tenth has no subject."""
     k = F.col("c_custkey")
     subjects = src.table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 10 == 0, "").otherwise(k.cast("string")).alias("subject"))
     return experiment.assign(subjects, experiment.definitions(spark, experiment.EXAMPLE))
