@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text
 from wayfind.functions.text import trigrams
-from wayfind.operators import blocks, recall
-from wayfind.plans import search
+from wayfind.operators import blocks, completions, recall
+from wayfind.plans import search, suggest
 from wayfind.sources import adapters as src
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +90,27 @@ def test_few_blocks_of_a_common_word_are_read(spark, corpus):
     assert every > 50 and first.count() + later < every / 2
     tops = [r.top for r in index.filter("term = 'common'").orderBy("block").collect()]
     assert tops == sorted(tops, reverse=True) and all(len(r["items"]) <= 8 for r in index.collect())
+
+
+def test_completion_lists_are_those_of_every_request(spark, corpus):
+    docs, _ = corpus
+    titles = [r.title for r in docs.select("title").collect()]
+    rng = random.Random(2)
+    asked = [(n, rng.choice(titles).lower()[: rng.randrange(1, 12)], n % 2 == 0) for n in range(80)] + [(100, "zzz", False), (101, "", True)]
+    requests = spark.createDataFrame(asked, "query_id long, query string, hide_sensitive boolean")
+    table = suggest.title_completions(docs)
+    got, want = (sorted(map(tuple, d.select("query_id", "text", "popularity").collect())) for d in (suggest.title_lists(requests, table), suggest.title_prefix(requests, docs)))
+    assert got == want and len(got) > 200
+
+
+def test_changed_titles_touch_their_own_prefixes_only(spark, corpus):
+    docs, _ = corpus
+    old = suggest.title_items(docs)
+    changed_docs = docs.filter("video_id % 90 <> 3").withColumn("title", F.when(F.col("video_id") % 100 == 7, "brand new title").otherwise(F.col("title")))
+    new = suggest.title_items(changed_docs)
+    different = old.exceptAll(new).select("hide", "key").unionByName(new.exceptAll(old).select("hide", "key"))
+    table = completions.completion_table(old, ["hide"], [F.col("key")])
+    after = completions.update_completions(table, different, new, ["hide"], [F.col("key")])
+    again = completions.completion_table(new, ["hide"], [F.col("key")])
+    assert sorted(map(tuple, after.select(*again.columns).collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+    assert completions.prefixes_of(spark.createDataFrame([("",), (None,), ("ab",)], "key string")).count() == 2

@@ -222,6 +222,21 @@ def title_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.title_prefix(_prefixes(spark, sf_dir), _docs(spark, sf_dir))
 
 
+@query(f"{C},\n{PREFIXES},\n{TITLES}\nSELECT query_id, text, popularity FROM titles")
+def title_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """title_prefix from the completion table."""
+    return suggest.title_lists(_prefixes(spark, sf_dir), suggest.title_completions(_docs(spark, sf_dir)))
+
+
+@query(f"""{src.views('text_docs')},
+once AS (SELECT lower(title) AS key, arg_max(title, (views, -video_id)) AS text, max(views) AS popularity FROM text_docs GROUP BY 1),
+cut AS (SELECT key, text, popularity, substr(key, 1, n) AS prefix FROM (SELECT key, text, popularity, unnest(range(1, length(key) + 1)) AS n FROM once))
+SELECT prefix, rank, text, popularity FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY key) AS rank FROM cut) WHERE rank <= 15""")
+def document_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first titles of every prefix of the documents' titles."""
+    return suggest.title_completions(src.text_docs(spark, sf_dir)).filter("NOT hide").select("prefix", "rank", "text", "popularity")
+
+
 @query(f"{C},\n{PREFIXES}\nSELECT query_id, text, channel_handle, popularity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY popularity DESC, text) AS n FROM (SELECT p.query_id, channel_name AS text, min(channel_handle) AS channel_handle, max(views) AS popularity FROM prefixes p JOIN catalogue ON starts_with(lower(channel_name), query) WHERE {SHOWN} GROUP BY 1, 2)) WHERE n <= 15")
 def suggest_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggest_channels(_prefixes(spark, sf_dir), _docs(spark, sf_dir))

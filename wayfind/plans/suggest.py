@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions.scoring import suggestion_score
 from wayfind.functions.text import normalize
+from wayfind.operators.completions import complete, completion_table
 from wayfind.operators.predicates import prefix_match, visible
 from wayfind.operators.recall import prefix_join, trigram_join
 from wayfind.operators.trending import flag_trending
@@ -33,6 +34,24 @@ def title_prefix(prefixes: DataFrame, docs: DataFrame, k: int = STREAM_LIMIT, cu
     return top_k(once, ["query_id"], order, k).select("query_id", F.col("title").alias("text"), F.col("views").alias("popularity"))
 
 
+def title_items(docs: DataFrame) -> DataFrame:
+    """hide, key, text, popularity: the distinct titles (most viewed form) that requests with and without sensitive items hidden can get."""
+    rows = docs.filter("eligible").select(F.lower("title").alias("key"), "title", "views", "video_id", "is_sensitive")
+    rows = rows.withColumn("hide", F.lit(False)).unionByName(rows.filter("NOT is_sensitive").withColumn("hide", F.lit(True)))
+    once = first_per_key(rows, ["hide", "key"], [F.col("views").desc(), F.col("video_id")])
+    return once.select("hide", "key", F.col("title").alias("text"), F.col("views").alias("popularity"))
+
+
+def title_completions(docs: DataFrame, k: int = STREAM_LIMIT) -> DataFrame:
+    """The table that title_lists reads: the first k titles by alphabet of every prefix."""
+    return completion_table(title_items(docs), ["hide"], [F.col("key")], k)
+
+
+def title_lists(prefixes: DataFrame, table: DataFrame, k: int = STREAM_LIMIT) -> DataFrame:
+    """The rows of title_prefix from a completion table; reads what the requests ask for."""
+    return complete(prefixes, table, {"hide_sensitive": "hide"}, k).select("query_id", "text", "popularity")
+
+
 def suggest_channels(prefixes: DataFrame, docs: DataFrame, k: int = STREAM_LIMIT) -> DataFrame:
     """query_id, text, channel_handle, popularity (greatest views)."""
     rows = _shown(prefix_join(prefixes, docs.filter("eligible AND channel_name IS NOT NULL").select(F.lower("channel_name").alias("key"), "channel_name", "channel_handle", "views", "is_sensitive")))
