@@ -148,8 +148,8 @@ ENGAGED = "engagement AS (SELECT split_part(p_name, ' ', 1) AS normalized_query,
 @query(f"{FEATURES}\nSELECT query_id, video_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, published_at DESC NULLS LAST, video_id) AS rank FROM (SELECT *, {SIMPLE} AS score FROM features)) WHERE rank <= 20")
 def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """search_simple by blocks."""
-    d = _docs(spark, sf_dir)
-    return search.search_top(_queries(spark, sf_dir), d, text.postings(d), _now()).select("query_id", "video_id", r6("score"), "rank")
+    d = materialised(_docs(spark, sf_dir), "catalogue")
+    return search.search_top(_queries(spark, sf_dir), d, materialised(text.postings(d), "postings"), _now()).select("query_id", "video_id", r6("score"), "rank")
 
 
 BY_TEXT = f"""{src.views('text_docs', 'text_queries')},
@@ -164,7 +164,8 @@ scored AS (SELECT query_id, video_id, published_at, 0.5 * (0.2 * b + h) + 0.2 *
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One word of each benchmark item in whole documents, by blocks."""
     d = src.text_docs(spark, sf_dir).withColumn("channel_name", F.lit(""))
-    return search.search_top(src.text_queries(spark, sf_dir), d, text.postings(d), _now()).select("query_id", "video_id", r6("score"), "rank")
+    postings = materialised(text.postings(d), "postings")
+    return search.search_top(src.text_queries(spark, sf_dir), d.drop("body"), postings, _now()).select("query_id", "video_id", r6("score"), "rank")
 
 
 @query(f"{src.views('text_docs', 'text_queries')},\nd AS (SELECT DISTINCT lower(title) AS key, {_grams('title')} AS g FROM text_docs),\nq AS (SELECT query_id, {_grams('query')} AS g FROM text_queries)\nSELECT query_id, key, round(sim, 6) AS sim FROM (SELECT query_id, key, len(list_intersect(q.g, d.g)) / nullif(len(list_distinct(list_concat(q.g, d.g))), 0) AS sim FROM q, d) WHERE sim >= 0.2")
