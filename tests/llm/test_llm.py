@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, simhash, stats, token_counts, urls
+from wayfind.llm import chat, decontaminate, packing, quality_model, quality_rules, repeats, shards, shingles, simhash, stats, token_counts, urls
 from wayfind.llm.catalog import byte_bpe
 from wayfind.llm.components import connected
 
@@ -683,6 +683,42 @@ def test_near_copies_in_a_crowd(spark):
     assert sum(found[2 * k + 1] == 2 * k for k in range(150)) >= 147
 
 
+def test_near_copies_miss_no_pair_at_the_threshold(spark):
+    """4,000 pairs of similarity 40 in 50: keys and fingerprints alone leave some of them out."""
+    rows = []
+    for k in range(4000):
+        w = [f"{k}w{n}" for n in range(49)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:44], *[f"{k}x{n}" for n in range(5)]]))]
+    assert plain_similarity(rows[0][1], rows[1][1]) == 0.8
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_sharing_proposes_every_similar_pair(spark):
+    """Against brute force, with shingles that most texts have, blocks of few texts, and texts already connected."""
+    rng = random.Random(13)
+    common = [f"s{n}" for n in range(60)]
+    texts = []
+    for _ in range(40):
+        w = [*common[: rng.randrange(61)], *[f"c{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30))]]
+        texts.append(w)
+        for _ in range(4):
+            near = list(w)
+            for at in rng.sample(range(len(w)), min(len(w), rng.randrange(3))):
+                near[at] = rng.choice(("other", "s3"))
+            texts.append(near[: len(w) - rng.randrange(4)] or ["one"])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").dropDuplicates(["text"])
+    rows = shingles.keyed(docs, 5, 0.8).withColumn("root", F.expr("if(doc_id % 7 = 0, 0, node)")).cache()
+    assert len(shingles.frequent(docs, 5)[0]) > 20
+    own = {r.node: (r.doc_id, r.root) for r in rows.collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    want = {(a, b) for a in own for b in own if a > b and own[a][1] != own[b][1] and plain_similarity(text[own[a][0]], text[own[b][0]]) >= 0.8}
+    for block in (3, 2048):
+        pairs = shingles.sharing(rows.select("node", "n", "root", "prefix"), 0.8, block)
+        assert len(want) > 100 and want <= {(r.u, r.v) for r in pairs.collect()}
+        assert {(r.u, r.v) for r in shingles.verified(docs, pairs, 5, 0.8).collect()} == want
+
+
 def test_index_finds_all_links_in_a_large_group():
     rng = np.random.default_rng(6)
     codes = set()

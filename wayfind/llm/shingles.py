@@ -1,4 +1,4 @@
-"""Word shingles: their hashes, min-hash keys of their sets, and the similarity of two texts' sets."""
+"""Word shingles: their hashes, min-hash keys and prefixes of their sets, and the similarity of two texts' sets."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.shared import join_spread, text_of, written
+from wayfind.llm.shared import drop, join_spread, text_of, written
 
 BANDS = 16
 ROWS = 5
 SEED = 42
 BLOCK = 1 << 12
+FREQUENT = 1 << 18  # shingles at most whose counts order prefixes
+COUNTED = 1 << 20  # shingles counted at a time
 _rng = np.random.default_rng(SEED)
 TURNS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WEIGHTS = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,22 +76,73 @@ def node_of(docs: DataFrame) -> Column:
     return F.xxhash64(text_of(docs))
 
 
-def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node, n (distinct shingles), fp (the SimHash of those), rank (its Gray rank) and keys of every row."""
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("node", "n", "fp", "rank")], T.StructField("keys", T.ArrayType(T.LongType()))])
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met often, sorted, and about how often: those that a stretch of rows has twice or more are counted. The most frequent ones where there are too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
+
+        for batch in batches:
+            for cell in batch.column(0):
+                held.append(distinct_hashes(cell.as_py(), width))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    met = docs.select(F.encode(text_of(docs), "UTF-8").alias("data")).mapInArrow(run, "shingle long, n long")
+    met = written(met.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 8").withColumn("octave", F.floor(F.log2("n"))), "frequent-shingles")
+    least, room = 64, FREQUENT
+    for octave, many in sorted(map(tuple, met.groupBy("octave").count().collect()), reverse=True):  # 64 rows at most
+        room -= many
+        if room < 0:
+            break
+        least = octave
+    rows = met.filter(F.col("octave") >= least).select("shingle", "n").toArrow()
+    drop(met)
+    h, n = (rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(2))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Of two sets that similar, in one order of all shingles, so many first ones of each have one in common."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def rare_first(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sorted shingles in the one order of all shingles: those not met often, then by how often."""
+    known, n = often
+    at = np.searchsorted(known, found)
+    hit = np.flatnonzero(at < len(known))
+    hit = hit[known[at[hit]] == found[hit]]
+    return np.r_[np.delete(found, hit), found[hit][np.argsort(n[at[hit]], kind="stable")]] if len(hit) else found
+
+
+def keyed(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, node, n (distinct shingles), fp (the SimHash of those), rank (its Gray rank), keys and prefix (the first prefix_size shingles, rare ones first) of every row."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("node", "n", "fp", "rank")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "prefix")]])
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, codes, keys = [], [], []
+            sizes, codes, keys, prefixes = [], [], [], []
             for cell in batch.column(2):
                 found = distinct_hashes(cell.as_py(), width)
                 codes.append(fold(found[at : at + BLOCK] for at in range(0, len(found), BLOCK)))
                 sizes.append(len(found))
                 keys.append(band_keys(found))
+                prefixes.append(rare_first(found, often.value)[: prefix_size(len(found), similarity)].view(np.int64))
             fp = np.array(codes, dtype=np.uint64)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fp.view(np.int64)), pa.array(gray_rank(fp).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(flat))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fp.view(np.int64)), pa.array(gray_rank(fp).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(prefixes, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", node_of(docs).alias("node"), F.encode(text_of(docs), "UTF-8").alias("data")).mapInArrow(run, schema)
 
@@ -128,6 +181,33 @@ def close_sizes(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
+def sharing(texts: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
+    """u, v (u greater): every pair of texts of different roots whose sets can be that similar, from node, n, root and prefix of each.
+
+    Sets that similar have a shingle in common among their prefixes. What follows the first such shingle bounds all they have in
+    common, so pairs that this leaves short go. Texts of a shingle's commonest root meet only those of other roots. Frequent
+    shingles are dealt by blocks of texts, each pair of blocks on its own.
+    """
+    same = Window.partitionBy("key")
+    dealt = texts.select("node", "n", "root", F.posexplode("prefix").alias("pos", "key"))
+    shared = dealt.withColumns({"least": F.min("root").over(same), "most": F.max("root").over(same), "many": F.count(F.lit(1)).over(same)})
+    table = written(shared.filter("least <> most").select("key", "node", "n", "root", "pos", "many"), "shared-shingles")
+    common = table.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("common"))
+    parts = F.ceil(F.col("many") / block).cast("int")
+    shared = table.join(common, "key").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
+    # a text not of the commonest root meets all those that are, and others like it once
+    cells = F.sequence(F.lit(0), F.col("parts") - 1)
+    a = shared.filter("root <> common").withColumn("other", F.explode(cells)).select("key", "part", "other", F.struct("node", "n", "root", "pos").alias("a"))
+    b = shared.withColumn("own", F.explode(cells)).select("key", F.col("own").alias("part"), F.col("part").alias("other"), F.struct("node", "n", "root", "pos").alias("b"), (F.col("root") == F.col("common")).alias("usual"))
+    rest = lambda c: F.col(f"{c}.n") - F.col(f"{c}.pos")
+    enough = F.least(rest("a"), rest("b")) >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    met = (F.col("a.root") != F.col("b.root")) & (F.col("usual") | (F.col("a.node") > F.col("b.node"))) & close_sizes(F.col("a.n"), F.col("b.n"), similarity) & enough
+    pairs = a.join(b, ["key", "part", "other"]).filter(met).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+    pairs = written(pairs.distinct(), "sharing-pairs")
+    drop(table)
+    return pairs
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of the distinct pairs u, v those whose sets are at least that similar; two empty sets are. A node may be in many pairs as v."""
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from wayfind.llm.components import connected
 from wayfind.llm.shared import drop, join_spread, slices, text_of, without, written
-from wayfind.llm.shingles import close_sizes, far_bits, fold, gray_rank, keyed, shingle_hashes, verified
+from wayfind.llm.shingles import close_sizes, far_bits, fold, gray_rank, keyed, sharing, shingle_hashes, verified
 
 WIDTH = 3
 LEAF = 32
@@ -245,17 +245,18 @@ def near_duplicates(docs: DataFrame, bits: int = 2, width: int = WIDTH, part_cod
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 2, part_codes: int = 1 << 18) -> DataFrame:
     """doc_id and component_id (least doc_id reachable over pairs of texts whose shingle sets are at least that similar) for every row.
 
-    Two ways propose pairs: fingerprints at most `bits` apart by the Gray-order index, and min-hash keys, since at a
+    All such pairs are found, but for those between texts that others connect. Two ways first propose pairs: fingerprints at most `bits` apart by the Gray-order index, and min-hash keys, since at a
     similarity of 0.8 fingerprints mostly lie 10 bits apart, where no index prunes; a pair at 0.8 shares a key with probability
     1 - (1 - 0.8^5)^16 = 0.998. In a bucket of texts with one key each is held against the least of them and against its two
-    neighbours before it in Gray order, so a bucket costs its size. Pairs whose fingerprints differ in more than far_bits are
-    left out, and the whole shingle sets decide all others.
+    neighbours before it in Gray order, so a bucket costs its size. Proposals whose fingerprints differ in more than far_bits are
+    left out, and the whole shingle sets decide all others. Then the texts not yet connected meet by an exact join on the
+    prefixes of their shingle sets (sharing), which finds whatever the proposals left out; the whole sets decide here, too.
 
     Null and empty texts are similar to each other and to nothing else. Null doc_ids are never a component's least; a component of
     null doc_ids only has component_id null. Repeated rows share a component. No rows: no result rows.
     """
-    rows = written(keyed(docs, width), "shingle-keys")
-    texts = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("rank").alias("rank"), F.first("keys").alias("keys")), "texts")
+    rows = written(keyed(docs, width, similarity), "shingle-keys")
+    texts = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("rank").alias("rank"), F.first("keys").alias("keys"), F.first("prefix").alias("prefix")), "texts")
     one = F.struct("node", "n", "fp", "rank")
     apart = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= far_bits(similarity)
     likely = (F.col("a.node") != F.col("b.node")) & close_sizes(F.col("a.n"), F.col("b.n"), similarity) & apart
@@ -274,10 +275,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits:
     beside = members.withColumn("_piece", piece).select("a", F.array_compact(F.array(F.lag("a", 1).over(order), F.lag("a", 2).over(order))).alias("bs"))
     beside = beside.select("a", F.explode("bs").alias("b"))
     proposed = written(alike.unionByName(near).unionByName(pairs(members)).unionByName(pairs(beside)).distinct(), "pairs")
-    roots = connected(verified(docs, proposed, width, similarity))
+    likely_roots = connected(verified(docs, proposed, width, similarity))
+    placed = texts.select("node", "n", "prefix").join(likely_roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = sharing(placed, similarity)
+    roots = connected(likely_roots.select("u", F.col("root").alias("v")).unionByName(verified(docs, others, width, similarity)))
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     member = written(least.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "roots")
-    drop(texts, hubs, members, proposed, roots)
+    drop(texts, hubs, members, proposed, likely_roots, others, roots)
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = written(join_spread(member.select("node", "root"), of_root, "root", F.col("node")).select("node", "component_id"), "components")
     drop(member)
