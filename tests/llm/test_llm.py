@@ -365,6 +365,24 @@ def test_ids_of_every_character():
             assert np.frombuffer(table.document(text), dtype="<u4").tolist() == want.ids, ascii(text)
 
 
+def test_a_text_of_new_words_is_encoded_at_once():
+    class Counted:
+        calls = 0
+
+        def __getattr__(self, name):
+            Counted.calls += name.startswith("encode")
+            return getattr(packing.encoder(*byte_bpe()), name)
+
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(("ab", "é,", " ", "  ", "\n", "\t", "it's", packing.SPECIAL, "\x1c", "\u3000", "...")) for _ in range(40)) for _ in range(200)] + [" ".join(f"new{n}w." for n in range(500))]
+    coder = Counted()
+    table = packing.Words(coder)
+    for text in texts:
+        want = packing.encoder(*byte_bpe()).encode(text, allowed_special={packing.SPECIAL}, disallowed_special=())
+        assert np.frombuffer(table.document(text), dtype="<u4").tolist() == want
+    assert Counted.calls <= len(texts)
+
+
 @pytest.mark.parametrize(("lengths", "slack"), [([100], 1.03), ([1], 1), ([256], 1), ([257], 1.16), (list(range(20, 300)), 1.005), ([16, 676, 680], 1.005)])
 def test_plan_of_short_lengths_only(lengths, slack):
     have = np.bincount(lengths * 3000, minlength=2049)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,11 +25,7 @@ from wayfind.llm.shared import slices, text_of, written
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-KEPT_WORDS = 120_000
 WASTE = 16
-TAIL = ".,!?;:#*$%&|<>)\"'"
-BLANK_PAIRS = tuple(chr(c) + " " for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
-GAP = re.compile(r"(?<=\S)(?= \S)")
 
 
 @cache
@@ -43,43 +38,19 @@ def encoder(vocabulary: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
 
-class Words(dict):
-    """Ids, as little-endian bytes, of a space and the key. Text between single spaces tokenises by itself, so each is met once.
+class Words:
+    """Ids of texts, as little-endian bytes. A text is encoded whole: where most words are new, a table of words takes twice the time."""
 
-    Of the two generations that are kept, the older goes when the younger is full: memory is bounded, results don't depend on it.
-    """
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text, allowed_special={SPECIAL}, disallowed_special=()), dtype="<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if (found := self.old.get(word)) is None:
-            head = word.rstrip(TAIL)
-            if head and head != word and head.isalpha() and not word[len(head)] == "'" and SPECIAL not in word:  # letters, then marks: two pre-tokens at least, cut here
-                found = self[head] + self.ids(word[len(head) :])
-            else:
-                found = self.ids(" " + word)
-        if len(self) >= KEPT_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
+    def __init__(self, coder) -> None:
+        self.coder = coder
 
     def document(self, text: str) -> bytes:
-        if any(pair in text for pair in BLANK_PAIRS):
-            parts = GAP.split(text)
-            return self.ids(parts[0]) + b"".join([self[p[1:]] for p in parts[1:]])
-        first, *rest = text.split(" ")
-        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+        return self.coder.encode_to_numpy(text, allowed_special={SPECIAL}, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @cache
 def words(vocabulary: str, pattern: str) -> Words:
-    return Words(encoder(vocabulary, pattern).encode)
+    return Words(encoder(vocabulary, pattern))
 
 
 def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, closing_id: int = 0, with_ids: bool = True) -> DataFrame:
