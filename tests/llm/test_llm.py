@@ -110,6 +110,31 @@ def test_reach_of_smaller_in_any_order_of_documents():
     assert time.time() - began < 5
 
 
+def test_later_copies_by_ranges():
+    """Range by range of the suffix order as in one sort, in a part of its memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(17)
+    text = rng.integers(97, 99, 300_000, dtype=np.uint8)
+    text[100_000:130_000] = text[5_000:35_000]
+    text[200_000:260_000] = 32
+    data = np.r_[text, np.zeros(64, dtype=np.uint8)]
+    suffixes, documents = np.arange(len(text)), np.arange(len(text)) // 1000 * 7 % 300
+    whole = repeats.longest_previous(data, suffixes, documents, 50) >= 50
+    assert whole.sum() > 50_000
+    for room in (100, 5000, 10**7):
+        assert (repeats.later_copies(data, suffixes, documents, 50, room) == whole).all()
+    peaks = []
+    spread = np.delete(suffixes, np.arange(200_000, 260_000))
+    for f in (repeats.longest_previous, lambda *a: repeats.later_copies(*a, room=10_000)):
+        tracemalloc.start()
+        f(data, spread, documents[spread], 50)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 0.5 * peaks[0]
+    assert repeats.later_copies(data, suffixes[:0], documents[:0], 50).size == 0
+
+
 # 2
 
 

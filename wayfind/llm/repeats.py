@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from wayfind.llm.shared import slices, text_of, without
 
-SLAB = 1 << 19
+SLAB = 1 << 17
+RANGE = 1 << 17  # suffixes sorted at a time
 LONGEST_RUN = 64
 KEY_BITS = 48  # keys that clash cost work, not results
 PAD = 64
@@ -326,6 +327,20 @@ def longest_previous(data: np.ndarray, suffixes: np.ndarray, documents: np.ndarr
     return found
 
 
+def later_copies(data: np.ndarray, suffixes: np.ndarray, documents: np.ndarray, most: int, room: int = RANGE) -> np.ndarray:
+    """Which suffixes have a longest previous factor of `most` bytes. Sorted range by range of their first words, which keep equal strings together, so a bucket takes a range's memory."""
+    first = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+    words = np.array(first[suffixes], dtype=np.uint64)
+    order = np.argsort(words, kind="stable")
+    new = np.flatnonzero(np.r_[True, words[order[1:]] != words[order[:-1]]]) if len(order) else order
+    del words
+    cuts = np.unique(new[np.minimum(np.searchsorted(new, np.arange(0, len(order), room)), len(new) - 1)]) if len(order) else order
+    found = np.zeros(len(suffixes), dtype=bool)
+    for part in np.split(order, cuts[1:]) if len(order) else []:
+        found[part] = longest_previous(data, suffixes[part], documents[part], most) >= most
+    return found
+
+
 def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
     """To each chunk, bit by bit, which suffixes of its strings, as in their least document, are later copies."""
     blobs, counts, least = (table.column(c).to_pylist() for c in ("strings", "counts", "least"))
@@ -351,7 +366,7 @@ def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
     own_start = np.cumsum(own_count) - own_count
     long = own_count + min_bytes - 1
     data = np.frombuffer(b"".join(strings) + bytes(8), dtype=np.uint8)
-    flags = longest_previous(data, spread_out(np.cumsum(long) - long, own_count), np.repeat(first, own_count), min_bytes) >= min_bytes
+    flags = later_copies(data, spread_out(np.cumsum(long) - long, own_count), np.repeat(first, own_count), min_bytes)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     bits = flags[np.repeat(own_start[number], count) + nth] | np.repeat(least > first[number], count)
     rows, start = [], 0
@@ -365,7 +380,8 @@ def answer_runs(key: tuple, table: pa.Table, *, min_bytes: int) -> pa.Table:
 def cover(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, seed: int, key_buckets: int, buckets: int, keep_text: bool) -> pa.Table:
     """The chunk's documents without what later copies cover."""
     texts = Texts(table)
-    change = np.zeros(len(texts.raw) + 1, dtype=np.int32)
+    depth = np.int16 if min_bytes < 1 << 15 else np.int64  # a byte lies in min_bytes strings at most
+    change = np.zeros(len(texts.raw) + 1, dtype=depth)
     if answers.num_rows:
         runs = Runs(texts, answers, min_bytes, seed, key_buckets)
         told = {b: f for b, f in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True) if b >= 0}
@@ -379,9 +395,14 @@ def cover(key: tuple, table: pa.Table, answers: pa.Table, *, min_bytes: int, see
             later = np.repeat(runs.ids > runs.least[runs.number], runs.count)
             gone = flags[spread_out(starts[runs.number], runs.count)] | later
             where = spread_out(runs.first, runs.count)[gone]  # no suffix is in two runs
+            del gone, later
             change[where] += 1
-            change[where + min_bytes] -= 1
-    removed = np.cumsum(change[:-1]) > 0
+            where += min_bytes
+            change[where] -= 1
+            del where, flags
+        del runs
+    removed = np.cumsum(change[:-1], dtype=depth) > 0
+    del change
     starts_span = removed & ~np.r_[False, removed[:-1]][: len(removed)]
     out = []
     for a, b in zip(texts.starts.tolist(), texts.ends.tolist(), strict=True):
