@@ -757,7 +757,7 @@ def test_sharing_proposes_every_similar_pair(spark):
     text = {r.doc_id: r.text for r in docs.collect()}
     want = {(a, b) for a in own for b in own if a > b and own[a][1] != own[b][1] and plain_similarity(text[own[a][0]], text[own[b][0]]) >= 0.8}
     for block in (3, 2048):
-        pairs = shingles.sharing(rows.select("node", "n", "root", "prefix"), 0.8, block)
+        pairs = shingles.sharing(rows.select("node", "n", "root", "prefix", "sign"), 0.8, block)
         assert len(want) > 100 and want <= {(r.u, r.v) for r in pairs.collect()}
         assert {(r.u, r.v) for r in shingles.verified(docs, pairs, 5, 0.8).collect()} == want
 

@@ -19,6 +19,7 @@ SEED = 42
 BLOCK = 1 << 12
 FREQUENT = 1 << 18  # shingles at most whose counts order prefixes
 COUNTED = 1 << 20  # shingles counted at a time
+SIGN_BITS = 10
 _rng = np.random.default_rng(SEED)
 TURNS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WEIGHTS = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,24 +126,31 @@ def rare_first(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.nd
     return np.r_[np.delete(found, hit), found[hit][np.argsort(n[at[hit]], kind="stable")]] if len(hit) else found
 
 
+def sign_of(found: np.ndarray) -> np.ndarray:
+    """By the first SIGN_BITS bits of a shingle, whether their number is odd: two sets differ in at least as many shingles as their signs in bits."""
+    odd = np.bincount((found >> np.uint64(64 - SIGN_BITS)).astype(np.int64), minlength=1 << SIGN_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def keyed(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, node, n (distinct shingles), fp (the SimHash of those), rank (its Gray rank), keys and prefix (the first prefix_size shingles, rare ones first) of every row."""
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("node", "n", "fp", "rank")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "prefix")]])
+    """doc_id, node, n (distinct shingles), fp (the SimHash of those), rank (its Gray rank), keys, prefix (the first prefix_size shingles, rare ones first) and sign of every row."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("node", "n", "fp", "rank")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "prefix", "sign")]])
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, codes, keys, prefixes = [], [], [], []
+            sizes, codes, keys, prefixes, signs = [], [], [], [], []
             for cell in batch.column(2):
                 found = distinct_hashes(cell.as_py(), width)
                 codes.append(fold(found[at : at + BLOCK] for at in range(0, len(found), BLOCK)))
                 sizes.append(len(found))
                 keys.append(band_keys(found))
+                signs.append(sign_of(found))
                 prefixes.append(rare_first(found, often.value)[: prefix_size(len(found), similarity)].view(np.int64))
             fp = np.array(codes, dtype=np.uint64)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fp.view(np.int64)), pa.array(gray_rank(fp).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(prefixes, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fp.view(np.int64)), pa.array(gray_rank(fp).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", node_of(docs).alias("node"), F.encode(text_of(docs), "UTF-8").alias("data")).mapInArrow(run, schema)
 
@@ -182,10 +190,10 @@ def close_sizes(n: Column, m: Column, similarity: float) -> Column:
 
 
 def sharing(texts: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
-    """u, v (u greater): every pair of texts of different roots whose sets can be that similar, from node, n, root and prefix of each.
+    """u, v (u greater): every pair of texts of different roots whose sets can be that similar, from node, n, root, prefix and sign of each.
 
     Sets that similar have a shingle in common among their prefixes. What follows the first such shingle bounds all they have in
-    common, so pairs that this leaves short go. Texts of a shingle's commonest root meet only those of other roots. Frequent
+    common, and their signs how many they have not, so pairs that this leaves short go. Texts of a shingle's commonest root meet only those of other roots. Frequent
     shingles are dealt by blocks of texts, each pair of blocks on its own.
     """
     same = Window.partitionBy("key")
@@ -203,7 +211,11 @@ def sharing(texts: DataFrame, similarity: float, block: int = 2048) -> DataFrame
     enough = F.least(rest("a"), rest("b")) >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
     met = (F.col("a.root") != F.col("b.root")) & (F.col("usual") | (F.col("a.node") > F.col("b.node"))) & close_sizes(F.col("a.n"), F.col("b.n"), similarity) & enough
     pairs = a.join(b, ["key", "part", "other"]).filter(met).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
-    pairs = written(pairs.distinct(), "sharing-pairs")
+    side = lambda c, k: texts.select(F.col("node").alias(c), F.struct("n", "sign").alias(k))
+    pairs = pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v")
+    apart = F.aggregate(F.zip_with("a.sign", "b.sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = pairs.filter(apart <= (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6)
+    pairs = written(pairs.select("u", "v"), "sharing-pairs")
     drop(table)
     return pairs
 

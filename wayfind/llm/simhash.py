@@ -256,7 +256,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits:
     null doc_ids only has component_id null. Repeated rows share a component. No rows: no result rows.
     """
     rows = written(keyed(docs, width, similarity), "shingle-keys")
-    texts = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("rank").alias("rank"), F.first("keys").alias("keys"), F.first("prefix").alias("prefix")), "texts")
+    texts = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("rank").alias("rank"), F.first("keys").alias("keys"), F.first("prefix").alias("prefix"), F.first("sign").alias("sign")), "texts")
+    rows, whole = written(rows.select("doc_id", "node"), "nodes"), rows
+    drop(whole)
     one = F.struct("node", "n", "fp", "rank")
     apart = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= far_bits(similarity)
     likely = (F.col("a.node") != F.col("b.node")) & close_sizes(F.col("a.n"), F.col("b.n"), similarity) & apart
@@ -276,7 +278,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits:
     beside = beside.select("a", F.explode("bs").alias("b"))
     proposed = written(alike.unionByName(near).unionByName(pairs(members)).unionByName(pairs(beside)).distinct(), "pairs")
     likely_roots = connected(verified(docs, proposed, width, similarity))
-    placed = texts.select("node", "n", "prefix").join(likely_roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = texts.select("node", "n", "prefix", "sign").join(likely_roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     others = sharing(placed, similarity)
     roots = connected(likely_roots.select("u", F.col("root").alias("v")).unionByName(verified(docs, others, width, similarity)))
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
