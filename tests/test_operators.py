@@ -276,3 +276,27 @@ def test_greedy_cap_is_the_plain_fold(spark, batch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def exchanges(df):
+    """Shuffles of the plan as it starts; a shuffle that is used again counts each time."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("Join") + df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_basket_neighbors_equal_plain_counts_and_move_little(spark, monkeypatch):
+    """Long sessions in pieces, repeated events, and no shuffle of single pairs."""
+    rng = random.Random(3)
+    rows = [(n, f"s{min(rng.randrange(30), 20)}", rng.randrange(25)) for n in range(400)]
+    d = spark.createDataFrame(rows, "id long, session_id string, video_id long")
+    count, mass = defaultdict(int), defaultdict(int)
+    for n, s, v in rows:
+        for n2, s2, v2 in rows:
+            if s == s2 and v != v2 and n != n2:
+                count[v, v2] += 1
+                mass[v] += 1
+    want = {k: round(0.7 * c / (mass[k[0]] * mass[k[1]]) ** 0.5 * c / (c + 10), 9) for k, c in count.items()}
+    for size in (2048, 4):
+        monkeypatch.setattr(covis, "SESSION", size, raising=False)
+        got = {(r.video_id, r.neighbor_id): round(r.score, 9) for r in covis.basket_neighbors(d).collect()}
+        assert got == pytest.approx(want, abs=2e-9)
+    assert exchanges(covis.basket_neighbors(d)) <= 6
