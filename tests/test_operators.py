@@ -300,3 +300,39 @@ def test_basket_neighbors_equal_plain_counts_and_move_little(spark, monkeypatch)
         got = {(r.video_id, r.neighbor_id): round(r.score, 9) for r in covis.basket_neighbors(d).collect()}
         assert got == pytest.approx(want, abs=2e-9)
     assert exchanges(covis.basket_neighbors(d)) <= 6
+
+
+def test_sums_over_neighbours_equal_plain_ones_and_are_not_dealt_out(spark, monkeypatch):
+    """Blocks of any size, split blocks and keys of several turns; one row a seed moves, none a product."""
+    rng = random.Random(5)
+    lists = {v: {w: rng.randrange(1, 50) / 64 for w in rng.sample(range(60), 20) if w != v} for v in range(50)}
+    neighbors = spark.createDataFrame([(v, w, s) for v, near in lists.items() for w, s in near.items()], "video_id long, neighbor_id long, score double")
+    seeds = {(f"u{rng.randrange(30)}", rng.randrange(60)): rng.randrange(1, 9) / 8 for _ in range(400)}
+    own = spark.createDataFrame([(*k, w) for k, w in seeds.items()], "user_id string, video_id long, weight double")
+    asked = [(f"u{rng.randrange(33)}", rng.randrange(70)) for _ in range(300)]
+    items = spark.createDataFrame(asked, "user_id string, video_id long")
+    sums, ones = defaultdict(float), defaultdict(float)
+    for (u, v), w in seeds.items():
+        for j, s in lists.get(v, {}).items():
+            sums[u, j] += w * s
+            ones[u, j] += s
+
+    def best(of, k):
+        found = defaultdict(list)
+        for (u, j), s in of.items():
+            if (u, j) not in seeds:
+                found[u].append((-round(s, 9), j))
+        return {(u, j): -s for u, rows in found.items() for s, j in sorted(rows)[:k]}
+
+    got = lambda df: {tuple(r[:2]): round(r[2], 9) for r in df.collect()}
+    for rows, few, chunk in ((500_000, 50_000, 1 << 19), (60, 10, 64)):
+        for name, value in (("ROWS", rows), ("LISTS", few), ("CHUNK", chunk)):
+            monkeypatch.setattr(covis, name, value, raising=False)
+        assert got(covis.user_cf_topk(own, own, neighbors, 7)) == pytest.approx(best(sums, 7))
+        assert got(covis.seed_topk(own.select("user_id", "video_id"), neighbors, 5)) == pytest.approx(best(ones, 5))
+        assert got(covis.personal_affinity(items, own, neighbors)) == pytest.approx({k: sums[k] for k in set(asked) if k in sums})
+        assert got(covis.seed_scores(own.select("user_id", "video_id"), items, neighbors)) == pytest.approx({k: ones[k] for k in set(asked) if k in ones})
+    plan = covis.user_cf_topk(own, own, neighbors, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [user_id" not in plan and "neighbor_id" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    none = own.filter("user_id = 'x'")
+    assert not got(covis.user_cf_topk(none, none, neighbors, 7)) and not got(covis.personal_affinity(items, own, neighbors.filter("score < 0")))
